@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SHARED_DIR_KEY = "spark.checkpoint.dir"
+#: Shuffle files of a finished write go at once; else they stay until the driver collects its garbage.
+CLEAN_SHUFFLES_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(app: str = "loupe", cores: int | str = 8, partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -97,7 +99,12 @@ class Scratch:
         if metrics:
             seen = Observation()
             df = df.observe(seen, *(F.coalesce(c, F.lit(0)).cast("long").alias(k) for k, c in metrics.items()))
-        df.write.mode("overwrite").parquet(at)
+        before = self.spark.conf.get(CLEAN_SHUFFLES_KEY, "false")
+        self.spark.conf.set(CLEAN_SHUFFLES_KEY, "true")
+        try:
+            df.write.mode("overwrite").parquet(at)
+        finally:
+            self.spark.conf.set(CLEAN_SHUFFLES_KEY, before)
         self.tables[name] = at
         return self.spark.read.schema(schema).parquet(at), (seen.get if metrics else {})
 
