@@ -211,6 +211,25 @@ def _group_pairs(table: pa.Table, distance: int, shared: int, block: int) -> Ite
             yield ids[left[keep]], ids[right[keep]]
 
 
+def _group_ties(table: pa.Table, distance: int, shared: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Id pairs of one block that tie equal hashes to their first id, and first ids of near hashes."""
+    ids = table.column("id").to_numpy()
+    h = table.column("hash").to_numpy().view(np.uint64)
+    order = np.lexsort((ids, h))
+    ids, h = ids[order], h[order]
+    distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
+    if _owned(np.zeros(1, dtype=np.uint64), distance, shared, block)[0]:
+        leader = ids[first][which]
+        copies = leader != ids
+        yield leader[copies], ids[copies]
+    leader = ids[first]
+    for i, j in hash_pairs(distinct, distance):
+        if shared:
+            keep = _owned(distinct[i] ^ distinct[j], distance, shared, block)
+            i, j = i[keep], j[keep]
+        yield leader[i], leader[j]
+
+
 def near_pairs(
     rows: DataFrame,
     *,
@@ -221,14 +240,17 @@ def near_pairs(
     distance: int = NEAR_BITS,
     limit: int = GROUP_LIMIT,
     sizes: DataFrame | None = None,
+    expand: bool = True,
 ) -> DataFrame:
     """Pairs (``id_a`` < ``id_b``) of rows of one group whose hashes are close.
 
     rows: one row per id.  Rows with a null group, id or hash are left out, rows
     of the same non-null ``same`` value are not paired (they are copies).  Equal
     hashes count as close.  sizes: (group, n) upper bounds of the group sizes, if
-    known more cheaply than by counting ``rows``.  An empty table gives no pairs;
-    other columns are not read.
+    known more cheaply than by counting ``rows``.  Without ``expand`` copies are
+    not multiplied out: ids with equal hashes are tied to the smallest of them,
+    which alone is paired with the smallest ids of the near hashes.  An empty
+    table gives no pairs; other columns are not read.
     """
     if not 0 <= distance <= 15:
         raise ValueError("distance must lie between 0 and 15 bits")
@@ -258,7 +280,8 @@ def near_pairs(
         got = list(batches)
         if sum(b.num_rows for b in got) < 2:
             return
-        for a, b in _group_pairs(pa.Table.from_batches(got), distance, shared, block):
+        find = _group_pairs if expand else _group_ties
+        for a, b in find(pa.Table.from_batches(got), distance, shared, block):
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["id_a", "id_b"])
 

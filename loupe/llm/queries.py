@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loupe.llm import near
+from loupe.llm import groups, near
 from loupe.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return groups.photo_groups(table(spark, folder, "photos"), table(spark, folder, "edges"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_photos(table(spark, folder, "photos"))
 
 
 def queries() -> dict[str, Query]:
-    return {"p5_found": p5_found}
+    return {"p1_found": p1_found, "p5_found": p5_found}
 
 
 #: The current photos, as TESTDATA.md words them.
@@ -33,6 +37,24 @@ now AS (
   GROUP BY seq
 )"""
 
+P1_SQL = f"""
+WITH RECURSIVE {NOW},
+tied AS (
+  SELECT a.seq AS a, b.seq AS b FROM now a JOIN now b ON a.library = b.library AND a.seq <> b.seq AND a.sha = b.sha
+  UNION SELECT a.seq, b.seq FROM now a JOIN now b ON a.library = b.library AND a.seq <> b.seq
+    AND bit_count(xor(a.dhash, b.dhash)) <= 8
+  UNION SELECT a.seq, b.seq FROM now a JOIN now b ON a.library = b.library AND a.seq <> b.seq
+    AND upper(replace(a.path, '/', '\\')) = upper(replace(b.path, '/', '\\'))
+  UNION SELECT a.seq, b.seq FROM (SELECT src, dst, kind FROM edges UNION SELECT dst, src, kind FROM edges) e
+    JOIN now a ON a.seq = e.src JOIN now b ON b.seq = e.dst
+    WHERE a.library = b.library AND a.seq <> b.seq AND lower(e.kind) IN ('exact', 'visual')
+),
+reached(seq, other) AS (
+  SELECT a, a FROM tied UNION SELECT r.seq, t.b FROM reached r JOIN tied t ON r.other = t.a
+)
+SELECT seq, min(other) AS component FROM reached GROUP BY seq
+"""
+
 P5_SQL = f"""
 WITH {NOW}
 SELECT a.seq AS seq_a, b.seq AS seq_b
@@ -42,4 +64,4 @@ WHERE bit_count(xor(a.dhash, b.dhash)) <= 8 AND (a.sha IS NULL OR b.sha IS NULL
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_SQL}
+    return {"p1_found": P1_SQL, "p5_found": P5_SQL}
