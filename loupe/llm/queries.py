@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loupe.llm import groups, near
+from loupe.llm import best, groups, near
 from loupe.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,12 +16,25 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups.photo_groups(table(spark, folder, "photos"), table(spark, folder, "edges"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return best.best_members(table(spark, folder, "group_members"), table(spark, folder, "photos"))
+
+
+def p2_survivors(spark: SparkSession, folder: str) -> DataFrame:
+    return best.surviving_records(table(spark, folder, "group_members"), table(spark, folder, "photos"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_photos(table(spark, folder, "photos"))
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p5_found": p5_found}
+    return {
+        "p1_found": p1_found,
+        "p2_found": p2_found,
+        "p2_survivors": p2_survivors,
+        "p5_found": p5_found,
+    }
 
 
 #: The current photos, as TESTDATA.md words them.
@@ -55,6 +68,48 @@ reached(seq, other) AS (
 SELECT seq, min(other) AS component FROM reached GROUP BY seq
 """
 
+BEST = """
+members AS (SELECT DISTINCT group_id, seq FROM group_members WHERE group_id IS NOT NULL AND seq IS NOT NULL),
+best AS (
+  SELECT m.group_id, count(*) AS n, arg_min(m.seq, (
+      -CASE WHEN width > 0 AND height > 0 THEN width::BIGINT * height ELSE 0 END,
+      -coalesce(file_size, -1), coalesce(capture_time, TIMESTAMP '9999-12-31'), coalesce(length(path), 1000000),
+      upper(path), m.seq)) AS seq
+  FROM members m JOIN now USING (seq) GROUP BY m.group_id HAVING count(*) >= 2
+)"""
+
+P2_SQL = f"WITH {NOW}, {BEST} SELECT group_id, seq FROM best"
+
+P2_SURVIVORS_SQL = f"""
+WITH {NOW}, {BEST},
+latest AS (
+  SELECT DISTINCT ON (seq) seq, loaded_at, capture_time, file_size,
+         CASE WHEN width > 0 AND height > 0 THEN width END AS width,
+         CASE WHEN width > 0 AND height > 0 THEN height END AS height,
+         nullif(trim(device), '') AS device, nullif(trim(format), '') AS format
+  FROM photos ORDER BY seq, loaded_at DESC NULLS LAST
+),
+flagged AS (
+  SELECT group_id, seq, coalesce(bool_or(is_recommended), false) AS trusted
+  FROM group_members WHERE group_id IS NOT NULL GROUP BY ALL
+),
+ranked AS (
+  SELECT *, (NOT trusted,
+    -((width IS NOT NULL)::INT + (height IS NOT NULL)::INT + (capture_time IS NOT NULL)::INT
+      + (device IS NOT NULL)::INT + (format IS NOT NULL)::INT + (file_size IS NOT NULL)::INT),
+    -epoch_us(loaded_at), seq) AS place
+  FROM flagged JOIN latest USING (seq)
+)
+SELECT b.group_id, b.seq, b.n,
+  arg_min(r.width, place) FILTER (r.width IS NOT NULL) AS width,
+  arg_min(r.height, place) FILTER (r.height IS NOT NULL) AS height,
+  arg_min(r.capture_time, place) FILTER (r.capture_time IS NOT NULL) AS capture_time,
+  arg_min(r.device, place) FILTER (r.device IS NOT NULL) AS device,
+  arg_min(r.format, place) FILTER (r.format IS NOT NULL) AS format,
+  arg_min(r.file_size, place) FILTER (r.file_size IS NOT NULL) AS file_size
+FROM best b JOIN ranked r USING (group_id) GROUP BY b.group_id, b.seq, b.n
+"""
+
 P5_SQL = f"""
 WITH {NOW}
 SELECT a.seq AS seq_a, b.seq AS seq_b
@@ -64,4 +119,9 @@ WHERE bit_count(xor(a.dhash, b.dhash)) <= 8 AND (a.sha IS NULL OR b.sha IS NULL
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p5_found": P5_SQL}
+    return {
+        "p1_found": P1_SQL,
+        "p2_found": P2_SQL,
+        "p2_survivors": P2_SURVIVORS_SQL,
+        "p5_found": P5_SQL,
+    }
