@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loupe.llm import best, groups, near
+from loupe.llm import best, groups, leaks, near, tokenizer
 from loupe.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,12 +28,32 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_photos(table(spark, folder, "photos"))
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenizer.encode_documents(table(spark, folder, "documents"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "heldout"))
+
+
+def p8_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "heldout"))
+
+
+def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.without_leaks(table(spark, folder, "documents"), table(spark, folder, "heldout")).select("doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
         "p2_found": p2_found,
         "p2_survivors": p2_survivors,
         "p5_found": p5_found,
+        "p7_ids": p7_ids,
+        "p8_found": p8_found,
+        "p8_passages": p8_passages,
+        "p8_clean": p8_clean,
     }
 
 
