@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loupe.llm import best, groups, leaks, near, tokenizer
+from loupe.llm import best, clusters, groups, leaks, near, tokenizer
 from loupe.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_photos(table(spark, folder, "photos"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters.alike_clusters(table(spark, folder, "photos")).select("cluster", "typical")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode_documents(table(spark, folder, "documents"))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Query]:
         "p2_found": p2_found,
         "p2_survivors": p2_survivors,
         "p5_found": p5_found,
+        "p6_found": p6_found,
         "p7_ids": p7_ids,
         "p8_found": p8_found,
         "p8_passages": p8_passages,
@@ -138,10 +143,39 @@ WHERE bit_count(xor(a.dhash, b.dhash)) <= 8 AND (a.sha IS NULL OR b.sha IS NULL
 """
 
 
+P6_SQL = f"""
+WITH RECURSIVE {NOW},
+tied AS (
+  SELECT a.seq AS a, b.seq AS b FROM now a JOIN now b ON a.library = b.library AND a.seq <> b.seq
+    AND bit_count(xor(a.dhash, b.dhash)) <= 8
+  UNION
+  SELECT * FROM (
+    SELECT seq AS a, b FROM (
+      SELECT seq, capture_time AS t, lag(seq) OVER w AS b, lag(capture_time) OVER w AS s
+      FROM now WHERE library IS NOT NULL AND capture_time IS NOT NULL
+      WINDOW w AS (PARTITION BY library ORDER BY capture_time, seq))
+    WHERE t - s <= INTERVAL 30 MINUTE)
+),
+both_ways AS (SELECT a, b FROM tied UNION SELECT b, a FROM tied),
+reached(seq, other) AS (
+  SELECT a, a FROM both_ways UNION SELECT r.seq, t.b FROM reached r JOIN both_ways t ON r.other = t.a
+),
+member AS (SELECT seq, min(other) AS cluster FROM reached GROUP BY seq),
+sums AS (
+  SELECT m.cluster, m.seq, sum(bit_count(xor(x.dhash, y.dhash))) AS s
+  FROM member m JOIN now x ON x.seq = m.seq JOIN member o ON o.cluster = m.cluster JOIN now y ON y.seq = o.seq
+  WHERE x.dhash IS NOT NULL AND y.dhash IS NOT NULL GROUP BY ALL
+)
+SELECT m.cluster, coalesce(arg_min(s.seq, (s.s, s.seq)), m.cluster) AS typical
+FROM (SELECT DISTINCT cluster FROM member) m LEFT JOIN sums s USING (cluster) GROUP BY m.cluster
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_SQL,
         "p2_found": P2_SQL,
         "p2_survivors": P2_SURVIVORS_SQL,
         "p5_found": P5_SQL,
+        "p6_found": P6_SQL,
     }
