@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loupe.llm import best, clusters, groups, leaks, near, tokenizer
+from loupe.llm import best, clusters, diverse, groups, leaks, near, tokenizer
 from loupe.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def p2_survivors(spark: SparkSession, folder: str) -> DataFrame:
     return best.surviving_records(table(spark, folder, "group_members"), table(spark, folder, "photos"))
 
 
+def p4_selection(spark: SparkSession, folder: str) -> DataFrame:
+    return diverse.varied_subsets(table(spark, folder, "slideshows"), table(spark, folder, "photos"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_photos(table(spark, folder, "photos"))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Query]:
         "p1_found": p1_found,
         "p2_found": p2_found,
         "p2_survivors": p2_survivors,
+        "p4_selection": p4_selection,
         "p5_found": p5_found,
         "p6_found": p6_found,
         "p7_ids": p7_ids,
