@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loupe.llm import best, clusters, diverse, groups, leaks, near, tokenizer
+from loupe.llm import best, clusters, diverse, groups, leaks, near, split, tokenizer
 from loupe.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.without_leaks(table(spark, folder, "documents"), table(spark, folder, "heldout")).select("doc_id")
 
 
+def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return split.split_documents(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -64,6 +68,7 @@ def queries() -> dict[str, Query]:
         "p8_found": p8_found,
         "p8_passages": p8_passages,
         "p8_clean": p8_clean,
+        "p9_pieces": p9_pieces,
     }
 
 
