@@ -30,6 +30,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 VOCABULARY_DIR = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -175,7 +176,7 @@ def encode_column(rows: DataFrame, text: str = "text", *, keep: list[str], path:
     only the columns named are read.  No shuffle: rows stay where they are.
     """
     slim = rows.select(*(F.col(c) for c in keep), F.col(text).cast("string").alias("__text"))
-    schema = slim.drop("__text").schema.add(out, "array<int>")
+    schema = StructType([*slim.drop("__text").schema.fields, StructField(out, ArrayType(IntegerType()))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path)
