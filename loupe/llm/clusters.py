@@ -15,6 +15,8 @@ parallel oversampling, Lloyd steps, members nearest each centroid.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,3 +109,203 @@ def alike_clusters(photos: DataFrame, *, distance: int = NEAR_BITS, gap_us: int
     )
     blank = centres.filter("hashed = 0").select("cluster", F.col("first").alias("typical"), "n")
     return nearest.unionByName(blank)
+
+
+# --- k-means over hashed weighted features ---------------------------------------
+
+#: Weights of the features: looks, and the time slots a capture lies in.
+BIT_WEIGHT, TIME_WEIGHT = 1.0, 3.0
+TIME_DIMS = 32
+DIMS = 64 + TIME_DIMS
+SEED_ROUNDS = 3
+LLOYD_ROUNDS = 4
+BLOCK_ROWS = 20_000
+_CENTRE = "library string, c int, n long, vec array<float>"
+
+
+def _features(hashes: np.ndarray, known: np.ndarray, slots: np.ndarray, timed: np.ndarray) -> np.ndarray:
+    """Rows of DIMS numbers: 64 signed bits (0 where unknown), then the hashed time slots.
+
+    A capture counts in its own slot of the gap's width and, by half, in the two
+    beside it; slots are hashed to dimension and sign, so captures in one or in
+    neighbouring slots agree and others meet by chance only.
+    """
+    out = np.zeros((len(hashes), DIMS), dtype=np.float32)
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+    out[:, :64] = (bits * 2 - 1) * known[:, None] * np.float32(BIT_WEIGHT / 8)
+    rows = np.flatnonzero(timed)
+    for step, share in ((0, 1.0), (-1, 0.5), (1, 0.5)):
+        x = (slots[rows] + step).astype(np.uint64)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        np.add.at(out, (rows, 64 + (x % np.uint64(TIME_DIMS)).astype(np.int64)),
+                  np.where((x >> np.uint64(40)) & np.uint64(1), 1.0, -1.0) * share * TIME_WEIGHT / 4)
+    return out
+
+
+def _table_features(table: pa.Table) -> np.ndarray:
+    h, slot = table.column("dhash"), table.column("slot")
+    return _features(
+        h.fill_null(0).to_numpy().view(np.uint64), h.is_valid().to_numpy(), slot.fill_null(0).to_numpy(), slot.is_valid().to_numpy()
+    )
+
+
+def _matrix(centres: pa.Table) -> np.ndarray:
+    return centres.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMS).astype(np.float32)
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the nearest centre and the squared distance to it, in slices."""
+    which = np.empty(len(x), dtype=np.int64)
+    far = np.empty(len(x), dtype=np.float32)
+    norm = (centres * centres).sum(axis=1)
+    step = max(1, (1 << 22) // max(1, len(centres)))
+    for s in range(0, len(x), step):
+        d = norm[None, :] - 2 * (x[s : s + step] @ centres.T)
+        which[s : s + step] = d.argmin(axis=1)
+        far[s : s + step] = np.maximum(d.min(axis=1) + (x[s : s + step] ** 2).sum(axis=1), 0)
+    return which, far
+
+
+def _rows_of(library, c, n, vec: np.ndarray) -> pa.Table:
+    flat = pa.array(np.ascontiguousarray(vec, dtype=np.float32).ravel(), pa.float32())
+    offsets = pa.array(np.arange(0, len(vec) * DIMS + 1, DIMS, dtype=np.int32))
+    return pa.table({
+        "library": pa.array([library] * len(vec), pa.string()), "c": pa.array(np.asarray(c, dtype=np.int32)),
+        "n": pa.array(np.asarray(n, dtype=np.int64)), "vec": pa.ListArray.from_arrays(offsets, flat),
+    })
+
+
+def _seed_block(points: pa.Table, centres: pa.Table, factor: float) -> pa.Table:
+    """Points of a block that become candidates: with probability l d^2 / cost, by a hash of their id."""
+    x = _table_features(points)
+    _, far = _nearest(x, _matrix(centres))
+    cost = float(far.sum())
+    share = points.num_rows / points.column("n")[0].as_py()
+    wanted = factor * points.column("k")[0].as_py() * share
+    u = (points.column("u").to_numpy() % (1 << 20)) / float(1 << 20)
+    take = u * cost < wanted * far if cost > 0 else np.zeros(len(x), dtype=bool)
+    return _rows_of(points.column("library")[0].as_py(), np.zeros(take.sum()), np.ones(take.sum()), x[take])
+
+
+def _sum_block(points: pa.Table, centres: pa.Table) -> pa.Table:
+    """Partial sums of a block: members and feature sums by nearest centre."""
+    x, m = _table_features(points), _matrix(centres)
+    which, _ = _nearest(x, m)
+    count = np.bincount(which, minlength=len(m))
+    sums = np.zeros((len(m), DIMS), dtype=np.float64)
+    order = np.argsort(which, kind="stable")
+    starts = np.flatnonzero(np.append(True, which[order][1:] != which[order][:-1]))
+    sums[which[order][starts]] = np.add.reduceat(x[order], starts, axis=0)
+    used = np.flatnonzero(count)
+    return _rows_of(points.column("library")[0].as_py(), centres.column("c").to_numpy()[used], count[used], sums[used])
+
+
+def _typical_block(points: pa.Table, centres: pa.Table) -> pa.Table:
+    """Per centre: the block's members, and the one nearest to it (smallest seq of equals)."""
+    x, m = _table_features(points), _matrix(centres)
+    which, far = _nearest(x, m)
+    seq = points.column("seq").to_numpy()
+    order = np.lexsort((seq, far, which))
+    first = np.append(True, which[order][1:] != which[order][:-1])
+    count = np.bincount(which, minlength=len(m))
+    at = order[first]
+    return pa.table({
+        "library": pa.array([points.column("library")[0].as_py()] * len(at), pa.string()),
+        "c": pa.array(centres.column("c").to_numpy()[which[at]].astype(np.int32)),
+        "n": pa.array(count[which[at]].astype(np.int64)), "far": pa.array(far[at].astype(np.float64)), "seq": pa.array(seq[at]),
+    })
+
+
+def _no_typical() -> pa.Table:
+    kinds = {"library": pa.string(), "c": pa.int32(), "n": pa.int64(), "far": pa.float64(), "seq": pa.int64()}
+    return pa.table({c: pa.array([], t) for c, t in kinds.items()})
+
+
+def _reduce_seeds(table: pa.Table) -> pa.Table:
+    """k seeds of a library's weighted candidates: k-means++ by greatest weighted distance."""
+    m, w = _matrix(table), table.column("n").to_numpy().astype(np.float64)
+    order = np.lexsort((*m.T[::-1], -w))
+    m, w, k = m[order], w[order], table.column("k")[0].as_py()
+    chosen = [0]
+    far = ((m - m[0]) ** 2).sum(axis=1)
+    while len(chosen) < min(k, len(m)) and (far * w).max() > 0:
+        chosen.append(int((far * w).argmax()))
+        far = np.minimum(far, ((m - m[chosen[-1]]) ** 2).sum(axis=1))
+    return _rows_of(table.column("library")[0].as_py(), np.arange(len(chosen)), np.ones(len(chosen)), m[chosen])
+
+
+def _mean(table: pa.Table) -> pa.Table:
+    """New centres of a library from its blocks' sums."""
+    c, n, m = table.column("c").to_numpy(), table.column("n").to_numpy(), _matrix(table).astype(np.float64)
+    ids, place = np.unique(c, return_inverse=True)
+    sums, count = np.zeros((len(ids), DIMS)), np.bincount(place, weights=n)
+    np.add.at(sums, place, m)
+    return _rows_of(table.column("library")[0].as_py(), ids, count, sums / count[:, None])
+
+
+def kmeans_clusters(
+    photos: DataFrame, *, gap_us: int = GAP_US, seed_rounds: int = SEED_ROUNDS, lloyd_rounds: int = LLOYD_ROUNDS,
+    block_rows: int = BLOCK_ROWS, k_of: Column | None = None,
+) -> DataFrame:
+    """(``library``, ``c``, ``n``, ``typical``): k-means clusters of each library.
+
+    k_of: clusters of a library as a function of its size ``n``; the root of half
+    of it if not given.  Seeds come from parallel oversampling: in each round a
+    photo becomes a candidate with a probability in proportion to its squared
+    distance (2 k are expected per round), candidates are weighted by the photos
+    next to them and reduced to k.  n counts the members, typical is the member
+    nearest the centroid, the smallest seq of equals.  All choices hash the photo's
+    seq, so a run is repeated exactly.  Photos with a null library are left out;
+    missing hash or time leave their features at zero.
+
+    A library is worked on in blocks of ``block_rows`` photos; what is gathered of
+    it is candidates and sums, never photos.
+    """
+    scratch = Scratch(photos.sparkSession, "kmeans")
+    now = current_photos(photos, "library", usable_hash("dhash").alias("dhash"), micros("capture_time").alias("t"))
+    slot = F.expr(f"(t - pmod(t, {gap_us}L)) div {gap_us}L").alias("slot")
+    now = now.filter(F.col("library").isNotNull()).select("seq", "library", "dhash", slot)
+    sizes = now.groupBy("library").agg(F.count(F.lit(1)).alias("n"), F.min_by("seq", F.xxhash64("seq")).alias("start"))
+    k = F.ceil(F.sqrt(F.col("n") / 2)) if k_of is None else k_of
+    sizes = sizes.withColumn("k", F.greatest(F.lit(1), k.cast("int"))).withColumn("blocks", F.ceil(F.col("n") / block_rows))
+    sizes, _ = scratch.cut(sizes, "sizes")
+    points, _ = scratch.cut(
+        now.join(sizes, "library").withColumn("block", F.pmod(F.xxhash64("seq"), "blocks")).withColumn("first", F.col("seq") == F.col("start")),
+        "points",
+    )
+
+    def over_blocks(function, centres: DataFrame, schema: str, salt: int = 0) -> DataFrame:
+        """``function`` of every block of points and its library's centres."""
+        spread = centres.join(sizes.select("library", "blocks"), "library").withColumn(
+            "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        )
+        u = F.shiftrightunsigned(F.xxhash64("seq", F.lit(salt)), 20)
+        empty = _rows_of(None, [], [], np.zeros((0, DIMS))) if schema == _CENTRE else _no_typical()
+
+        def of(p: pa.Table, c: pa.Table) -> pa.Table:  # a block may have got no photo
+            return function(p, c) if p.num_rows and c.num_rows else empty
+
+        left = points.select("library", "block", "seq", "dhash", "slot", "n", "k", u.alias("u"))
+        return left.groupBy("library", "block").cogroup(spread.groupBy("library", "block")).applyInArrow(of, schema)
+
+    start = points.filter("first").groupBy("library").applyInArrow(
+        lambda t: _rows_of(t.column("library")[0].as_py(), [0], [1], _table_features(t)), _CENTRE
+    )
+    candidates, _ = scratch.cut(start, "seed-0")
+    for r in range(1, seed_rounds + 1):
+        fresh = over_blocks(lambda p, c: _seed_block(p, c, 2.0), candidates, _CENTRE, r)
+        candidates, _ = scratch.cut(candidates.unionByName(fresh), f"seed-{r}")
+    numbered = candidates.withColumn("c", (F.row_number().over(Window.partitionBy("library").orderBy("vec")) - 1).cast("int"))
+    numbered, _ = scratch.cut(numbered, "seeds")
+    weighed = over_blocks(_sum_block, numbered, _CENTRE).groupBy("library", "c").agg(F.sum("n").alias("n"))
+    weighed = numbered.drop("n").join(weighed, ["library", "c"]).join(sizes.select("library", "k"), "library")
+    centres, _ = scratch.cut(weighed.groupBy("library").applyInArrow(_reduce_seeds, _CENTRE), "centres-0")
+    for r in range(1, lloyd_rounds + 1):
+        moved = over_blocks(_sum_block, centres, _CENTRE).groupBy("library").applyInArrow(_mean, _CENTRE)
+        centres, _ = scratch.cut(moved, f"centres-{r}")
+        scratch.drop(f"centres-{r - 1}")
+    found = over_blocks(_typical_block, centres, "library string, c int, n long, far double, seq long")
+    return found.groupBy("library", "c").agg(
+        F.sum("n").alias("n"), F.min_by("seq", F.struct("far", "seq")).alias("typical")
+    )

@@ -36,6 +36,10 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return clusters.alike_clusters(table(spark, folder, "photos")).select("cluster", "typical")
 
 
+def p6_kmeans(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters.kmeans_clusters(table(spark, folder, "photos")).select("library", "n", "typical")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode_documents(table(spark, folder, "documents"))
 
@@ -64,6 +68,7 @@ def queries() -> dict[str, Query]:
         "p4_selection": p4_selection,
         "p5_found": p5_found,
         "p6_found": p6_found,
+        "p6_kmeans": p6_kmeans,
         "p7_ids": p7_ids,
         "p8_found": p8_found,
         "p8_passages": p8_passages,
