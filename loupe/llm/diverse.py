@@ -6,14 +6,14 @@ submodular, so the greedy choice is within 1 - 1/e of the best, and a large burs
 or set of copies is covered by its first pick: further picks from it gain nothing.
 
 Round 1: a library's photos fall into blocks by a hash of their id.  Each block
-nominates, by lazy greedy over itself, its share of twice the wanted number, and
-gives every nominee the number of the block's photos it stands for.
-Round 2: lazy greedy over a library's nominees, weighted by those numbers.
+nominates, by lazy greedy over itself, its share of three times the wanted
+number, and gives every nominee its part of the coverage of the block's photos.
+Round 2: lazy greedy over a library's nominees, weighted by those parts.
 
 The greedy order is nested, so one order per library serves all requests: a
 request takes the first ``wanted`` photos.  Blocks hold about as many photos as
-there are blocks (512 at least), hence round 2 sees at most twice the wanted
-number and one nominee more per block, and no task ever holds a library.
+there are blocks (512 at least), hence round 2 sees at most three times
+the wanted number and one nominee more per block, and no task ever holds a library.
 """
 
 from __future__ import annotations
@@ -38,44 +38,59 @@ TIME_REACH = GAP_SECONDS * 1_000_000
 HASH_WEIGHT, TIME_WEIGHT = 0.7, 0.3
 BLOCK_ROWS = 512
 #: Nominees per wanted photo.
-OVERSAMPLING = 2
-#: Similarities are kept as a matrix up to this many photos, else computed by column.
-MATRIX_ROWS = 2048
+OVERSAMPLING = 3
+#: Pairs compared at once.
+SLICE = 1 << 20
 MANY_LIBRARIES = 100_000
 
 
-class Similarity:
-    """Columns of the similarity matrix of some photos (a time of nan is unknown)."""
-
-    def __init__(self, hashes: np.ndarray, has_hash: np.ndarray, times: np.ndarray):
-        self.h, self.known = hashes, has_hash
-        self.t = times
-        self.n = len(hashes)
-        self.matrix = self._block(np.arange(self.n)) if self.n <= MATRIX_ROWS else None
-
-    def _block(self, js: np.ndarray) -> np.ndarray:
-        near = np.bitwise_count(self.h[js][:, None] ^ self.h[None, :])
-        out = _BY_BITS[near]
-        out *= (self.known[js][:, None] & self.known[None, :])
-        gap = np.abs(self.t[js][:, None] - self.t[None, :])
-        part = np.maximum(0, 1 - gap / TIME_REACH).astype(np.float32)
-        np.nan_to_num(part, copy=False)
-        out += np.float32(TIME_WEIGHT) * part
-        out[np.arange(len(js)), js] = 1
-        return out
-
-    def _column(self, j: int) -> np.ndarray:
-        return self._block(np.array([j]))[0]
-
-    def column(self, j: int) -> np.ndarray:
-        return self._column(j) if self.matrix is None else self.matrix[j]
+_BY_BITS = np.maximum(0, 1 - np.arange(65) / HASH_REACH).astype(np.float32) * np.float32(HASH_WEIGHT)
 
 
-_BY_BITS = np.maximum(0, 1 - np.arange(65) / HASH_REACH).astype(np.float32) * np.float32(HASH_WEIGHT)
+class Similarity:
+    """Similarities of some photos, of each photo those above zero only (a time of nan is unknown).
 
+    Unrelated hashes have nothing in common and most captures are far apart, so a
+    photo is similar to a few per cent of the others.  All pairs of the photos
+    given are compared, a slice of rows at a time.
+    """
 
-def lazy_greedy(similarity: Similarity, weights: np.ndarray, wanted: int) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """(picks in order, their gains, for each photo the number of the pick that covers it best).
+    def __init__(self, hashes: np.ndarray, has_hash: np.ndarray, times: np.ndarray):
+        n = self.n = len(hashes)
+        hashed = np.flatnonzero(has_hash)
+        ends, cols, values = [0], [], []
+        far = np.where(np.isnan(times), np.inf, times)
+        step = max(1, SLICE // max(1, n))
+        for low in range(0, n, step):
+            rows = np.arange(low, min(n, low + step))
+            bits = np.bitwise_count(hashes[rows][:, None] ^ hashes[None, :])
+            bits[~has_hash[rows]] = 64
+            if len(hashed) < n:
+                bits[:, ~has_hash] = 64
+            with np.errstate(invalid="ignore"):  # two unknown times
+                near = np.abs(far[rows][:, None] - far[None, :]) < TIME_REACH
+            near |= bits < HASH_REACH
+            near[np.arange(len(rows)), rows] = True
+            r, c = np.nonzero(near)
+            v = _BY_BITS[bits[r, c]]
+            gap = np.abs(times[rows[r]] - times[c])
+            v += np.float32(TIME_WEIGHT) * np.nan_to_num(np.maximum(0, 1 - gap / TIME_REACH)).astype(np.float32)
+            v[rows[r] == c] = 1
+            ends.append(np.bincount(r, minlength=len(rows)))
+            cols.append(c.astype(np.int32))
+            values.append(v)
+        self.start = np.cumsum(np.concatenate([[0], *ends[1:]])).astype(np.int64) if n else np.zeros(1, dtype=np.int64)
+        self.cols = np.concatenate(cols) if cols else np.zeros(0, dtype=np.int32)
+        self.values = np.concatenate(values) if values else np.zeros(0, dtype=np.float32)
+
+    def row(self, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """The photos photo j is similar to, and how much."""
+        a, b = self.start[j], self.start[j + 1]
+        return self.cols[a:b], self.values[a:b]
+
+
+def lazy_greedy(similarity: Similarity, weights: np.ndarray, wanted: int) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """(picks in order, their gains, for each photo the number of the pick that covers it best, and how well).
 
     A gain can only shrink as picks are added, so a candidate whose renewed gain
     still tops the heap is the best one.  Ties go to the smaller position.
@@ -83,25 +98,30 @@ def lazy_greedy(similarity: Similarity, weights: np.ndarray, wanted: int) -> tup
     n = similarity.n
     best = np.zeros(n, dtype=np.float32)
     nearest = np.zeros(n, dtype=np.int64)
-    w = weights.astype(np.float64)
-    first = (similarity.matrix @ w) if similarity.matrix is not None else np.array([similarity.column(j) @ w for j in range(n)])
+    w = weights.astype(np.float32)
+    first = np.add.reduceat(similarity.values * w[similarity.cols], similarity.start[:-1]) if n else np.zeros(0)
     heap = [(-g, j, 0) for j, g in enumerate(first.tolist())]
     heapq.heapify(heap)
+    rows = [similarity.row(j) for j in range(n)]
+    shares = [w[c] for c, _ in rows]
     picks: list[int] = []
     gains: list[float] = []
     while heap and len(picks) < wanted:
-        gain, j, seen = heapq.heappop(heap)
+        gain, j, seen = heap[0]
+        cols, values = rows[j]
         if seen != len(picks):
-            gain = -float(np.maximum(similarity.column(j) - best, 0) @ w)
-            heapq.heappush(heap, (gain, j, len(picks)))
+            more = values - best[cols]
+            np.maximum(more, 0, out=more)
+            heapq.heapreplace(heap, (-float(more.dot(shares[j])), j, len(picks)))
             continue
-        column = similarity.column(j)
-        closer = column > best
-        nearest[closer] = len(picks)
-        best = np.maximum(best, column)
+        heapq.heappop(heap)
+        closer = values > best[cols]
+        mine = cols[closer]
+        nearest[mine] = len(picks)
+        best[mine] = values[closer]
         picks.append(j)
         gains.append(-gain)
-    return picks, np.array(gains), nearest
+    return picks, np.array(gains), nearest, best
 
 
 def _similarity(table: pa.Table) -> Similarity:
@@ -115,8 +135,8 @@ def _nominate(table: pa.Table) -> pa.Table:
     table = table.sort_by("seq")
     n, wanted, total = table.num_rows, table.column("wanted")[0].as_py(), table.column("n")[0].as_py()
     share = min(n, -(-OVERSAMPLING * wanted * n // total) + 1)
-    picks, _, nearest = lazy_greedy(_similarity(table), np.ones(n), share)
-    weights = np.bincount(nearest, minlength=len(picks)).astype(np.int64)
+    picks, _, nearest, best = lazy_greedy(_similarity(table), np.ones(n), share)
+    weights = np.bincount(nearest, weights=best, minlength=len(picks))
     chosen = table.take(pa.array(picks))
     return chosen.select(["library", "wanted", "seq", "dhash", "t"]).append_column("weight", pa.array(weights))
 
@@ -124,7 +144,7 @@ def _nominate(table: pa.Table) -> pa.Table:
 def _choose(table: pa.Table) -> pa.Table:
     table = table.sort_by("seq")
     wanted = table.column("wanted")[0].as_py()
-    picks, gains, _ = lazy_greedy(_similarity(table), table.column("weight").to_numpy(), wanted)
+    picks, gains, *_ = lazy_greedy(_similarity(table), table.column("weight").to_numpy(), wanted)
     chosen = table.take(pa.array(picks))
     return pa.table({
         "library": chosen.column("library"), "place": pa.array(np.arange(1, len(picks) + 1), pa.int64()),
@@ -149,7 +169,7 @@ def varied_order(photos: DataFrame, wanted: DataFrame, *, block_rows: int = BLOC
     sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / F.greatest(F.lit(block_rows), F.ceil(F.sqrt("n")))))
     blocks = now.join(small(sizes), "library").withColumn("block", F.pmod(F.xxhash64("seq"), F.col("blocks")))
     nominees = blocks.groupBy("library", "block").applyInArrow(
-        _nominate, "library string, wanted long, seq long, dhash long, t long, weight long"
+        _nominate, "library string, wanted long, seq long, dhash long, t long, weight double"
     )
     return nominees.groupBy("library").applyInArrow(_choose, "library string, place long, seq long, gain double")
 
