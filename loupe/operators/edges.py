@@ -14,6 +14,10 @@ def _bands(distance: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def _part(h: Column, shift: int, width: int) -> Column:
+    return h if width == 64 else F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+
+
 def near_hashes(hashes: DataFrame, *, group: str = "library", id: str = "seq", hash: str = "dhash", distance: int = NEAR_BITS) -> DataFrame:  # noqa: A002
     """Pairs (``id_a``, ``id_b``, ``bits``) of one group at most ``distance`` bits apart.
 
@@ -25,7 +29,7 @@ def near_hashes(hashes: DataFrame, *, group: str = "library", id: str = "seq", h
     h = F.col(hash)
     parts = _bands(distance)
     keys = F.array(*(
-        F.struct(F.lit(k).alias("part"), F.shiftrightunsigned(h, a).bitwiseAND(F.lit((1 << w) - 1).cast("long")).alias("value"))
+        F.struct(F.lit(k).alias("part"), _part(h, a, w).alias("value"))
         for k, (a, w) in enumerate(parts)
     ))
     cut = (
@@ -37,7 +41,7 @@ def near_hashes(hashes: DataFrame, *, group: str = "library", id: str = "seq", h
     differ = F.col("x.h").bitwiseXOR(F.col("y.h"))
     first: Column = F.lit(len(parts))
     for k, (a, w) in reversed(list(enumerate(parts))):
-        first = F.when(F.shiftrightunsigned(differ, a).bitwiseAND(F.lit((1 << w) - 1).cast("long")) == 0, F.lit(k)).otherwise(first)
+        first = F.when(_part(differ, a, w) == 0, F.lit(k)).otherwise(first)
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("grp", "part", "value")]
     return (
         x.join(y, [*same, F.col("x.id") < F.col("y.id"), hamming("x.h", "y.h") <= distance, first == F.col("x.part")])
