@@ -10,6 +10,11 @@ equal single bytes guarantees nothing.  What is guaranteed is
 * at least four of the eight bytes are equal up to one bit (otherwise five bytes
   differ by two bits or more, which makes 10).
 
+The bytes are not those of the hash as it is.  Its 8 x 8 bits are regrouped along
+diagonals first, which changes no distance: a new byte has one bit of each row and
+of each column of the picture, so that flat rows or columns, or hashes whose last
+bits are cut off, do not make one byte equal everywhere.
+
 So posting lists are kept for each two-byte position.  Every hash looks up its
 own value and the values up to the position's tolerance away; the bytes equal up
 to one bit are tallied for each pair met, pairs below the guaranteed minimum are
@@ -34,7 +39,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loupe.functions.keys import NEAR_BITS, sha_key, usable_hash
@@ -53,6 +58,34 @@ CHOICE_SHIFT = 40
 _NEAR_BYTE = np.bitwise_count(np.arange(256, dtype=np.uint8)) <= 1
 
 
+#: The three exchanges that transpose 8 x 8 bits: (shift, bits that move down).
+_SWAPS = ((7, 0x00AA00AA00AA00AA), (14, 0x0000CCCC0000CCCC), (28, 0x00000000F0F0F0F0))
+
+
+def regrouped(hashes: np.ndarray) -> np.ndarray:
+    """64-bit hashes with their bits regrouped along diagonals: row r turned by r bits, then transposed."""
+    rows = hashes.astype(np.uint64).view(np.uint8).reshape(-1, 8)
+    turn = np.arange(8, dtype=np.uint8)
+    x = np.ascontiguousarray((rows << turn) | (rows >> ((8 - turn) & 7)) * (turn > 0)).view(np.uint64).ravel()
+    for shift, mask in _SWAPS:
+        moved = (x ^ (x >> np.uint64(shift))) & np.uint64(mask)
+        x = x ^ moved ^ (moved << np.uint64(shift))
+    return x
+
+
+def _regrouped_column(h: Column) -> Column:
+    """``regrouped`` as a column."""
+    x = F.lit(0).cast("long")
+    for r in range(8):
+        row = F.shiftrightunsigned(h, 8 * r).bitwiseAND(F.lit(255).cast("long"))
+        turned = F.shiftleft(row, r).bitwiseOR(F.shiftrightunsigned(row, 8 - r)).bitwiseAND(F.lit(255).cast("long")) if r else row
+        x = x.bitwiseOR(F.shiftleft(turned, 8 * r))
+    for shift, mask in _SWAPS:
+        moved = x.bitwiseXOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask).cast("long"))
+        x = x.bitwiseXOR(moved).bitwiseXOR(F.shiftleft(moved, shift))
+    return x
+
+
 @lru_cache(maxsize=None)
 def _masks(tolerance: int) -> np.ndarray:
     """All 16-bit values of at most ``tolerance`` one bits."""
@@ -85,7 +118,7 @@ def _slices(counts: np.ndarray, most: int) -> Iterator[slice]:
 
 
 def hash_pairs(hashes: np.ndarray, distance: int = NEAR_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i < j) of distinct 64-bit hashes at most ``distance`` bits apart."""
+    """Index pairs (i < j) of distinct (regrouped) 64-bit hashes at most ``distance`` bits apart."""
     h = hashes.astype(np.uint64, copy=False)
     n = len(h)
     if n < 2:
@@ -172,7 +205,7 @@ def _owned(x: np.ndarray, distance: int, shared: int, block: int) -> np.ndarray:
 def _group_pairs(table: pa.Table, distance: int, shared: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Id pairs of one block; rows of the same non-null class are never paired."""
     ids = table.column("id").to_numpy()
-    h = table.column("hash").to_numpy().view(np.uint64)
+    h = regrouped(table.column("hash").to_numpy().view(np.uint64))
     n = len(ids)
     known = np.full(n, -1, dtype=np.int64)
     if "same" in table.column_names:
@@ -214,7 +247,7 @@ def _group_pairs(table: pa.Table, distance: int, shared: int, block: int) -> Ite
 def _group_ties(table: pa.Table, distance: int, shared: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Id pairs of one block that tie equal hashes to their first id, and first ids of near hashes."""
     ids = table.column("id").to_numpy()
-    h = table.column("hash").to_numpy().view(np.uint64)
+    h = regrouped(table.column("hash").to_numpy().view(np.uint64))
     order = np.lexsort((ids, h))
     ids, h = ids[order], h[order]
     distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
@@ -267,11 +300,12 @@ def near_pairs(
     few = bounded(hot, HOT_GROUPS)
     present = sorted(r[0] for r in hot.select("level").distinct().collect())  # at most three numbers
     if present:
+        slim = slim.withColumn("mixed", _regrouped_column(F.col("hash")))
         slim = slim.join(F.broadcast(hot) if few else hot, "grp", "left").withColumn("level", F.coalesce("level", F.lit(0)))
-        blocks = _block_columns("hash", distance, 0)
+        blocks = _block_columns("mixed", distance, 0)
         for c in present:
-            blocks = F.when(F.col("level") == c, _block_columns("hash", distance, c)).otherwise(blocks)
-        slim = slim.withColumn("block", F.explode(blocks))
+            blocks = F.when(F.col("level") == c, _block_columns("mixed", distance, c)).otherwise(blocks)
+        slim = slim.withColumn("block", F.explode(blocks)).drop("mixed")
     else:
         slim = slim.withColumns({"level": F.lit(0), "block": F.lit(0).cast("long")})
 

@@ -70,3 +70,32 @@ def test_empty_and_null_only_tables(photos_of):
 def test_distance_is_checked(photos_of):
     with pytest.raises(ValueError):
         near.near_pairs(photos_of([]), distance=16)
+
+
+def test_regrouping_keeps_distances_and_agrees_with_the_column(spark):
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    x = near.regrouped(h)
+    assert (np.bitwise_count(h[:, None] ^ h[None, :]) == np.bitwise_count(x[:, None] ^ x[None, :])).all()
+    ones = near.regrouped(np.uint64(1) << np.arange(64, dtype=np.uint64))
+    assert len(set(ones.tolist())) == 64
+    # each new byte has one bit of every old byte and of every place in a byte
+    place = {int(v).bit_length() - 1: k for k, v in enumerate(ones.tolist())}
+    for byte in range(8):
+        old = [place[8 * byte + k] for k in range(8)]
+        assert sorted(o // 8 for o in old) == list(range(8)) and sorted(o % 8 for o in old) == list(range(8))
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(int(v),) for v in h.view(np.int64)], "h long")
+    got = [r.x for r in df.select(near._regrouped_column(F.col("h")).alias("x")).collect()]
+    assert got == x.view(np.int64).tolist()
+
+
+def test_hashes_with_cut_off_bits_do_not_meet_all(monkeypatch):
+    rng = np.random.default_rng(6)
+    h = np.unique(rng.integers(0, 2**53, 20_000, dtype=np.uint64) << np.uint64(11))
+    met = []
+    expand = near._expand
+    monkeypatch.setattr(near, "_expand", lambda a, b: (met.append(int(b.sum())), expand(a, b))[1])
+    found = sum(len(i) for i, _ in near.hash_pairs(near.regrouped(h)))
+    assert sum(met) < 0.1 * len(h) ** 2 / 2 and found < 100
