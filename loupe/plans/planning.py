@@ -170,7 +170,7 @@ def p5(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("P6_runtime_text", f"""
-WITH {_SHOWS}, t AS (SELECT slideshow_id, (wanted * secs)::BIGINT AS s FROM s)
+WITH {_SHOWS}, t AS (SELECT slideshow_id, trunc(wanted * secs)::BIGINT AS s FROM s)
 SELECT slideshow_id, CASE WHEN s >= 3600 THEN (s // 3600) || 'h ' || (s % 3600 // 60) || 'm ' || (s % 60) || 's'
   WHEN s >= 60 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE s || 's' END AS runtime FROM t""")
 def p6(spark: SparkSession, folder: str) -> DataFrame:
@@ -255,7 +255,7 @@ def f_numbers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("F_clock_text", f"""
-WITH {_SHOWS}, t AS (SELECT slideshow_id, (wanted * secs)::BIGINT AS s FROM s)
+WITH {_SHOWS}, t AS (SELECT slideshow_id, trunc(wanted * secs)::BIGINT AS s FROM s)
 SELECT slideshow_id, (s // 3600) || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS clock FROM t""")
 def f_clock(spark: SparkSession, folder: str) -> DataFrame:
     return _shows(spark, folder).select("slideshow_id", text.clock_text(F.col("wanted") * F.col("secs")).alias("clock"))
