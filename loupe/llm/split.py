@@ -31,8 +31,8 @@ LIMIT_TOKENS = 256
 OVERLAP_TOKENS = 32
 #: Part of a text around its midpoint in which the strongest boundary is looked for.
 MIDDLE = 0.5
-#: Pre-tokens of more characters are cut into atoms of this many.
-ATOM_CHARS = 8
+#: Pre-tokens of more tokens than this (or half the overlap) are cut into runs of a quarter as many characters.
+ATOM_TOKENS = 16
 
 #: First code of the scripts that set no blanks after punctuation.
 WIDE = 0x2E80
@@ -51,31 +51,48 @@ _CLOSERS = frozenset(".!?…。！？｡؟।,;:，、；：—–\"'”’»)]
 class Atoms:
     """Atoms of a text: where they begin, tokens before them, strength of the boundary there."""
 
-    def __init__(self, text: str, bpe: ByteBPE):
+    def __init__(self, text: str, bpe: ByteBPE, overlap: int = 0):
+        # an atom must fit in the overlap; a character takes four tokens at the most
+        whole = max(1, min(ATOM_TOKENS, overlap // 2)) if overlap else ATOM_TOKENS
+        chars = max(1, whole // 4)
         starts: list[int] = []
         sizes: list[int] = []
         strengths: list[int] = []
+        known, ids_of = bpe.known.get, bpe.ids_of
         at = 0
         white_from: int | None = None  # start of the white space that ends at the next atom
         for piece in bpe.pieces(text):
-            blank = piece.isspace()
-            lead = piece[0].isspace()
-            begin = white_from if white_from is not None else at
-            gap = text[begin : at + (1 if lead and not blank else 0)]
-            if not at:
-                strength = NONE
-            elif blank:
+            end = at + len(piece)
+            if piece.isspace():
                 # a boundary before white space would leave the white space to the next piece
                 strength = NONE
+                if white_from is None:
+                    white_from = at
+            elif not at:
+                strength = NONE
             else:
-                strength = self._strength(text, begin, gap)
-            parts = [piece] if len(piece) <= ATOM_CHARS else [piece[k : k + ATOM_CHARS] for k in range(0, len(piece), ATOM_CHARS)]
-            for k, part in enumerate(parts):
+                lead = piece[0].isspace()
+                if white_from is not None:
+                    strength = self._strength(text, white_from, text[white_from : at + lead])
+                    white_from = None
+                elif text[at - 1] in _CLOSERS:
+                    strength = self._strength(text, at, piece[0] if lead else "")
+                elif lead:
+                    strength = BLANK
+                else:
+                    strength = KIND
+            size = len(known(piece) or ids_of(piece))
+            if size <= whole:
                 starts.append(at)
-                sizes.append(len(bpe.ids_of(part)))
-                strengths.append(NONE if k else strength)
-                at += len(part)
-            white_from = (begin if white_from is not None else at - len(piece)) if blank else None
+                sizes.append(size)
+                strengths.append(strength)
+            else:
+                for k in range(0, end - at, chars):
+                    part = piece[k : k + chars]
+                    starts.append(at + k)
+                    sizes.append(len(known(part) or ids_of(part)))
+                    strengths.append(NONE if k else strength)
+            at = end
         self.starts = starts + [at]
         self.before = np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64))]).astype(np.int64)
         self.strength = np.array(strengths + [NONE], dtype=np.int8)
@@ -120,7 +137,7 @@ def split_text(text: str, bpe: ByteBPE, limit: int = LIMIT_TOKENS, overlap: int
     tokens = bpe.count(text)
     if tokens <= limit:
         return [(0, 0, len(text), tokens)]
-    atoms = Atoms(text, bpe)
+    atoms = Atoms(text, bpe, overlap)
     starts, before = atoms.starts, atoms.before
     most = limit - overlap
     out: list[tuple[int, int, int, int]] = []
@@ -134,8 +151,10 @@ def split_text(text: str, bpe: ByteBPE, limit: int = LIMIT_TOKENS, overlap: int
         first = a
         if out and overlap:
             first = int(np.searchsorted(before, before[a] - overlap, side="left"))
+        while first < a and bpe.count(text[starts[first] : starts[a]]) > overlap:
+            first += 1
         size = bpe.count(text[starts[first] : starts[b]])
-        while first < a and (size > limit or bpe.count(text[starts[first] : starts[a]]) > overlap):
+        while first < a and size > limit:
             first += 1
             size = bpe.count(text[starts[first] : starts[b]])
         if size > limit and b - a > 1:
@@ -158,11 +177,10 @@ def split_column(
     parts text[new:end] of all pieces put together are the text.  text[start:new]
     repeats the end of the piece before: as many whole atoms as ``overlap`` tokens
     hold.  A text within the limit is one piece; a null or empty text has none.
-    limit must exceed overlap by 32 at least (one atom of characters that take
-    four tokens each).  No shuffle; rows are independent, repeated ones included.
+    limit must exceed overlap by 32 at least (two of the largest atoms).  No shuffle; rows are independent, repeated ones included.
     """
-    if overlap < 0 or limit < overlap + 4 * ATOM_CHARS:
-        raise ValueError(f"the limit must exceed the overlap by {4 * ATOM_CHARS} tokens at least")
+    if overlap < 0 or limit < overlap + 2 * ATOM_TOKENS:
+        raise ValueError(f"the limit must exceed the overlap by {2 * ATOM_TOKENS} tokens at least")
     path = path or vocabulary()
     slim = rows.select(*(F.col(c) for c in keep), F.col(text).cast("string").alias("__text"))
     schema = StructType([

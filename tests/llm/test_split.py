@@ -36,7 +36,10 @@ def test_cuts_lie_at_the_strongest_boundaries(bpe):
     for start, new, end, _ in split.split_text(text, bpe, 128, 16)[:-1]:
         assert text[:end].endswith("\n\n")
     for _, _, end, _ in split.split_text("One two three. " * 200, bpe, 100, 10)[:-1]:
-        assert ("One two three. " * 200)[:end].endswith(". ")
+        assert ("One two three. " * 200)[:end].endswith(".")  # a blank goes with the word behind it
+    words = "supercalifragilistic expialidocious " * 90
+    for _, new, _, _ in split.split_text(words, bpe, 100, 32)[1:]:
+        assert words[new].isspace() or words[new - 1].isspace()
     japanese = "彼は言った。" * 300
     assert all(japanese[:end].endswith("。") for _, _, end, _ in split.split_text(japanese, bpe, 100, 10))
 
