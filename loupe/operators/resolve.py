@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loupe.functions.text import ASIDE, file_name, folder
-from loupe.session import _path
+from loupe.session import _path, ship_code
 
 MOST_NAMES = 9999
 
@@ -70,6 +70,7 @@ def collision_free(plan: DataFrame, existing: DataFrame | None = None) -> DataFr
     are given out in order, but only among names that can meet: those of a folder
     that are equal without their trailing numbers.
     """
+    ship_code(plan.sparkSession)
     name = file_name("path")
     ext = F.regexp_extract(name, r"(\.[^.]*)$", 1)
     root = F.regexp_replace(name, r"\.[^.]*$", "")

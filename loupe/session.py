@@ -11,7 +11,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +62,29 @@ def shared_dir(spark: SparkSession) -> str:
     return made.name
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of the application, once.
+
+    Functions that run in workers refer to the package by name; on a cluster, or
+    where the driver found it by its own search path, workers could not import it.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    made = tempfile.TemporaryDirectory(prefix="loupe-code-")  # served by the driver as long as it runs
+    atexit.register(made.cleanup)
+    archive = Path(made.name) / "loupe-code.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def _path(spark: SparkSession, uri: str):
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(uri)
@@ -89,6 +114,7 @@ class Scratch:
     tables: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        ship_code(self.spark)
         self.root = f"{shared_dir(self.spark)}/{self.name}-{uuid.uuid4().hex}"
         atexit.register(delete, self.spark, self.root)
 

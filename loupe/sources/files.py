@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from loupe.functions.text import image_not_supported, set_aside, supported_format
-from loupe.session import _path
+from loupe.session import _path, ship_code
 
 LISTED = "path string, file_size long, modified timestamp, root_ordinal int"
 
@@ -43,6 +43,7 @@ def list_files(spark: SparkSession, roots: list[str], *, with_content: bool = Fa
     and a path met below two roots counts for the first.  Without content no file
     is opened.  Names that begin with a dot or an underscore are not listed.
     """
+    ship_code(spark)
     frames = []
     for ordinal, root in existing_roots(spark, roots):
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)

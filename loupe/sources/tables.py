@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loupe.session import ship_code
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")

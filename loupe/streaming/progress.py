@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from loupe.operators.dedup import detect, provisional_groups
 from loupe.operators.progress import parse_line
 from loupe.operators.sessions import SessionTable
+from loupe.session import _path, ship_code
 
 
 def read_lines(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
@@ -44,8 +45,6 @@ def keep_sessions(stream: DataFrame, store: SessionTable, state: str) -> None:
     A batch that was merged before a failure and is delivered again is skipped by
     its number, which the store's folder holds beside the table.
     """
-    from loupe.session import _path
-
     def merge(batch: DataFrame, number: int) -> None:
         fs, mark = _path(store.spark, f"{store.root}/batches/{number}")
         if fs.exists(mark):
@@ -73,6 +72,7 @@ def throttle_stream(stream: DataFrame, key: str, done: str, every: int) -> DataF
             state.update((shown,))
         yield pd.DataFrame({key: [k[0]] * len(out), done: out})
 
+    ship_code(stream.sparkSession)
     schema = stream.select(key, F.col(done).cast("long").alias(done)).schema
     slim = stream.select(key, F.col(done).cast("long").alias(done))
     return slim.groupBy(key).applyInPandasWithState(pick, schema, "shown long", "append", GroupStateTimeout.NoTimeout)
@@ -97,6 +97,7 @@ def rolling_stream(stream: DataFrame, key: str, order: str, value: str, capacity
         state.update((window,))
         yield pd.DataFrame({key: [k[0]] * len(rows), value: rows, "evicted": pd.array(evicted, dtype="Int64")})
 
+    ship_code(stream.sparkSession)
     slim = stream.select(key, order, F.col(value).cast("long").alias(value)) if order != value else stream.select(key, F.col(value).cast("long").alias(value))
     kind = dict(stream.dtypes)[key]
     return slim.groupBy(key).applyInPandasWithState(
