@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loupe.session import ship_code
+
 #: Consecutive words that make a passage.
 PASSAGE_WORDS = 8
 #: Words of one shard; a longer document is a shard of its own.
@@ -209,6 +211,7 @@ def leaked_passages(
     Whole texts are searched, of any length.
     """
     spark = documents.sparkSession
+    ship_code(spark)
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     slim = slim.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     found: DataFrame | None = None

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from loupe.functions.keys import NEAR_BITS, sha_key, usable_hash
 from loupe.operators.current import current_photos
-from loupe.session import bounded
+from loupe.session import bounded, ship_code
 
 #: Rows of a group that one task compares without cutting the group into blocks.
 GROUP_LIMIT = 60_000
@@ -287,6 +287,7 @@ def near_pairs(
     """
     if not 0 <= distance <= 15:
         raise ValueError("distance must lie between 0 and 15 bits")
+    ship_code(rows.sparkSession)
     slim = rows.select(
         F.col(group).alias("grp"), F.col(id).cast("long").alias("id"), F.col(hash).cast("long").alias("hash"),
         *([F.col(same).alias("same")] if same else []),

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from loupe.llm.tokenizer import ByteBPE, byte_bpe, vocabulary
+from loupe.session import ship_code
 
 LIMIT_TOKENS = 256
 OVERLAP_TOKENS = 32
@@ -181,6 +182,7 @@ def split_column(
     """
     if overlap < 0 or limit < overlap + 2 * ATOM_TOKENS:
         raise ValueError(f"the limit must exceed the overlap by {2 * ATOM_TOKENS} tokens at least")
+    ship_code(rows.sparkSession)
     path = path or vocabulary()
     slim = rows.select(*(F.col(c) for c in keep), F.col(text).cast("string").alias("__text"))
     schema = StructType([

@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from loupe.session import ship_code
+
 VOCABULARY_DIR = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 #: How the byte-level vocabularies' texts are cut; fixed by the vocabulary.
@@ -175,6 +177,7 @@ def encode_column(rows: DataFrame, text: str = "text", *, keep: list[str], path:
     text.  One output row per input row, repeated rows and null keys included;
     only the columns named are read.  No shuffle: rows stay where they are.
     """
+    ship_code(rows.sparkSession)
     slim = rows.select(*(F.col(c) for c in keep), F.col(text).cast("string").alias("__text"))
     schema = StructType([*slim.drop("__text").schema.fields, StructField(out, ArrayType(IntegerType()))])
 
