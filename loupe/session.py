@@ -9,6 +9,7 @@ checkpoint computes its last stage twice).
 from __future__ import annotations
 
 import atexit
+import py_compile
 import tempfile
 import uuid
 import zipfile
@@ -80,7 +81,12 @@ def ship_code(spark: SparkSession) -> None:
     archive = Path(made.name) / "loupe-code.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
         for source in sorted(package.rglob("*.py")):
-            out.write(source, source.relative_to(package.parent))
+            name = source.relative_to(package.parent)
+            out.write(source, name)
+            # compiled as well, so that not every worker compiles; other Python versions take the source
+            compiled = Path(made.name) / "module.pyc"
+            py_compile.compile(str(source), str(compiled), doraise=True, invalidation_mode=py_compile.PycInvalidationMode.UNCHECKED_HASH)
+            out.write(compiled, name.with_suffix(".pyc"))
     context.addPyFile(str(archive))
     _SHIPPED.add(context.applicationId)
 
