@@ -1,19 +1,21 @@
-"""Choosing a varied subset (problem 4): two-round lazy greedy facility location.
+"""Choosing a varied subset (problem 4): lazy greedy facility location in rounds.
 
 A subset S of a library covers photo i as well as its most similar member:
 F(S) is the sum over all photos of max similarity to S.  F is monotone and
 submodular, so the greedy choice is within 1 - 1/e of the best, and a large burst
 or set of copies is covered by its first pick: further picks from it gain nothing.
 
-Round 1: a library's photos fall into blocks by a hash of their id.  Each block
-nominates, by lazy greedy over itself, its share of three times the wanted
-number, and gives every nominee its part of the coverage of the block's photos.
-Round 2: lazy greedy over a library's nominees, weighted by those parts.
+A library's photos fall into blocks by a hash of their id.  Each block nominates,
+by lazy greedy over itself, the full wanted number, and gives every nominee its
+part of the coverage of the block's photos.  Where the nominees of all blocks are
+many, those of a few blocks become a block of the next round and nominate again,
+weighted by those parts.  Last, lazy greedy over what is left of a library.
 
 The greedy order is nested, so one order per library serves all requests: a
 request takes the first ``wanted`` photos.  Blocks hold about as many photos as
-there are blocks (512 at least), hence round 2 sees at most three times
-the wanted number and one nominee more per block, and no task ever holds a library.
+there are blocks, 512 and twice the wanted number at least, later rounds
+``MERGE_ROWS`` nominees or twice the wanted number: a task holds a library only if
+about half of it is wanted.
 """
 
 from __future__ import annotations
@@ -37,11 +39,13 @@ TIME_REACH = GAP_SECONDS * 1_000_000
 #: Weights of looks and time; a photo is fully similar (1) only to itself and its like.
 HASH_WEIGHT, TIME_WEIGHT = 0.7, 0.3
 BLOCK_ROWS = 512
-#: Nominees per wanted photo.
-OVERSAMPLING = 3
+#: Nominees merged into one block of the next round, of two blocks at least.
+MERGE_ROWS = 4096
 #: Pairs compared at once.
 SLICE = 1 << 20
 MANY_LIBRARIES = 100_000
+_NODE = "library string, wanted long, block long, blocks long, seq long, dhash long, t long, weight double"
+_NODE_COLUMNS = ["library", "wanted", "block", "blocks", "seq", "dhash", "t", "weight"]
 
 
 _BY_BITS = np.maximum(0, 1 - np.arange(65) / HASH_REACH).astype(np.float32) * np.float32(HASH_WEIGHT)
@@ -132,13 +136,15 @@ def _similarity(table: pa.Table) -> Similarity:
 
 
 def _nominate(table: pa.Table) -> pa.Table:
+    """The wanted number of a block's rows, with their parts of its coverage; a library of one block waits for the last round."""
+    wanted = table.column("wanted")[0].as_py()
+    if table.column("blocks")[0].as_py() == 1 or table.num_rows <= wanted:
+        return table.select(_NODE_COLUMNS)
     table = table.sort_by("seq")
-    n, wanted, total = table.num_rows, table.column("wanted")[0].as_py(), table.column("n")[0].as_py()
-    share = min(n, -(-OVERSAMPLING * wanted * n // total) + 1)
-    picks, _, nearest, best = lazy_greedy(_similarity(table), np.ones(n), share)
-    weights = np.bincount(nearest, weights=best, minlength=len(picks))
-    chosen = table.take(pa.array(picks))
-    return chosen.select(["library", "wanted", "seq", "dhash", "t"]).append_column("weight", pa.array(weights))
+    weights = table.column("weight").to_numpy()
+    picks, _, nearest, best = lazy_greedy(_similarity(table), weights, wanted)
+    parts = np.bincount(nearest, weights=best * weights, minlength=len(picks))
+    return table.take(pa.array(picks)).drop_columns(["weight"]).append_column("weight", pa.array(parts)).select(_NODE_COLUMNS)
 
 
 def _choose(table: pa.Table) -> pa.Table:
@@ -152,7 +158,7 @@ def _choose(table: pa.Table) -> pa.Table:
     })
 
 
-def varied_order(photos: DataFrame, wanted: DataFrame, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def varied_order(photos: DataFrame, wanted: DataFrame, *, block_rows: int = BLOCK_ROWS, merge_rows: int = MERGE_ROWS) -> DataFrame:
     """(``library``, ``place``, ``seq``, ``gain``): each library's photos in greedy order.
 
     wanted: (library, wanted), one row per library; at most ``wanted`` photos of a
@@ -165,13 +171,26 @@ def varied_order(photos: DataFrame, wanted: DataFrame, *, block_rows: int = BLOC
     small = F.broadcast if bounded(wanted, MANY_LIBRARIES) else (lambda x: x)
     now = current_photos(photos, "library", usable_hash("dhash").alias("dhash"), micros("capture_time").alias("t"))
     now, _ = scratch.cut(now.join(small(wanted), "library"), "now")
-    sizes = now.groupBy("library").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / F.greatest(F.lit(block_rows), F.ceil(F.sqrt("n")))))
-    blocks = now.join(small(sizes), "library").withColumn("block", F.pmod(F.xxhash64("seq"), F.col("blocks")))
-    nominees = blocks.groupBy("library", "block").applyInArrow(
-        _nominate, "library string, wanted long, seq long, dhash long, t long, weight double"
-    )
-    return nominees.groupBy("library").applyInArrow(_choose, "library string, place long, seq long, gain double")
+    sizes = now.groupBy("library").agg(F.count(F.lit(1)).alias("n"), F.first("wanted").alias("most"))
+    rows = F.greatest(F.lit(block_rows).cast("long"), F.ceil(F.sqrt("n")), 2 * F.col("most"))
+    sizes = sizes.select("library", F.ceil(F.col("n") / rows).alias("blocks"))
+    nodes = now.join(small(sizes), "library").withColumn("block", F.pmod(F.xxhash64("seq"), F.col("blocks"))).withColumn("weight", F.lit(1.0))
+    # How many rounds any library needs; a library that needs fewer passes through the others.
+    fan = F.greatest(F.lit(2), F.floor(merge_rows / F.col("wanted"))).cast("long")
+    widths = now.select("library", "wanted").distinct().join(small(sizes), "library").select("blocks", fan.alias("fan")).distinct().collect()
+    rounds = max((_rounds(r.blocks, r.fan) for r in widths), default=0)
+    for _ in range(rounds):
+        nodes = nodes.groupBy("library", "block").applyInArrow(_nominate, _NODE)
+        nodes = nodes.withColumn("block", F.floor(F.col("block") / fan)).withColumn("blocks", F.ceil(F.col("blocks") / fan))
+    return nodes.groupBy("library").applyInArrow(_choose, "library string, place long, seq long, gain double")
+
+
+def _rounds(blocks: int, fan: int) -> int:
+    """Rounds of merging ``fan`` blocks into one until one is left."""
+    n = 0
+    while blocks > 1:
+        blocks, n = -(-blocks // fan), n + 1
+    return n
 
 
 def varied_subsets(requests: DataFrame, photos: DataFrame, **options) -> DataFrame:

@@ -77,6 +77,40 @@ def test_a_burst_gets_one_photo_before_others_go_without(spark, photos_of):
     assert sum(x < 500 for x in got) == 1 and len(got) == 10
 
 
+def skewed_bursts(n, seed):
+    """Ten bursts of very different sizes, each of one look and far apart in time, and ten photos that are like no other."""
+    rng = np.random.default_rng(seed)
+    looks = [int(x) * 2 + 1 for x in rng.integers(1, 2**63, 20)]
+    sizes = [int(n * p) for p in (0.33, 0.20, 0.10, 0.08, 0.07, 0.06, 0.05, 0.04, 0.04, 0.03)] + [1] * 10
+    rows, burst_of = [], {}
+    for k, size in enumerate(sizes):
+        for i in range(size):
+            seq = len(rows) + 1
+            burst_of[seq] = k
+            rows.append(photo(seq, dhash=looks[k] ^ 1 << int(rng.integers(1, 64)), t=k * 1_000_000 + i % 600))
+    return rows, burst_of
+
+
+def _against_plain_greedy(spark, photos_of, merge_rows):
+    rows, burst_of = skewed_bursts(2400, 3)
+    asked = spark.createDataFrame([(1, "a", 10)], ASK)
+    # 40 blocks of about 60 photos, of which a share of 3 * 10 / 40 would be one or two nominees
+    got = [r.seq for r in diverse.varied_subsets(asked, photos_of(rows), block_rows=60, merge_rows=merge_rows).collect()]
+    s = similarity_of(rows)
+    plain, best = plain_greedy(s, 10)
+    assert len(set(got)) == 10 and {burst_of[x] for x in got} == {burst_of[p + 1] for p in plain} == set(range(10))
+    assert value(s, [x - 1 for x in got]) >= 0.95 * best
+
+
+def test_many_blocks_small_request_and_skewed_bursts(spark, photos_of):
+    _against_plain_greedy(spark, photos_of, diverse.MERGE_ROWS)
+
+
+def test_merging_nominees_in_several_rounds(spark, photos_of):
+    assert diverse._rounds(40, 3) == 4
+    _against_plain_greedy(spark, photos_of, 30)
+
+
 def test_requests(spark, photos_of):
     rows = messy_photos(120, 8)
     now = now_of(rows)
