@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loupe.functions.keys import GAP_SECONDS, NEAR_BITS, hamming, micros
 
+#: Rows of a block that is compared with all rows of another, and pairs compared at once.
+COMPARE_ROWS, COMPARE_SLICE = 4096, 1 << 22
+
 
 def _bands(distance: int) -> list[tuple[int, int]]:
     """(shift, width) of distance + 1 nearly equal parts of 64 bits."""
@@ -49,6 +56,49 @@ def near_hashes(hashes: DataFrame, *, group: str = "library", id: str = "seq", h
     )
 
 
+def block_pairs(hashes: DataFrame, *, group: str = "library", id: str = "seq", hash: str = "dhash", rows: int = COMPARE_ROWS) -> DataFrame:  # noqa: A002
+    """(``grp``, ``i``, ``j``, ``block``, ``id``, ``h``): the rows of blocks i <= j of a group, for every two of its blocks.
+
+    Rows with a null group, id or hash are in no block.
+    """
+    known = hashes.filter(F.col(group).isNotNull() & F.col(id).isNotNull() & F.col(hash).isNotNull())
+    known = known.select(F.col(group).alias("grp"), F.col(id).alias("id"), F.col(hash).alias("h"))
+    sizes = known.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / rows).alias("blocks"))
+    placed = known.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return placed.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "h")
+
+
+def near_in_blocks(table: pa.Table, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, ids, bits) of the pairs near each other of two blocks, or of one block with itself, in slices."""
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    block, ids, h = (table.column(c).to_numpy() for c in ("block", "id", "h"))
+    h = h.view(np.uint64)
+    x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    step = max(1, COMPARE_SLICE // max(1, len(y)))
+    for low in range(0, len(x), step):
+        bits = np.bitwise_count(h[x[low : low + step]][:, None] ^ h[y][None, :])
+        r, c = np.nonzero(bits <= distance)
+        if i == j:
+            once = r + low < c
+            r, c = r[once], c[once]
+        yield ids[x[low + r]], ids[y[c]], bits[r, c]
+
+
+def compared_pairs(hashes: DataFrame, *, distance: int, **names) -> DataFrame:
+    """What ``near_hashes`` gives, from comparing all pairs of a group block by block.
+
+    For distances at which parts of a hash are too short to tell hashes apart.
+    """
+    schema = pa.schema([("id_a", pa.int64()), ("id_b", pa.int64()), ("bits", pa.int32())])
+
+    def of(table: pa.Table) -> pa.Table:
+        parts = [pa.table([np.minimum(a, b), np.maximum(a, b), bits.astype(np.int32)], schema=schema) for a, b, bits in near_in_blocks(table, distance)]
+        return pa.concat_tables(parts) if parts else schema.empty_table()
+
+    return block_pairs(hashes, **names).groupBy("grp", "i", "j").applyInArrow(of, "id_a long, id_b long, bits int")
+
+
 def exact_classes(photos: DataFrame, *, group: str = "library", by: str = "sha") -> DataFrame:
     """(``seq``, ``leader``, ``copies``): photos whose bytes some other photo of the library has.
 

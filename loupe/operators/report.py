@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from loupe.functions.keys import hamming
 from loupe.functions.text import file_name
-from loupe.operators.edges import near_hashes
+from loupe.operators.edges import compared_pairs, near_hashes
 from loupe.operators.graph import components
 from loupe.session import Scratch
 
+#: Greatest distance for which pairs are found by equal parts of their hashes; beyond it all pairs are compared.
+PARTS_BITS = 12
+
 
 def close_pairs(photos: DataFrame, most: int = 22, *, group: str = "library") -> DataFrame:
     """(id_a, id_b, bits, name_a, name_b): pairs at most ``most`` bits apart, with file names."""
     names = photos.select("seq", file_name("path").alias("name"))
-    pairs = near_hashes(photos, group=group, distance=most)
+    pairs = (near_hashes if most <= PARTS_BITS else compared_pairs)(photos, group=group, distance=most)
     return pairs.join(names.toDF("id_a", "name_a"), "id_a").join(names.toDF("id_b", "name_b"), "id_b").select("id_a", "id_b", "bits", "name_a", "name_b")
 
 

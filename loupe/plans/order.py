@@ -128,6 +128,19 @@ def o4(spark: SparkSession, folder: str) -> DataFrame:
     return with_position(pairs, ["bits", "name_a", "id_a", "id_b"]).select("id_a", "id_b", "bits", "position")
 
 
+#: The greatest distance that the reference lists.
+CLOSE_BITS = 22
+
+
+@query("O4_close_pairs_22", f"""
+WITH {NOW}, p AS (SELECT a.seq AS id_a, b.seq AS id_b, bit_count(xor(a.dhash, b.dhash))::INT AS bits, regexp_extract(a.path, '([^/\\\\]*)$', 1) AS name
+  FROM now a JOIN now b ON a.library = b.library AND a.seq < b.seq AND bit_count(xor(a.dhash, b.dhash)) <= {CLOSE_BITS})
+SELECT id_a, id_b, bits, row_number() OVER (ORDER BY bits, name NULLS FIRST, id_a, id_b) AS position FROM p""")
+def o4_22(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = report.close_pairs(now(spark, folder, "library", "path", "dhash"), CLOSE_BITS)
+    return with_position(pairs, ["bits", "name_a", "id_a", "id_b"]).select("id_a", "id_b", "bits", "position")
+
+
 _SWEEP = f"""
 {NOW}, near AS (
   SELECT a.seq AS a, b.seq AS b, bit_count(xor(a.dhash, b.dhash)) AS d

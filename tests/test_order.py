@@ -4,7 +4,8 @@ import random
 import numpy as np
 import pytest
 
-from loupe.operators import order, positions
+from loupe.operators import edges, order, positions, report
+from loupe.plans import registry
 
 T0 = dt.datetime(2026, 5, 25, 10)
 NOW = "seq long, library string, path string, capture_time timestamp_ntz, dhash long, sha string"
@@ -92,3 +93,39 @@ def test_positions(spark, n):
     df = spark.range(n).selectExpr("id", "id % 7 AS k")
     got = sorted((r.k, r.id, r.position) for r in positions.with_position(df, ["k", "id"]).collect())
     assert [p for _, _, p in got] == list(range(1, n + 1))
+
+
+def _hashed(spark, n, seed, libraries=("a", "a", "b")):
+    """Photos with hashes near each other, equal or missing, and one without a library."""
+    rng = random.Random(seed)
+    base = [rng.getrandbits(64) for _ in range(n // 20)]
+    rows = []
+    for seq in range(1, n + 1):
+        h = rng.choice(base)
+        for b in rng.sample(range(64), rng.choice([0, 3, 9, 14, 18])):
+            h ^= 1 << b
+        h = h - (1 << 64) if h >> 63 else h
+        rows.append((seq, rng.choice(libraries), f"/p/{seq % 7}.jpg", None if seq % 11 == 0 else h))
+    rows.append((n + 1, None, "/p/x.jpg", rows[0][3]))
+    return rows, spark.createDataFrame(rows, "seq long, library string, path string, dhash long")
+
+
+def _near(rows, most):
+    bits = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1")
+    known = [r for r in rows if r[1] is not None and r[3] is not None]
+    return {(x[0], y[0]): bits(x[3], y[3]) for x in known for y in known if x[0] < y[0] and x[1] == y[1] and bits(x[3], y[3]) <= most}
+
+
+def test_pairs_at_22_bits_in_several_blocks_match_brute_force(spark):
+    rows, df = _hashed(spark, 150, 4)
+    want = _near(rows, 22)
+    got = edges.compared_pairs(df, distance=22, rows=20).collect()
+    assert len(got) == len(want) and {(r.id_a, r.id_b): r.bits for r in got} == want
+    assert {(r.id_a, r.id_b): r.bits for r in report.close_pairs(df, 22).collect()} == want and max(want.values()) == 22
+
+
+def test_query_lists_pairs_up_to_the_distance_of_the_reference(spark, data_dir):
+    queries = registry.queries()
+    short = {(r.id_a, r.id_b) for r in queries["O4_close_pairs"](spark, data_dir).collect()}
+    whole = {(r.id_a, r.id_b): r.bits for r in queries["O4_close_pairs_22"](spark, data_dir).collect()}
+    assert short < set(whole) and max(whole.values()) == 22 and {k for k, bits in whole.items() if bits <= 12} == short
