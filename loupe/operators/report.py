@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loupe.functions.keys import hamming
 from loupe.functions.text import file_name
-from loupe.operators.edges import compared_pairs, near_hashes
+from loupe.operators.edges import COMPARE_ROWS, block_pairs, compared_pairs, near_hashes, near_in_blocks
 from loupe.operators.graph import components
 from loupe.session import Scratch
 
@@ -28,8 +30,10 @@ def threshold_sweep(photos: DataFrame, thresholds: list[int], *, group: str = "l
     """(threshold, seq, component): groups of two or more at each threshold.
 
     Distances are taken once, for the greatest threshold; the driver loops over
-    the thresholds only.
+    the thresholds only.  Great thresholds go to ``compared_sweep``.
     """
+    if max(thresholds) > PARTS_BITS:
+        return compared_sweep(photos, thresholds, group=group)
     scratch = Scratch(photos.sparkSession, "sweep")
     pairs, _ = scratch.cut(near_hashes(photos, group=group, distance=max(thresholds)), "pairs")
     parts = [
@@ -39,6 +43,97 @@ def threshold_sweep(photos: DataFrame, thresholds: list[int], *, group: str = "l
     return reduce(DataFrame.unionByName, parts)
 
 
+def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Give all that the ties a - b connect the smallest of their labels; label[label] is label, before and after."""
+    while True:
+        x, y = label[a], label[b]
+        differ = x != y
+        if not differ.any():
+            return
+        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(further := label[label], label):
+            label[:] = further
+
+
+def _forest(n: int, a: np.ndarray, b: np.ndarray, level: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fewer than n ties that connect what the ties a - b up to any level connect."""
+    label, out = np.arange(n), []
+    for k in range(levels):
+        before = label.copy()
+        here = level == k
+        _merge(label, a[here], b[here])
+        moved = np.flatnonzero((before == np.arange(n)) & (label != before))
+        out.append((moved, label[moved], np.full(len(moved), k)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+_TIES = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("level", pa.int32())])
+
+
+def _with_group(table: pa.Table, ties: pa.Table) -> pa.Table:
+    return ties.add_column(0, "grp", pa.array([table.column("grp")[0].as_py()] * len(ties), table.column("grp").type))
+
+
+def _ties(ids: np.ndarray, forest: tuple, table: pa.Table) -> pa.Table:
+    a, b, level = forest
+    i, j = (np.full(len(a), table.column(c)[0].as_py()) for c in ("i", "j"))
+    return _with_group(table, pa.table([i, j, ids[a], ids[b], level.astype(np.int32)], schema=_TIES))
+
+
+def _sweep_blocks(table: pa.Table, thresholds: list[int]) -> pa.Table:
+    """Ties of two blocks, level k standing for the kth threshold."""
+    ids = np.unique(table.column("id").to_numpy())
+    known = tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
+    for a, b, bits in near_in_blocks(table, thresholds[-1]):
+        fresh = np.searchsorted(ids, a), np.searchsorted(ids, b), np.searchsorted(thresholds, bits)
+        known = _forest(len(ids), *(np.concatenate(x) for x in zip(known, fresh)), len(thresholds))
+    return _ties(ids, known, table)
+
+
+def _numbered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    a, b, level = (table.column(c).to_numpy() for c in ("a", "b", "level"))
+    ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    return ids, place[: len(a)], place[len(a) :], level
+
+
+def _reduce_ties(table: pa.Table, levels: int) -> pa.Table:
+    ids, a, b, level = _numbered(table)
+    return _ties(ids, _forest(len(ids), a, b, level, levels), table)
+
+
+def _sweep_labels(table: pa.Table, thresholds: list[int]) -> pa.Table:
+    ids, a, b, level = _numbered(table)
+    label, parts = np.arange(len(ids)), []
+    for k, t in enumerate(thresholds):
+        here = level == k
+        _merge(label, a[here], b[here])
+        grouped = np.bincount(label, minlength=len(ids))[label] > 1
+        parts.append((np.full(grouped.sum(), t, dtype=np.int32), ids[grouped], ids[label[grouped]]))
+    return pa.table([np.concatenate(x) for x in zip(*parts)], names=["threshold", "seq", "component"])
+
+
+def compared_sweep(photos: DataFrame, thresholds: list[int], *, group: str = "library", rows: int = COMPARE_ROWS) -> DataFrame:
+    """What ``threshold_sweep`` gives, for thresholds at which photos have very many others near them.
+
+    Of two blocks only ties are kept that connect the same at every threshold, fewer
+    than photos; ties of neighbouring blocks are merged in rounds, so the last task of a
+    library holds four ties a photo at most.
+    """
+    thresholds = sorted(set(thresholds))
+    scratch = Scratch(photos.sparkSession, "sweep")
+    kind = photos.schema[group].dataType.simpleString()
+    schema = f"grp {kind}, i long, j long, a long, b long, level int"
+    ties, _ = scratch.cut(
+        block_pairs(photos, group=group, rows=rows).groupBy("grp", "i", "j").applyInArrow(lambda t: _sweep_blocks(t, thresholds), schema), "ties"
+    )
+    last = ties.agg(F.max("j")).head()[0] or 0
+    while last > 1:
+        halved = ties.withColumn("i", F.shiftright("i", 1)).withColumn("j", F.shiftright("j", 1))
+        ties, last = halved.groupBy("grp", "i", "j").applyInArrow(lambda t: _reduce_ties(t, len(thresholds)), schema), last >> 1
+    return ties.groupBy("grp").applyInArrow(lambda t: _sweep_labels(t, thresholds), "threshold int, seq long, component long")
+
+
 def sweep_counts(sweep: DataFrame) -> DataFrame:
     """(threshold, n_groups, n_photos)"""
     groups = sweep.groupBy("threshold", "component").agg(F.count(F.lit(1)).alias("n"))

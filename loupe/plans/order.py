@@ -156,6 +156,15 @@ def a13(spark: SparkSession, folder: str) -> DataFrame:
     return report.sweep_counts(report.threshold_sweep(now(spark, folder, "library", "dhash"), [2, 4, 6, 8]))
 
 
+#: The thresholds of the reference.
+THRESHOLDS = [6, 8, 10, 12, 14, 16, 18, 20, 21, 22]
+
+
+@query("A13_threshold_sweep_10")
+def a13_10(spark: SparkSession, folder: str) -> DataFrame:
+    return report.sweep_counts(report.threshold_sweep(now(spark, folder, "library", "dhash"), THRESHOLDS))
+
+
 @query("U3_new_groups", f"""
 WITH RECURSIVE {_SWEEP}, g AS (SELECT t, string_agg(seq::VARCHAR, '|' ORDER BY seq) AS members FROM label GROUP BY t, component)
 SELECT t AS threshold, members FROM g WHERE t > 2 AND NOT EXISTS (SELECT 1 FROM g h WHERE h.t = g.t - 2 AND h.members = g.members)""")

@@ -6,6 +6,7 @@ import pytest
 
 from loupe.operators import edges, order, positions, report
 from loupe.plans import registry
+from loupe.plans.common import now
 
 T0 = dt.datetime(2026, 5, 25, 10)
 NOW = "seq long, library string, path string, capture_time timestamp_ntz, dhash long, sha string"
@@ -129,3 +130,50 @@ def test_query_lists_pairs_up_to_the_distance_of_the_reference(spark, data_dir):
     short = {(r.id_a, r.id_b) for r in queries["O4_close_pairs"](spark, data_dir).collect()}
     whole = {(r.id_a, r.id_b): r.bits for r in queries["O4_close_pairs_22"](spark, data_dir).collect()}
     assert short < set(whole) and max(whole.values()) == 22 and {k for k, bits in whole.items() if bits <= 12} == short
+
+
+THRESHOLDS = [6, 8, 10, 12, 14, 16, 18, 20, 21, 22]  # ThresholdDiagnostic.cs:79
+
+
+def _groups(rows, thresholds):
+    """{threshold: sets of two or more photos}, by union of all near pairs."""
+    near, out = _near(rows, max(thresholds)), {}
+    for t in thresholds:
+        parent = {r[0]: r[0] for r in rows}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for (a, b), bits in near.items():
+            if bits <= t:
+                a, b = find(a), find(b)
+                parent[max(a, b)] = min(a, b)
+        by = {}
+        for x in parent:
+            by.setdefault(find(x), set()).add(x)
+        out[t] = {frozenset(g) for g in by.values() if len(g) > 1}
+    return out
+
+
+def _current(spark, data_dir):
+    return [tuple(r) for r in now(spark, data_dir, "library", "path", "dhash").select("seq", "library", "path", "dhash").collect()]
+
+
+@pytest.mark.parametrize("block", [13, 50, 4096])
+def test_sweep_of_the_reference_matches_brute_force(spark, block):
+    rows, df = _hashed(spark, 160, 6)
+    want, got = _groups(rows, THRESHOLDS), {}
+    for r in report.compared_sweep(df, THRESHOLDS, rows=block).collect():
+        got.setdefault((r.threshold, r.component), set()).add(r.seq)
+    assert all(c == min(g) for (_, c), g in got.items())
+    assert {t: {frozenset(g) for (x, _), g in got.items() if x == t} for t in THRESHOLDS} == want
+    assert len({len(g) for g in want.values()}) > 5
+
+
+def test_sweep_query_counts_at_every_threshold_of_the_reference(spark, data_dir):
+    want = _groups(_current(spark, data_dir), THRESHOLDS)
+    got = registry.queries()["A13_threshold_sweep_10"](spark, data_dir).collect()
+    assert {r.threshold: (r.n_groups, r.n_photos) for r in got} == {t: (len(g), sum(map(len, g))) for t, g in want.items()}
+    assert [r.threshold for r in sorted(got)] == THRESHOLDS
