@@ -172,6 +172,11 @@ def u3(spark: SparkSession, folder: str) -> DataFrame:
     return report.new_groups(report.threshold_sweep(now(spark, folder, "library", "dhash"), [2, 4, 6, 8]), [2, 4, 6, 8])
 
 
+@query("U3_new_groups_10")
+def u3_10(spark: SparkSession, folder: str) -> DataFrame:
+    return report.new_groups(report.threshold_sweep(now(spark, folder, "library", "dhash"), THRESHOLDS), THRESHOLDS)
+
+
 @query("J14_named_pairs", f"""
 WITH {NOW}, n AS (SELECT upper(regexp_extract(path, '([^/\\\\]*)$', 1)) AS name, min(seq) AS seq FROM now WHERE path IS NOT NULL GROUP BY 1),
 f AS (SELECT n.name, n.seq, now.dhash FROM n JOIN now USING (seq)),

@@ -177,3 +177,12 @@ def test_sweep_query_counts_at_every_threshold_of_the_reference(spark, data_dir)
     got = registry.queries()["A13_threshold_sweep_10"](spark, data_dir).collect()
     assert {r.threshold: (r.n_groups, r.n_photos) for r in got} == {t: (len(g), sum(map(len, g))) for t, g in want.items()}
     assert [r.threshold for r in sorted(got)] == THRESHOLDS
+
+
+def test_new_groups_at_every_step_of_the_reference(spark, data_dir):
+    groups = _groups(_current(spark, data_dir), THRESHOLDS)
+    want = sorted(
+        (t, "|".join(map(str, sorted(g)))) for before, t in zip(THRESHOLDS, THRESHOLDS[1:]) for g in groups[t] - groups[before]
+    )
+    got = registry.queries()["U3_new_groups_10"](spark, data_dir).collect()
+    assert sorted((r.threshold, r.members) for r in got) == want and len({t for t, _ in want}) > 5
