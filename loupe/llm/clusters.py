@@ -118,9 +118,12 @@ BIT_WEIGHT, TIME_WEIGHT = 1.0, 3.0
 TIME_DIMS = 32
 DIMS = 64 + TIME_DIMS
 SEED_ROUNDS = 3
-LLOYD_ROUNDS = 4
+#: Lloyd steps end when no centre of the library moves farther than TOLERANCE, at the latest after LLOYD_ROUNDS.
+TOLERANCE, LLOYD_ROUNDS = 1e-4, 100
 BLOCK_ROWS = 20_000
 _CENTRE = "library string, c int, n long, vec array<float>"
+_COST = "library string, cost double"
+_STATE = f"{_CENTRE}, moving boolean"
 
 
 def _features(hashes: np.ndarray, known: np.ndarray, slots: np.ndarray, timed: np.ndarray) -> np.ndarray:
@@ -176,21 +179,29 @@ def _rows_of(library, c, n, vec: np.ndarray) -> pa.Table:
     })
 
 
+def _cost_block(points: pa.Table, centres: pa.Table) -> pa.Table:
+    """Sum of the squared distances of a block."""
+    _, far = _nearest(_table_features(points), _matrix(centres))
+    return pa.table({"library": pa.array([points.column("library")[0].as_py()], pa.string()), "cost": pa.array([far.sum(dtype=np.float64)])})
+
+
 def _seed_block(points: pa.Table, centres: pa.Table, factor: float) -> pa.Table:
-    """Points of a block that become candidates: with probability l d^2 / cost, by a hash of their id."""
+    """Points of a block that become candidates: with probability l d^2 / the library's cost, by a hash of their id.
+
+    The cost is missing where the block is the library.
+    """
     x = _table_features(points)
     _, far = _nearest(x, _matrix(centres))
-    cost = float(far.sum())
-    share = points.num_rows / points.column("n")[0].as_py()
-    wanted = factor * points.column("k")[0].as_py() * share
+    cost = centres.column("cost")[0].as_py()
+    cost = float(far.sum(dtype=np.float64)) if cost is None else cost
+    wanted = factor * points.column("k")[0].as_py()
     u = (points.column("u").to_numpy() % (1 << 20)) / float(1 << 20)
     take = u * cost < wanted * far if cost > 0 else np.zeros(len(x), dtype=bool)
     return _rows_of(points.column("library")[0].as_py(), np.zeros(take.sum()), np.ones(take.sum()), x[take])
 
 
-def _sum_block(points: pa.Table, centres: pa.Table) -> pa.Table:
-    """Partial sums of a block: members and feature sums by nearest centre."""
-    x, m = _table_features(points), _matrix(centres)
+def _sums(x: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of the centres that have members, how many, feature sums)."""
     which, _ = _nearest(x, m)
     count = np.bincount(which, minlength=len(m))
     sums = np.zeros((len(m), DIMS), dtype=np.float64)
@@ -198,7 +209,32 @@ def _sum_block(points: pa.Table, centres: pa.Table) -> pa.Table:
     starts = np.flatnonzero(np.append(True, which[order][1:] != which[order][:-1]))
     sums[which[order][starts]] = np.add.reduceat(x[order], starts, axis=0)
     used = np.flatnonzero(count)
-    return _rows_of(points.column("library")[0].as_py(), centres.column("c").to_numpy()[used], count[used], sums[used])
+    return used, count[used], sums[used]
+
+
+def _sum_block(points: pa.Table, centres: pa.Table) -> pa.Table:
+    """Partial sums of a block: members and feature sums by nearest centre."""
+    used, count, sums = _sums(_table_features(points), _matrix(centres))
+    return _rows_of(points.column("library")[0].as_py(), centres.column("c").to_numpy()[used], count, sums)
+
+
+def _far_moved(old: np.ndarray, new: np.ndarray) -> bool:
+    return bool((((old - new) ** 2).sum(axis=1) > TOLERANCE**2).any())
+
+
+def _lloyd_block(points: pa.Table, centres: pa.Table, rounds: int) -> pa.Table:
+    """All Lloyd steps of a library that is one block."""
+    centres = centres.sort_by("c")
+    x, m, c = _table_features(points), _matrix(centres), centres.column("c").to_numpy()
+    count = np.ones(len(m))
+    for _ in range(rounds):
+        used, count, sums = _sums(x, m)
+        moved = (sums / count[:, None]).astype(np.float32)
+        going = _far_moved(m[used], moved)
+        m, c = moved, c[used]
+        if not going:
+            break
+    return _rows_of(points.column("library")[0].as_py(), c, count, m)
 
 
 def _typical_block(points: pa.Table, centres: pa.Table) -> pa.Table:
@@ -222,6 +258,10 @@ def _no_typical() -> pa.Table:
     return pa.table({c: pa.array([], t) for c, t in kinds.items()})
 
 
+def _no_cost() -> pa.Table:
+    return pa.table({"library": pa.array([], pa.string()), "cost": pa.array([], pa.float64())})
+
+
 def _reduce_seeds(table: pa.Table) -> pa.Table:
     """k seeds of a library's weighted candidates: k-means++ by greatest weighted distance."""
     m, w = _matrix(table), table.column("n").to_numpy().astype(np.float64)
@@ -244,6 +284,13 @@ def _mean(table: pa.Table) -> pa.Table:
     return _rows_of(table.column("library")[0].as_py(), ids, count, sums / count[:, None])
 
 
+def _step(sums: pa.Table, centres: pa.Table) -> pa.Table:
+    """New centres of a library, and whether any has moved far from where it was."""
+    new, centres = _mean(sums), centres.sort_by("c")
+    at = np.searchsorted(centres.column("c").to_numpy(), new.column("c").to_numpy())
+    return new.append_column("moving", pa.array([_far_moved(_matrix(centres)[at], _matrix(new))] * len(new)))
+
+
 def kmeans_clusters(
     photos: DataFrame, *, gap_us: int = GAP_US, seed_rounds: int = SEED_ROUNDS, lloyd_rounds: int = LLOYD_ROUNDS,
     block_rows: int = BLOCK_ROWS, k_of: Column | None = None,
@@ -253,14 +300,16 @@ def kmeans_clusters(
     k_of: clusters of a library as a function of its size ``n``; the root of half
     of it if not given.  Seeds come from parallel oversampling: in each round a
     photo becomes a candidate with a probability in proportion to its squared
-    distance (2 k are expected per round), candidates are weighted by the photos
-    next to them and reduced to k.  n counts the members, typical is the member
+    distance (2 k are expected per round of the whole library), candidates are
+    weighted by the photos next to them and reduced to k.  Lloyd steps follow until no
+    centre moves farther than ``TOLERANCE``, ``lloyd_rounds`` at most.  n counts the members, typical is the member
     nearest the centroid, the smallest seq of equals.  All choices hash the photo's
     seq, so a run is repeated exactly.  Photos with a null library are left out;
     missing hash or time leave their features at zero.
 
     A library is worked on in blocks of ``block_rows`` photos; what is gathered of
-    it is candidates and sums, never photos.
+    it is candidates and sums, never photos.  A library of one block takes its Lloyd
+    steps in one task, the others leave the rounds as they come to rest.
     """
     scratch = Scratch(photos.sparkSession, "kmeans")
     now = current_photos(photos, "library", usable_hash("dhash").alias("dhash"), micros("capture_time").alias("t"))
@@ -275,18 +324,21 @@ def kmeans_clusters(
         "points",
     )
 
-    def over_blocks(function, centres: DataFrame, schema: str, salt: int = 0) -> DataFrame:
+    large = sizes.filter("blocks > 1").select("library")
+
+    def over_blocks(function, centres: DataFrame, schema: str, salt: int = 0, everywhere: bool = True) -> DataFrame:
         """``function`` of every block of points and its library's centres."""
         spread = centres.join(sizes.select("library", "blocks"), "library").withColumn(
             "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
         )
         u = F.shiftrightunsigned(F.xxhash64("seq", F.lit(salt)), 20)
-        empty = _rows_of(None, [], [], np.zeros((0, DIMS))) if schema == _CENTRE else _no_typical()
+        empty = {_CENTRE: lambda: _rows_of(None, [], [], np.zeros((0, DIMS))), _COST: _no_cost}.get(schema, _no_typical)()
 
         def of(p: pa.Table, c: pa.Table) -> pa.Table:  # a block may have got no photo
             return function(p, c) if p.num_rows and c.num_rows else empty
 
-        left = points.select("library", "block", "seq", "dhash", "slot", "n", "k", u.alias("u"))
+        left = points if everywhere else points.join(centres.select("library").distinct(), "library", "left_semi")
+        left = left.select("library", "block", "seq", "dhash", "slot", "n", "k", u.alias("u"))
         return left.groupBy("library", "block").cogroup(spread.groupBy("library", "block")).applyInArrow(of, schema)
 
     start = points.filter("first").groupBy("library").applyInArrow(
@@ -294,17 +346,31 @@ def kmeans_clusters(
     )
     candidates, _ = scratch.cut(start, "seed-0")
     for r in range(1, seed_rounds + 1):
-        fresh = over_blocks(lambda p, c: _seed_block(p, c, 2.0), candidates, _CENTRE, r)
+        costs = over_blocks(_cost_block, candidates.join(large, "library", "left_semi"), _COST, everywhere=False)
+        costs = costs.groupBy("library").agg(F.sum("cost").alias("cost"))
+        fresh = over_blocks(lambda p, c: _seed_block(p, c, 2.0), candidates.join(costs, "library", "left"), _CENTRE, r)
         candidates, _ = scratch.cut(candidates.unionByName(fresh), f"seed-{r}")
     numbered = candidates.withColumn("c", (F.row_number().over(Window.partitionBy("library").orderBy("vec")) - 1).cast("int"))
     numbered, _ = scratch.cut(numbered, "seeds")
     weighed = over_blocks(_sum_block, numbered, _CENTRE).groupBy("library", "c").agg(F.sum("n").alias("n"))
     weighed = numbered.drop("n").join(weighed, ["library", "c"]).join(sizes.select("library", "k"), "library")
     centres, _ = scratch.cut(weighed.groupBy("library").applyInArrow(_reduce_seeds, _CENTRE), "centres-0")
+    alone = centres.join(large, "library", "left_anti")
+    rested, _ = scratch.cut(over_blocks(lambda p, c: _lloyd_block(p, c, lloyd_rounds), alone, _CENTRE, everywhere=False), "rested-0")
+    moving, seen = scratch.cut(centres.join(large, "library", "left_semi"), "moving-0", rows=F.count(F.lit(1)))
+    kept: set[str] = set()  # rounds in which a library came to rest
     for r in range(1, lloyd_rounds + 1):
-        moved = over_blocks(_sum_block, centres, _CENTRE).groupBy("library").applyInArrow(_mean, _CENTRE)
-        centres, _ = scratch.cut(moved, f"centres-{r}")
-        scratch.drop(f"centres-{r - 1}")
+        if not seen["rows"]:
+            break
+        sums = over_blocks(_sum_block, moving, _CENTRE, everywhere=False)
+        stepped = sums.groupBy("library").cogroup(moving.groupBy("library")).applyInArrow(_step, _STATE)
+        stepped, seen = scratch.cut(stepped, f"moving-{r}", rows=F.count_if("moving"), still=F.count_if(~F.col("moving")))
+        if seen["still"]:
+            rested = rested.unionByName(stepped.filter("NOT moving").drop("moving"))
+            kept.add(f"moving-{r}")
+        moving = stepped.filter("moving").drop("moving")
+        scratch.drop(*({f"moving-{r - 1}"} - kept))
+    centres = rested.unionByName(moving)
     found = over_blocks(_typical_block, centres, "library string, c int, n long, far double, seq long")
     return found.groupBy("library", "c").agg(
         F.sum("n").alias("n"), F.min_by("seq", F.struct("far", "seq")).alias("typical")

@@ -1,3 +1,8 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+
 from loupe.llm import clusters
 from tests.llm.conftest import components, distance, messy_photos, now_of, photo
 
@@ -64,3 +69,38 @@ def test_kmeans_separates_clear_groups_and_repeats_exactly(photos_of):
     assert {(t - 1) // 12 for x, _, t in got if x == "a"} == {0, 1, 2}
     again = sorted((r.library, r.n, r.typical) for r in clusters.kmeans_clusters(df.repartition(3), **options).collect())
     assert again == got
+
+
+def _random_library(n, seed):
+    rng = random.Random(seed)
+    return [photo(i, dhash=rng.getrandbits(64), t=rng.randint(0, 30_000)) for i in range(1, n + 1)]
+
+
+def _kmeans(df, **options):
+    return sorted((r.library, r.n, r.typical) for r in clusters.kmeans_clusters(df, **options).collect())
+
+
+def test_kmeans_goes_on_until_centres_rest_and_blocks_do_not_matter(photos_of):
+    df = photos_of(_random_library(2000, 3))
+    whole = _kmeans(df)
+    assert _kmeans(df, lloyd_rounds=4) != whole == _kmeans(df, lloyd_rounds=200)
+    assert sum(n for _, n, _ in whole) == 2000
+    # seeds follow the cost of the library, so that cutting it into blocks changes nothing
+    assert _kmeans(df, block_rows=700) == whole
+
+
+def test_seeds_follow_the_cost_of_the_library():
+    seq = np.arange(1, 1001)
+    u = (seq * 104_729) % (1 << 20)
+
+    def block(bits):  # photos that differ from the centre in so many bits
+        return pa.table({
+            "library": ["a"] * 1000, "k": [50] * 1000, "u": u, "dhash": pa.array([(1 << bits) - 1] * 1000, pa.int64()),
+            "slot": pa.array([None] * 1000, pa.int64()),
+        })
+
+    centre = clusters._table_features(block(0).slice(0, 1))
+    total = sum(clusters._cost_block(block(b), clusters._rows_of("a", [0], [1], centre)).column("cost")[0].as_py() for b in (1, 39))
+    centres = clusters._rows_of("a", [0], [1], centre).append_column("cost", pa.array([total]))
+    few, many = (len(clusters._seed_block(block(b), centres, 2.0)) for b in (1, 39))
+    assert few <= 10 and 60 <= many <= 140  # 2.5 and 97.5 of the 100 expected
