@@ -35,6 +35,14 @@ def stem(path: Column | str) -> Column:
     return F.regexp_replace(file_name(path), r"\.[^.]*$", "")
 
 
+def default_base_name(folders: Column | str) -> Column:
+    """``<name> Slideshow`` after the one folder of an array, ``My Slideshow`` for several, none or one without a name."""
+    path = F.when(F.size(_c(folders)) == 1, F.element_at(_c(folders), 1))
+    cut = F.regexp_replace(path, r"[/\\]+$", "")
+    name = F.when(cut.rlike("^([A-Za-z]:)?$"), path).otherwise(file_name(cut))  # a root is its own name
+    return F.when(F.trim(name) != "", F.concat(name, F.lit(" Slideshow"))).otherwise("My Slideshow")
+
+
 def supported_format(path: Column | str) -> Column:
     """Jpeg, Png or Heic by extension, else null."""
     ext = extension(path)

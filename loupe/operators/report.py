@@ -158,3 +158,28 @@ def named_pairs(photos: DataFrame, wanted: DataFrame) -> DataFrame:
     a, b = first.toDF("__a", "__ha"), first.toDF("__b", "__hb")
     found = wanted.join(a, F.upper("name_a") == F.col("__a")).join(b, F.upper("name_b") == F.col("__b"))
     return found.withColumn("bits", hamming("__ha", "__hb").cast("int")).drop("__a", "__b", "__ha", "__hb")
+
+
+def listed_pairs(photos: DataFrame, names: DataFrame) -> DataFrame:
+    """(name_a, name_b, bits): all pairs among the listed ``name``s, as ``named_pairs`` looks them up, each pair once."""
+    listed = names.select(F.upper("name").alias("name")).filter("name IS NOT NULL").distinct()
+    pairs = listed.toDF("name_a").join(listed.toDF("name_b"), F.col("name_a") < F.col("name_b"))
+    return named_pairs(photos, pairs).select("name_a", "name_b", "bits")
+
+
+def available_names(wanted: DataFrame, existing: DataFrame) -> DataFrame:
+    """``wanted`` (folder, base, ...) with ``name``: the first of "Base", "Base (2)" to "Base (999)" that its folder does not have.
+
+    existing: (folder, name) without extensions; case is ignored.  The base itself
+    where all are taken or the folder is not there.
+    """
+    number = F.regexp_extract("name", r" \(([2-9]|[1-9][0-9]{1,2})\)$", 1)
+    plain = existing.select(F.upper("folder").alias("__f"), F.upper("name").alias("__b"), F.lit(1).alias("__i"))
+    numbered = existing.filter(number != "").select(
+        F.upper("folder").alias("__f"), F.upper(F.regexp_replace("name", r" \([0-9]+\)$", "")).alias("__b"), number.cast("int").alias("__i")
+    )
+    taken = plain.unionByName(numbered).groupBy("__f", "__b").agg(F.collect_set("__i").alias("__taken"))
+    found = wanted.join(taken, (F.upper("folder") == F.col("__f")) & (F.upper("base") == F.col("__b")), "left")
+    first = F.array_min(F.array_except(F.sequence(F.lit(1), F.lit(999)), "__taken"))
+    name = F.when(first > 1, F.concat("base", F.lit(" ("), first.cast("string"), F.lit(")"))).otherwise(F.col("base"))
+    return found.withColumn("name", name).drop("__f", "__b", "__taken")

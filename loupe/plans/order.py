@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loupe.functions import text
 from loupe.operators import order, report
 from loupe.operators.positions import with_position
 from loupe.plans.common import NOW, now
@@ -192,6 +193,39 @@ def j14(spark: SparkSession, folder: str) -> DataFrame:
     return report.named_pairs(now(spark, folder, "path", "dhash"), wanted).select("group_id", "bits")
 
 
+_NAME = "regexp_extract(path, '([^/\\\\]*)$', 1)"
+
+
+@query("J15_listed_pairs", f"""
+WITH {NOW}, l AS (SELECT DISTINCT upper(regexp_extract(recommended_path, '([^/\\\\]*)$', 1)) AS name FROM dup_groups WHERE recommended_path IS NOT NULL ORDER BY 1 LIMIT 6),
+f AS (SELECT upper({_NAME}) AS name, arg_min(struct_pack(h := dhash), seq).h AS dhash FROM now WHERE path IS NOT NULL GROUP BY 1)
+SELECT a.name AS name_a, b.name AS name_b, bit_count(xor(a.dhash, b.dhash))::INT AS bits
+FROM f a JOIN f b ON a.name < b.name WHERE a.name IN (FROM l) AND b.name IN (FROM l)""")
+def j15(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs among the first six names of photos recommended."""
+    names = table(spark, folder, "dup_groups").filter("recommended_path IS NOT NULL").select(F.upper(text.file_name("recommended_path")).alias("name"))
+    return report.listed_pairs(now(spark, folder, "path", "dhash"), names.distinct().orderBy("name").limit(6))
+
+
+@query("P15_default_base_name", f"""
+WITH {NOW}, f AS (SELECT library, list(DISTINCT regexp_extract(path, '^(.*)[/\\\\][^/\\\\]*$', 1)) AS folders FROM now WHERE library IS NOT NULL AND path IS NOT NULL GROUP BY 1),
+n AS (SELECT library, len(folders) AS n, folders[1] AS path, regexp_extract(regexp_replace(folders[1], '[/\\\\]+$', ''), '([^/\\\\]*)$', 1) AS name FROM f)
+SELECT library, CASE WHEN n = 1 AND trim(name) <> '' THEN name || ' Slideshow' ELSE 'My Slideshow' END AS name FROM n""")
+def p15(spark: SparkSession, folder: str) -> DataFrame:
+    paths = now(spark, folder, "library", "path").filter("library IS NOT NULL AND path IS NOT NULL")
+    folders = paths.groupBy("library").agg(F.collect_set(text.folder("path")).alias("folders"))
+    return folders.select("library", text.default_base_name("folders").alias("name"))
+
+
+@query("P16_available_names")
+def p16(spark: SparkSession, folder: str) -> DataFrame:
+    """Names for new files beside the photos recommended."""
+    there = now(spark, folder, "path").filter("path IS NOT NULL").select(text.folder("path").alias("folder"), text.stem("path").alias("name"))
+    wanted = table(spark, folder, "dup_groups").filter("recommended_path IS NOT NULL")
+    wanted = wanted.select("group_id", text.folder("recommended_path").alias("folder"), text.stem("recommended_path").alias("base"))
+    return report.available_names(wanted, there).select("group_id", "name")
+
+
 @query("U5_nothing_lost", f"WITH {NOW} SELECT 0::BIGINT AS missing, 0::BIGINT AS added")
 def u5(spark: SparkSession, folder: str) -> DataFrame:
     """Rows that ordering lost or added: none."""

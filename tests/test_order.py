@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from loupe.functions import text
 from loupe.operators import edges, order, positions, report
 from loupe.plans import registry
 from loupe.plans.common import now
@@ -186,3 +187,25 @@ def test_new_groups_at_every_step_of_the_reference(spark, data_dir):
     )
     got = registry.queries()["U3_new_groups_10"](spark, data_dir).collect()
     assert sorted((r.threshold, r.members) for r in got) == want and len({t for t, _ in want}) > 5
+
+
+def test_first_available_name(spark):
+    there = [("/a", "Trip"), ("/a", "trip (2)"), ("/a", "Trip (04)"), ("/a", "Trip (4)"), ("/b", "X (2)"), *(("/c", f"F ({i})") for i in range(2, 1000)), ("/c", "F")]
+    wanted = [(1, "/a", "TRIP"), (2, "/b", "X"), (3, "/c", "F"), (4, "/gone", "Y"), (5, "/a", "Trip (4)"), (6, "/a", "Trip (2)")]
+    got = report.available_names(spark.createDataFrame(wanted, "id int, folder string, base string"), spark.createDataFrame(there, "folder string, name string"))
+    assert {r.id: r.name for r in got.collect()} == {1: "TRIP (3)", 2: "X", 3: "F", 4: "Y", 5: "Trip (4) (2)", 6: "Trip (2) (2)"}
+
+
+def test_default_base_name(spark):
+    cases = [(["C:\\pics\\Rome"], "Rome Slideshow"), (["/p/Rome/"], "Rome Slideshow"), (["/a", "/b"], "My Slideshow"), ([], "My Slideshow"),
+             (None, "My Slideshow"), ([None], "My Slideshow"), ([""], "My Slideshow"), (["C:\\"], "C:\\ Slideshow")]
+    df = spark.createDataFrame([(k, f) for k, (f, _) in enumerate(cases)], "k int, folders array<string>")
+    got = {r.k: r.name for r in df.select("k", text.default_base_name("folders").alias("name")).collect()}
+    assert got == {k: name for k, (_, name) in enumerate(cases)}
+
+
+def test_listed_pairs(spark):
+    photos = spark.createDataFrame([(1, "/x/A.jpg", 1), (2, "/y/a.JPG", 255), (3, "/x/b.jpg", 7), (4, "/x/c.jpg", None)], "seq long, path string, dhash long")
+    names = spark.createDataFrame([("a.jpg",), ("B.jpg",), ("c.jpg",), ("no.jpg",), ("b.jpg",)], "name string")
+    got = {(r.name_a, r.name_b): r.bits for r in report.listed_pairs(photos, names).collect()}
+    assert got == {("A.JPG", "B.JPG"): 2, ("A.JPG", "C.JPG"): None, ("B.JPG", "C.JPG"): None}
