@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loupe.functions.keys import NEAR_BITS, area, path_key
 from loupe.operators.edges import exact_classes, look_links
 from loupe.operators.graph import components
-from loupe.session import Scratch
+from loupe.operators.positions import with_position
+from loupe.session import Scratch, follow
 
 EXACT, VISUAL = "ExactOnly", "HasVisualComponent"
 
@@ -20,8 +21,12 @@ def size_collisions(photos: DataFrame, *, group: str = "library") -> DataFrame:
 
     Equal bytes have equal sizes, so only these need their content hashed.
     """
-    n = F.count(F.lit(1)).over(Window.partitionBy(group, "file_size"))
-    return photos.withColumn("collides", F.col(group).isNotNull() & F.col("file_size").isNotNull() & (n > 1))
+    scratch = Scratch(photos.sparkSession, "sizes")
+    photos, seen = scratch.cut(photos, "photos", n=F.count(F.lit(1)))
+    known = F.col(group).isNotNull() & F.col("file_size").isNotNull()
+    sizes = photos.filter(known).groupBy(group, "file_size").agg((F.count(F.lit(1)) > 1).alias("collides"))
+    found = follow(photos.filter(known), sizes, [group, "file_size"], seen["n"])
+    return found.unionByName(photos.filter(~known).withColumn("collides", F.lit(False)))
 
 
 def keep_order() -> list[Column]:
@@ -84,19 +89,26 @@ def detect(photos: DataFrame, *, group: str = "library", distance: int = NEAR_BI
     photos, _ = scratch.cut(photos.filter(F.col(group).isNotNull()), "photos")
     looks, _ = scratch.cut(look_links(photos, group=group, distance=distance), "looks")
     exact = exact_classes(photos, group=group).filter("seq != leader").select(F.col("leader").alias("u"), F.col("seq").alias("v"))
-    label, _ = scratch.cut(components(looks.select("u", "v").unionByName(exact), "u", "v"), "label")
+    label, counted = scratch.cut(components(looks.select("u", "v").unionByName(exact), "u", "v"), "label", n=F.count(F.lit(1)))
+    n = counted["n"]
     seen = looks.filter("visual").select(F.col("u").alias("seq")).join(label, "seq").select("component").distinct()
-    placed = label.join(seen.withColumn("visual", F.lit(True)), "component", "left").join(photos, "seq")
-    placed = placed.withColumn("visual", F.coalesce("visual", F.lit(False)))
-
-    same_bytes = Window.partitionBy("component", F.coalesce("sha", F.concat(F.lit("#"), "seq")))
-    placed = placed.withColumn("copies", F.count(F.lit(1)).over(same_bytes)).withColumn("set_id", F.min("seq").over(same_bytes))
-    placed = placed.withColumn("place", F.row_number().over(same_bytes.orderBy(*keep_order())))
-    plain = placed.select("component", "visual", "copies", "set_id", "place", "seq")
-    exact_members = plain.filter("copies > 1").select(F.col("set_id").alias("group_id"), F.lit(EXACT).alias("classification"), "seq")
-    left = plain.filter("visual AND place = 1")
+    placed = follow(label, seen.withColumn("visual", F.lit(True)), "component", n, how="left")
+    placed = placed.withColumn("visual", F.coalesce("visual", F.lit(False))).join(photos, "seq")
+    placed, _ = scratch.cut(placed, "placed")
+
+    # sets of equal bytes: their size, name and best; a photo of unknown bytes is a set of its own
+    of_bytes = placed.filter("sha IS NOT NULL").groupBy("component", "sha").agg(
+        F.count(F.lit(1)).alias("copies"), F.min("seq").alias("set_id"), F.min_by("seq", keep_key()).alias("best"), F.bool_or("visual").alias("visual")
+    )
+    of_bytes, _ = scratch.cut(of_bytes, "sets")
+    many = of_bytes.filter("copies > 1").select("component", "sha", "set_id")
+    in_sets = follow(placed.filter("sha IS NOT NULL").select("component", "sha", "seq"), many, ["component", "sha"], n)
+    exact_members = in_sets.select(F.col("set_id").alias("group_id"), F.lit(EXACT).alias("classification"), "seq")
+    left = of_bytes.filter("visual").select("component", F.col("best").alias("seq")).unionByName(
+        placed.filter("visual AND sha IS NULL").select("component", "seq")
+    )
     enough = left.groupBy("component").agg(F.count(F.lit(1)).alias("left")).filter("left >= 2").select("component")
-    visual_members = left.join(enough, "component").select(F.col("component").alias("group_id"), F.lit(VISUAL).alias("classification"), "seq")
+    visual_members = follow(left, enough, "component", n).select(F.col("component").alias("group_id"), F.lit(VISUAL).alias("classification"), "seq")
     members, _ = scratch.cut(exact_members.unionByName(visual_members), "members")
     return Detected(members, _groups(members, photos))
 
@@ -112,5 +124,5 @@ def attach_hashes(photos: DataFrame, hashes: DataFrame) -> DataFrame:
 
 def ordered_groups(groups: DataFrame) -> DataFrame:
     """Adds ``position``: groups by size, then capture of the photo to keep, then first seq."""
-    order = Window.orderBy(F.col("n").desc(), F.col("recommended_time").asc_nulls_last(), "first_seq", "classification")
-    return groups.withColumn("position", F.row_number().over(order))
+    at = F.col("recommended_time")
+    return with_position(groups, [-F.col("n"), at.isNull(), at, "first_seq", "classification"])

@@ -9,7 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loupe.functions.bits import regrouped_column
 from loupe.functions.keys import GAP_SECONDS, NEAR_BITS, hamming, micros
+from loupe.operators.positions import with_previous
+from loupe.session import Scratch, follow
 
 #: Rows of a block that is compared with all rows of another, and pairs compared at once.
 COMPARE_ROWS, COMPARE_SLICE = 4096, 1 << 22
@@ -25,25 +28,22 @@ def _part(h: Column, shift: int, width: int) -> Column:
     return h if width == 64 else F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
-def near_hashes(hashes: DataFrame, *, group: str = "library", id: str = "seq", hash: str = "dhash", distance: int = NEAR_BITS) -> DataFrame:  # noqa: A002
-    """Pairs (``id_a``, ``id_b``, ``bits``) of one group at most ``distance`` bits apart.
+def _near_apart(distinct: DataFrame, distance: int) -> DataFrame:
+    """(id_a, id_b, bits) of rows (grp, id, h) with different hashes h, at most ``distance`` bits apart.
 
     Hashes that close agree in one of ``distance`` + 1 parts at least, so the join
     is on the group, a part and its value; a pair counts in its first equal part
-    only, which spares a distinct.  Each pair comes once, with id_a < id_b.  Rows
-    with a null group, id or hash are in no pair.
+    only, which spares a distinct.  Parts are taken of the regrouped bits, so that
+    pictures that are flat in places do not agree in a part by that alone.
     """
-    h = F.col(hash)
     parts = _bands(distance)
+    h = F.col("h")
     keys = F.array(*(
         F.struct(F.lit(k).alias("part"), _part(h, a, w).alias("value"))
         for k, (a, w) in enumerate(parts)
     ))
-    cut = (
-        hashes.filter(F.col(group).isNotNull() & F.col(id).isNotNull() & h.isNotNull())
-        .select(F.col(group).alias("grp"), F.col(id).alias("id"), h.alias("h"), F.explode(keys).alias("key"))
-        .select("grp", "id", "h", "key.part", "key.value")
-    )
+    mixed = distinct.select("grp", "id", regrouped_column("h").alias("h"))
+    cut = mixed.select("grp", "id", "h", F.explode(keys).alias("key")).select("grp", "id", "h", "key.part", "key.value")
     x, y = cut.alias("x"), cut.alias("y")
     differ = F.col("x.h").bitwiseXOR(F.col("y.h"))
     first: Column = F.lit(len(parts))
@@ -56,6 +56,27 @@ def near_hashes(hashes: DataFrame, *, group: str = "library", id: str = "seq", h
     )
 
 
+def near_hashes(hashes: DataFrame, *, group: str = "library", id: str = "seq", hash: str = "dhash", distance: int = NEAR_BITS) -> DataFrame:  # noqa: A002
+    """Pairs (``id_a``, ``id_b``, ``bits``) of one group at most ``distance`` bits apart.
+
+    Each different hash is compared once, whatever the number of rows that have it;
+    its rows are multiplied out last.  Each pair comes once, with id_a < id_b.  Rows
+    with a null group, id or hash are in no pair.
+    """
+    scratch = Scratch(hashes.sparkSession, "near")
+    h = F.col(hash)
+    known = hashes.filter(F.col(group).isNotNull() & F.col(id).isNotNull() & h.isNotNull())
+    known, seen = scratch.cut(known.select(F.col(group).alias("grp"), F.col(id).alias("id"), h.alias("h")), "known", n=F.count(F.lit(1)))
+    firsts = known.groupBy("grp", "h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    led = follow(known, firsts.drop("n"), ["grp", "h"], seen["n"]).select("first", "id")
+    near = _near_apart(firsts.select("grp", F.col("first").alias("id"), "h"), distance).unionByName(
+        firsts.filter("n > 1").select(F.col("first").alias("id_a"), F.col("first").alias("id_b"), F.lit(0).alias("bits"))
+    )
+    a, b = led.toDF("fa", "a"), led.toDF("fb", "b")
+    whole = near.join(a, F.col("id_a") == F.col("fa")).join(b, F.col("id_b") == F.col("fb")).filter("id_a != id_b OR a < b")
+    return whole.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "bits")
+
+
 def block_pairs(hashes: DataFrame, *, group: str = "library", id: str = "seq", hash: str = "dhash", rows: int = COMPARE_ROWS) -> DataFrame:  # noqa: A002
     """(``grp``, ``i``, ``j``, ``block``, ``id``, ``h``): the rows of blocks i <= j of a group, for every two of its blocks.
 
@@ -105,9 +126,11 @@ def exact_classes(photos: DataFrame, *, group: str = "library", by: str = "sha")
     leader is the smallest seq with these bytes, copies their number.  A class of
     c copies stands for its c (c - 1) / 2 pairs without listing them.
     """
+    scratch = Scratch(photos.sparkSession, "exact")
     known = photos.filter(F.col(group).isNotNull() & F.col(by).isNotNull())
-    classes = known.groupBy(group, by).agg(F.min("seq").alias("leader"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    return known.join(classes, [group, by]).select("seq", "leader", "copies")
+    known, seen = scratch.cut(known.select(F.col(group).alias("grp"), F.col(by).alias("by"), "seq"), "known", n=F.count(F.lit(1)))
+    classes = known.groupBy("grp", "by").agg(F.min("seq").alias("leader"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    return follow(known, classes, ["grp", "by"], seen["n"]).select("seq", "leader", "copies")
 
 
 def time_links(photos: DataFrame, *, group: str = "library", gap_us: int = GAP_SECONDS * 1_000_000) -> DataFrame:
@@ -115,12 +138,44 @@ def time_links(photos: DataFrame, *, group: str = "library", gap_us: int = GAP_S
 
     They connect what all pairs at most the gap apart connect.
     """
-    along = Window.partitionBy(group).orderBy("t", "seq")
-    timed = photos.filter(F.col(group).isNotNull() & F.col("capture_time").isNotNull()).select(group, "seq", micros("capture_time").alias("t"))
-    return (
-        timed.withColumn("u", F.lag("seq").over(along)).withColumn("before", F.lag("t").over(along))
-        .filter(F.col("t") - F.col("before") <= gap_us).select("u", F.col("seq").alias("v"))
+    timed = photos.filter(F.col(group).isNotNull() & F.col("capture_time").isNotNull())
+    timed = timed.select(F.col(group).alias("grp"), micros("capture_time").alias("t"), "seq")
+    along = with_previous(timed, ["grp"], ["t", "seq"], ["t", "seq"])
+    return along.filter(F.col("t") - F.col("before_t") <= gap_us).select(F.col("before_seq").alias("u"), F.col("seq").alias("v"))
+
+
+def time_slot(t: str, gap_us: int) -> Column:
+    """Calendar slot, one gap wide, of microseconds: times in one slot are never more than the gap apart."""
+    return F.expr(f"({t} - pmod({t}, {gap_us}L)) div {gap_us}L")
+
+
+def slot_runs(timed: DataFrame, gap_us: int) -> DataFrame:
+    """(grp, slot, number, node) of rows (grp, t, slot, seq): runs of slots without a pause longer than the gap.
+
+    A group is first reduced to one row a slot, before the shuffle; what one task
+    holds of it is bounded by the calendar, not by the rows.  number counts the runs
+    of a group from 1, node is the smallest seq of the run.
+    """
+    slots = timed.filter("grp IS NOT NULL AND slot IS NOT NULL").groupBy("grp", "slot").agg(
+        F.min("t").alias("lo"), F.max("t").alias("hi"), F.min("seq").alias("first")
     )
+    along = Window.partitionBy("grp").orderBy("slot")
+    starts = F.coalesce((F.col("lo") - F.lag("hi").over(along) > gap_us).cast("long"), F.lit(0))
+    runs = slots.withColumn("starts", starts).withColumn("number", F.sum("starts").over(along) + 1)
+    return runs.select("grp", "slot", "number", F.min("first").over(Window.partitionBy("grp", "number")).alias("node"))
+
+
+def hash_links(nodes: DataFrame, distance: int, n: int) -> DataFrame:
+    """(``u``, ``v``): ties of vertices (grp, id, h) that span all pairs within ``distance`` bits; n bounds their number.
+
+    A vertex may have many hashes, and a hash many vertices: these are tied to the
+    first of them, first ones of near hashes to each other.
+    """
+    nodes = nodes.filter("grp IS NOT NULL AND h IS NOT NULL").distinct()
+    leaders = nodes.groupBy("grp", "h").agg(F.min("id").alias("first"))
+    copies = follow(nodes, leaders, ["grp", "h"], n).filter("id != first").select(F.col("first").alias("u"), F.col("id").alias("v"))
+    near = _near_apart(leaders.select("grp", F.col("first").alias("id"), "h"), distance)
+    return copies.unionByName(near.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")))
 
 
 def look_links(photos: DataFrame, *, group: str = "library", distance: int = NEAR_BITS) -> DataFrame:
@@ -130,15 +185,15 @@ def look_links(photos: DataFrame, *, group: str = "library", distance: int = NEA
     near hashes to each other.  visual is false where both ends hold the same
     bytes: such a tie says nothing beyond the exact one.
     """
+    scratch = Scratch(photos.sparkSession, "looks")
     hashed = photos.filter(F.col(group).isNotNull() & F.col("dhash").isNotNull())
-    first = F.min(F.struct("seq", "sha")).over(Window.partitionBy(group, "dhash"))
-    led = hashed.select(group, "dhash", "seq", "sha", first.alias("first"))
-    copies = led.filter("seq != first.seq").select(
+    hashed, seen = scratch.cut(hashed.select(F.col(group).alias("grp"), F.col("dhash").alias("h"), "seq", "sha"), "hashed", n=F.count(F.lit(1)))
+    leaders = hashed.groupBy("grp", "h").agg(F.min(F.struct("seq", "sha")).alias("first"))
+    copies = follow(hashed, leaders, ["grp", "h"], seen["n"]).filter("seq != first.seq").select(
         F.col("first.seq").alias("u"), F.col("seq").alias("v"), ~F.coalesce(F.col("first.sha") == F.col("sha"), F.lit(False))
     )
-    leaders = led.filter("seq = first.seq").select(group, "dhash", "seq", "sha")
-    near = near_hashes(leaders, group=group, distance=distance).select("id_a", "id_b")
-    shas = leaders.select("seq", "sha")
+    near = _near_apart(leaders.select("grp", F.col("first.seq").alias("id"), "h"), distance).select("id_a", "id_b")
+    shas = leaders.select("first.seq", "first.sha")
     near = near.join(shas.toDF("id_a", "sha_a"), "id_a").join(shas.toDF("id_b", "sha_b"), "id_b")
     near = near.select(F.col("id_a").alias("u"), F.col("id_b").alias("v"), ~F.coalesce(F.col("sha_a") == F.col("sha_b"), F.lit(False)))
     return copies.toDF("u", "v", "visual").unionByName(near.toDF("u", "v", "visual"))

@@ -7,26 +7,31 @@ folder, so lineage stays short and a lost executor costs one step.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loupe.session import Scratch
+from loupe.session import Scratch, follow
 
 
-def _large_star(pairs: DataFrame) -> DataFrame:
-    """Ties every greater neighbour of a vertex to the least of its neighbourhood."""
+def _large_star(pairs: DataFrame, n: int) -> DataFrame:
+    """Ties every greater neighbour of a vertex to the least of its neighbourhood; n bounds the pairs both ways."""
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return follow(both, least, "u", n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(pairs: DataFrame) -> DataFrame:
+def _small_star(pairs: DataFrame, n: int) -> DataFrame:
     """Ties a vertex and its smaller neighbours to the least of them; u > v on both sides."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    others = pairs.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    others = follow(pairs, least, "u", n).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _fingerprint() -> dict[str, Column]:
+    """What tells one set of distinct pairs (u, v) from another: its size and two hashes put together by xor, which cannot overflow."""
+    return {"n": F.count(F.lit(1)), "x": F.bit_xor(F.xxhash64("u", "v")), "y": F.bit_xor(F.xxhash64("v", "u"))}
+
+
 def components(pairs: DataFrame, a: str, b: str, vertices: DataFrame | None = None, vertex: str = "seq") -> DataFrame:
     """(``vertex``, ``component``): component is the smallest id connected to the vertex.
 
@@ -36,12 +41,13 @@ def components(pairs: DataFrame, a: str, b: str, vertices: DataFrame | None = No
     scratch = Scratch(pairs.sparkSession, "stars")
     u, v = F.col(a).cast("long"), F.col(b).cast("long")
     state = pairs.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter(u.isNotNull() & v.isNotNull() & (u != v)).distinct()
-    sums = {"n": F.count(F.lit(1)), "s": F.sum(F.expr("pmod(xxhash64(u, v), 1099511627776)"))}
+    sums = _fingerprint()
     state, seen = scratch.cut(state, "0", **sums)
     step = 0
     while seen["n"]:
         before, step = seen, step + 1
-        state, seen = scratch.cut(_small_star(_large_star(state)), str(step), **sums)
+        n = 2 * seen["n"]  # the first step lists every pair both ways, the second no more than the first
+        state, seen = scratch.cut(_small_star(_large_star(state, n), n), str(step), **sums)
         scratch.drop(str(step - 1))
         if before == seen:
             break

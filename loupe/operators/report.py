@@ -13,7 +13,7 @@ from loupe.functions.keys import hamming
 from loupe.functions.text import file_name
 from loupe.operators.edges import COMPARE_ROWS, block_pairs, compared_pairs, near_hashes, near_in_blocks
 from loupe.operators.graph import components
-from loupe.session import Scratch
+from loupe.session import Scratch, follow
 
 #: Greatest distance for which pairs are found by equal parts of their hashes; beyond it all pairs are compared.
 PARTS_BITS = 12
@@ -29,17 +29,29 @@ def close_pairs(photos: DataFrame, most: int = 22, *, group: str = "library") ->
 def threshold_sweep(photos: DataFrame, thresholds: list[int], *, group: str = "library") -> DataFrame:
     """(threshold, seq, component): groups of two or more at each threshold.
 
-    Distances are taken once, for the greatest threshold; the driver loops over
-    the thresholds only.  Great thresholds go to ``compared_sweep``.
+    Distances are taken once, for the greatest threshold, and each threshold goes on
+    from the groups of the last; the driver loops over the thresholds only.  Great
+    thresholds go to ``compared_sweep``.
     """
     if max(thresholds) > PARTS_BITS:
         return compared_sweep(photos, thresholds, group=group)
     scratch = Scratch(photos.sparkSession, "sweep")
-    pairs, _ = scratch.cut(near_hashes(photos, group=group, distance=max(thresholds)), "pairs")
-    parts = [
-        components(pairs.filter(F.col("bits") <= t), "id_a", "id_b").select(F.lit(t).alias("threshold"), "seq", "component")
-        for t in thresholds
-    ]
+    pairs, seen = scratch.cut(near_hashes(photos, group=group, distance=max(thresholds)), "pairs", n=F.count(F.lit(1)))
+    parts: list[DataFrame] = []
+    label, below = None, -1
+    for t in sorted(set(thresholds)):
+        # groups only grow with the threshold: ties of this step connect the groups of the last
+        fresh = pairs.filter((F.col("bits") > below) & (F.col("bits") <= t)).select("id_a", "id_b")
+        if label is None:
+            label, _ = scratch.cut(components(fresh, "id_a", "id_b"), f"label-{t}")
+        else:
+            for end in ("id_a", "id_b"):
+                fresh = follow(fresh, label.toDF(end, "root"), end, seen["n"], how="left").withColumn(end, F.coalesce("root", end)).drop("root")
+            step, _ = scratch.cut(components(fresh, "id_a", "id_b"), f"step-{t}")
+            kept = follow(label, step.toDF("component", "root"), "component", 2 * seen["n"], how="left").select("seq", F.coalesce("root", "component").alias("component"))
+            label, _ = scratch.cut(kept.unionByName(step.join(label, "seq", "left_anti")), f"label-{t}")
+        parts.append(label.select(F.lit(t).alias("threshold"), "seq", "component"))
+        below = t
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -141,11 +153,16 @@ def sweep_counts(sweep: DataFrame) -> DataFrame:
 
 
 def new_groups(sweep: DataFrame, thresholds: list[int]) -> DataFrame:
-    """(threshold, members): groups that the next lower threshold does not have as they are."""
-    keyed = sweep.groupBy("threshold", "component").agg(F.array_join(F.array_sort(F.collect_list("seq")), "|").alias("members"))
+    """(threshold, component, seq): members of the groups that the next lower threshold does not have as they are.
+
+    Groups only grow with the threshold, so a group was there before if the group of
+    the same smallest seq was, with as many members.
+    """
+    sizes = sweep.groupBy("threshold", "component").agg(F.count(F.lit(1)).alias("n"))
     following = F.create_map(*(F.lit(x) for pair in zip(thresholds, thresholds[1:]) for x in pair))
-    before = keyed.select(following[F.col("threshold")].alias("threshold"), "members").filter("threshold IS NOT NULL")
-    return keyed.filter(F.col("threshold") > min(thresholds)).select("threshold", "members").join(before, ["threshold", "members"], "left_anti")
+    before = sizes.select(following[F.col("threshold")].alias("threshold"), "component", "n").filter("threshold IS NOT NULL")
+    grown = sizes.filter(F.col("threshold") > min(thresholds)).join(before, ["threshold", "component", "n"], "left_anti")
+    return sweep.join(grown.select("threshold", "component"), ["threshold", "component"], "left_semi").select("threshold", "component", "seq")
 
 
 def named_pairs(photos: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -26,10 +26,10 @@ def chunks(ordered: DataFrame, position: str = "position", size: int = CHUNK) ->
 def first_chunk_by_size(ordered: DataFrame, by: str, position: str = "position", size: str = "file_size", chunk: int = CHUNK) -> DataFrame:
     """Renumbers the items of each ``by``: the first chunk by size, the greatest first; the rest stay."""
     head = F.col(position) < chunk
-    order = Window.partitionBy(by).orderBy(
-        F.when(head, 0).otherwise(1), F.when(head, -F.coalesce(F.col(size), F.lit(0))), position
-    )
-    return ordered.withColumn(position, (F.row_number().over(order) - 1).cast("long"))
+    # only the first chunk moves, so the window holds that many rows of each
+    first = Window.partitionBy(by).orderBy(-F.coalesce(F.col(size), F.lit(0)), position)
+    moved = ordered.filter(head).withColumn(position, (F.row_number().over(first) - 1).cast("long"))
+    return moved.unionByName(ordered.filter(~head))
 
 
 def transition_offset(idx: Column | str, seconds: Column | str) -> Column:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loupe.functions.keys import area, path_key
-from loupe.operators import dedup, edges, graph
+from loupe.operators import dedup, edges, graph, order
 from loupe.plans.common import KEEP, NOW, now
 from loupe.plans.registry import query
+from loupe.session import Scratch
 from loupe.sources.tables import table
 
 _NEAR = "bit_count(xor(a.dhash, b.dhash)) <= 8"
@@ -105,12 +106,6 @@ def j4(spark: SparkSession, folder: str) -> DataFrame:
     return edges.time_links(now(spark, folder, "library", "capture_time"))
 
 
-def _similar(photos: DataFrame) -> DataFrame:
-    return graph.components(
-        edges.look_links(photos).select("u", "v").unionByName(edges.time_links(photos)), "u", "v", photos.filter("library IS NOT NULL")
-    )
-
-
 SIMILAR = f"""
 {NOW},
 linked AS (
@@ -127,7 +122,7 @@ similar_label AS (SELECT seq, min(other) AS component FROM similar_to GROUP BY s
 
 @query("J5_similar_components", f"WITH RECURSIVE {SIMILAR} SELECT seq, component FROM similar_label")
 def j5(spark: SparkSession, folder: str) -> DataFrame:
-    return _similar(now(spark, folder, "library", "capture_time", "dhash", "sha"))
+    return order.similar_clusters(now(spark, folder, "library", "capture_time", "dhash"))
 
 
 @query("J6_attach_hashes", f"""
@@ -189,7 +184,7 @@ def a6(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("O1_ordered_groups", f"""
-WITH RECURSIVE {DETECT} SELECT *, row_number() OVER (ORDER BY n DESC, recommended_time ASC NULLS LAST, first_seq, classification)::INT AS position
+WITH RECURSIVE {DETECT} SELECT *, row_number() OVER (ORDER BY n DESC, recommended_time ASC NULLS LAST, first_seq, classification) AS position
 FROM grouped""")
 def o1(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.ordered_groups(dedup.detect(now(spark, folder)).groups)
@@ -197,11 +192,19 @@ def o1(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("J11_has_visual", f"WITH RECURSIVE {DETECT} SELECT l.component, bool_or(v.component IS NOT NULL) AS visual FROM label l LEFT JOIN visual v USING (component) GROUP BY 1")
 def j11(spark: SparkSession, folder: str) -> DataFrame:
-    photos = now(spark, folder, "library", "dhash", "sha")
-    looks = edges.look_links(photos)
+    return _visual(*_tied(now(spark, folder, "library", "dhash", "sha")))
+
+
+def _tied(photos: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ties (u, v, visual) by looks and bytes, and the components (seq, component) they make."""
+    scratch = Scratch(photos.sparkSession, "tied")
     exact = edges.exact_classes(photos).filter("seq != leader").select(F.col("leader").alias("u"), F.col("seq").alias("v"), F.lit(False).alias("visual"))
-    links = looks.unionByName(exact)
-    label = graph.components(links, "u", "v")
+    links, _ = scratch.cut(edges.look_links(photos).unionByName(exact), "links")
+    label, _ = scratch.cut(graph.components(links, "u", "v"), "label")
+    return links, label
+
+
+def _visual(links: DataFrame, label: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("seq"), "visual").join(label, "seq").groupBy("component").agg(F.bool_or("visual").alias("visual"))
 
 
@@ -309,11 +312,9 @@ def t2(spark: SparkSession, folder: str) -> DataFrame:
     """Provisional exact groups, and whether the final grouping puts them inside a visual one."""
     photos = now(spark, folder)
     early = dedup.provisional_groups(photos).groups.select("group_id")
-    label = j11(spark, folder)
-    looks = edges.look_links(photos).select("u", "v")
-    exact = edges.exact_classes(photos).filter("seq != leader").select(F.col("leader").alias("u"), F.col("seq").alias("v"))
-    component = graph.components(looks.unionByName(exact), "u", "v")
-    return early.join(component.withColumnRenamed("seq", "group_id"), "group_id").join(label, "component").select("group_id", F.col("visual").alias("inside_visual"))
+    links, label = _tied(photos)
+    visual = _visual(links, label)
+    return early.join(label.withColumnRenamed("seq", "group_id"), "group_id").join(visual, "component").select("group_id", F.col("visual").alias("inside_visual"))
 
 
 @query("U2_union_of_ties", f"""

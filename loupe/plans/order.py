@@ -11,6 +11,7 @@ from loupe.operators.positions import with_position
 from loupe.plans.common import NOW, now
 from loupe.plans.dedup import SIMILAR
 from loupe.plans.registry import query
+from loupe.session import Scratch
 from loupe.sources.tables import table
 
 _MIX = ("library", "path", "dhash", "sha", "capture_time")
@@ -24,27 +25,66 @@ def w1(spark: SparkSession, folder: str) -> DataFrame:
     return order.time_clusters(now(spark, folder, "library", "path", "capture_time"))
 
 
-@query("W6_best_mix")
+#: Places of the members of clusters: the smallest path first, then whatever differs most from the last.
+_CHAIN = f"""
+{SIMILAR},
+member AS (SELECT l.component, n.library, n.seq, upper(n.path) AS key, n.path, n.dhash FROM now n JOIN similar_label l USING (seq) WHERE n.library IS NOT NULL),
+chain(component, place, seq, placed) AS (
+  SELECT component, 0, arg_min(seq, (key, path, seq)), [arg_min(seq, (key, path, seq))] FROM member GROUP BY component
+  UNION ALL
+  SELECT component, place + 1, next, list_append(placed, next) FROM (
+    SELECT c.component, c.place, c.placed, arg_min(m.seq, (-coalesce(bit_count(xor(m.dhash, o.dhash)), 0), m.key, m.path, m.seq)) AS next
+    FROM chain c JOIN member o ON o.seq = c.seq JOIN member m ON m.component = c.component AND NOT list_contains(c.placed, m.seq)
+    GROUP BY c.component, c.place, c.placed))"""
+
+#: Slots given out in order: the first free one from the aim on, else the first free one.
+_GIVEN = """
+aims AS (SELECT *, (round_even(k * (n::DOUBLE / size), 0)::BIGINT + number % n) % n AS aim FROM (
+  SELECT *, row_number() OVER (PARTITION BY library, number ORDER BY place) - 1 AS k, count(*) OVER (PARTITION BY library, number) AS size,
+    count(*) OVER (PARTITION BY library) AS n, row_number() OVER (PARTITION BY library ORDER BY number, place) AS pos FROM listed)),
+given(library, pos, slot, free) AS (
+  SELECT DISTINCT library, 0::BIGINT, -1::BIGINT, range(n) FROM aims
+  UNION ALL
+  SELECT library, pos + 1, slot, list_filter(free, lambda x: x <> slot) FROM (
+    SELECT g.library, g.pos, g.free, coalesce(list_min(list_filter(g.free, lambda x: x >= a.aim)), list_min(g.free)) AS slot
+    FROM given g JOIN aims a ON a.library = g.library AND a.pos = g.pos + 1))"""
+
+
+@query("W6_best_mix", f"""
+WITH RECURSIVE {_CHAIN},
+sized AS (SELECT library, component, count(*) AS n, min((key, path, seq)) AS first FROM member GROUP BY library, component),
+numbered AS (SELECT library, component, row_number() OVER (PARTITION BY library ORDER BY n DESC, first) - 1 AS number FROM sized),
+listed AS (SELECT n.library, c.seq, n.number, c.place FROM chain c JOIN numbered n USING (component)),
+{_GIVEN}
+SELECT library, seq, slot FROM aims JOIN given USING (library, pos)""")
 def w6(spark: SparkSession, folder: str) -> DataFrame:
     return order.best_mix(now(spark, folder, *_MIX)).select("library", "seq", "slot")
 
 
-@query("W5_variety_chain")
+@query("W5_variety_chain", f"WITH RECURSIVE {_CHAIN} SELECT component, seq, place::BIGINT AS place FROM chain")
 def w5(spark: SparkSession, folder: str) -> DataFrame:
     return order.best_mix(now(spark, folder, *_MIX)).select("component", "seq", "place")
 
 
-@query("W4_spaced_slots")
+@query("W4_spaced_slots", f"""
+WITH RECURSIVE {NOW}, m AS (
+  SELECT n.library, g.group_id, n.seq, count(*) OVER (PARTITION BY group_id) AS n, row_number() OVER (PARTITION BY group_id ORDER BY n.seq) AS place
+  FROM (SELECT DISTINCT group_id, seq FROM group_members WHERE group_id IS NOT NULL AND seq IS NOT NULL) g JOIN now n USING (seq) WHERE n.library IS NOT NULL),
+listed AS (SELECT *, dense_rank() OVER (PARTITION BY library ORDER BY n DESC, group_id) - 1 AS number FROM m),
+{_GIVEN.replace("SELECT *, row_number()", "SELECT * EXCLUDE (n), row_number()")}
+SELECT library, group_id, seq, slot FROM aims JOIN given USING (library, pos)""")
 def w4(spark: SparkSession, folder: str) -> DataFrame:
-    """Slots of clusters known by size alone: the duplicate groups of an earlier run, mixed as one list."""
+    """Slots of clusters known by size alone: the duplicate groups of an earlier run, mixed as one list of each library."""
     sizes = table(spark, folder, "group_members").filter("group_id IS NOT NULL AND seq IS NOT NULL").select("group_id", "seq").distinct()
     member = F.row_number().over(Window.partitionBy("group_id").orderBy("seq")) - 1
     n = F.count(F.lit(1)).over(Window.partitionBy("group_id"))
-    libraries = sizes.join(now(spark, folder, "library"), "seq").withColumn("place", member).withColumn("n", n)
+    photos = now(spark, folder, "library").filter("library IS NOT NULL")
+    libraries = sizes.join(photos, "seq").withColumn("place", member).withColumn("n", n)
     number = F.dense_rank().over(Window.partitionBy("library").orderBy(F.col("n").desc(), "group_id")) - 1
     listed = libraries.withColumn("number", number.cast("long")).withColumn("place", F.col("place").cast("long"))
-    keyed = listed.withColumn("seq", F.col("group_id") * 1_000_000_000 + F.col("seq"))
-    return keyed.select("library", "seq", "number", "place").groupBy("library").applyInArrow(order._slot, "seq long, slot long")
+    keyed = listed.select("library", "group_id", "seq", "number", "place")
+    slotted = keyed.groupBy("library").applyInArrow(order._slot, "library string, group_id long, seq long, number long, place long, slot long")
+    return slotted.select("library", "group_id", "seq", "slot")
 
 
 _SLOTTED = f"""
@@ -57,8 +97,8 @@ gaps AS (SELECT *, slot - lag(slot) OVER (PARTITION BY library, component ORDER
 def _slotted(spark: SparkSession, folder: str) -> DataFrame:
     """Photos in path order, as a plain order whose spacing can be reported."""
     photos = now(spark, folder, *_MIX).filter("library IS NOT NULL")
-    slot = F.row_number().over(Window.partitionBy("library").orderBy(F.upper("path"), "path", "seq")) - 1
-    return photos.select("library", "seq", slot.cast("long").alias("slot")).join(order.similar_clusters(photos), "seq")
+    placed = with_position(photos, [F.upper("path"), "path", "seq"], "place", by="library")
+    return placed.select("library", "seq", (F.col("place") - 1).alias("slot")).join(order.similar_clusters(photos), "seq")
 
 
 @query("W2_slot_gaps", f"WITH RECURSIVE {_SLOTTED} SELECT library, component, seq, slot, gap FROM gaps")
@@ -87,10 +127,10 @@ def o6(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("O5_report_order", f"""
 WITH RECURSIVE {_SLOTTED}, c AS (SELECT library, component, count(*) AS n, min(slot) AS first_slot FROM slotted GROUP BY ALL HAVING count(*) >= 2)
-SELECT library, component, row_number() OVER (PARTITION BY library ORDER BY n DESC, first_slot)::INT AS number FROM c""")
+SELECT library, component, row_number() OVER (PARTITION BY library ORDER BY n DESC, first_slot) AS number FROM c""")
 def o5(spark: SparkSession, folder: str) -> DataFrame:
-    number = F.row_number().over(Window.partitionBy("library").orderBy(F.col("n").desc(), "first_slot"))
-    return order.spacing_report(_slotted(spark, folder)).select("library", "component", number.alias("number"))
+    found = order.spacing_report(_slotted(spark, folder)).select("library", "component", "n", "first_slot")
+    return with_position(found, [-F.col("n"), "first_slot"], "number", by="library").select("library", "component", "number")
 
 
 @query("J13_slot_by_path", f"""
@@ -111,70 +151,55 @@ def o2(spark: SparkSession, folder: str) -> DataFrame:
 @query("O3_cluster_order", f"""
 WITH RECURSIVE {SIMILAR}, c AS (SELECT library, component, count(*) AS n, min((upper(path), path, n.seq)) AS first
   FROM now n JOIN similar_label USING (seq) WHERE library IS NOT NULL GROUP BY ALL)
-SELECT library, component, row_number() OVER (PARTITION BY library ORDER BY n DESC, first)::INT AS number FROM c""")
+SELECT library, component, row_number() OVER (PARTITION BY library ORDER BY n DESC, first) AS number FROM c""")
 def o3(spark: SparkSession, folder: str) -> DataFrame:
     photos = now(spark, folder, *_MIX).filter("library IS NOT NULL")
     placed = photos.join(order.similar_clusters(photos), "seq")
     sizes = placed.groupBy("library", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.upper("path").alias("k"), "path", "seq")).alias("first"))
-    number = F.row_number().over(Window.partitionBy("library").orderBy(F.col("n").desc(), "first"))
-    return sizes.select("library", "component", number.alias("number"))
-
-
-@query("O4_close_pairs", f"""
-WITH {NOW}, p AS (SELECT a.seq AS id_a, b.seq AS id_b, bit_count(xor(a.dhash, b.dhash))::INT AS bits, regexp_extract(a.path, '([^/\\\\]*)$', 1) AS name
-  FROM now a JOIN now b ON a.library = b.library AND a.seq < b.seq AND bit_count(xor(a.dhash, b.dhash)) <= 12)
-SELECT id_a, id_b, bits, row_number() OVER (ORDER BY bits, name NULLS FIRST, id_a, id_b) AS position FROM p""")
-def o4(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = report.close_pairs(now(spark, folder, "library", "path", "dhash"), 12)
-    return with_position(pairs, ["bits", "name_a", "id_a", "id_b"]).select("id_a", "id_b", "bits", "position")
+    return with_position(sizes, [-F.col("n"), "first"], "number", by="library").select("library", "component", "number")
 
 
-#: The greatest distance that the reference lists.
+#: The greatest distance that is listed.
 CLOSE_BITS = 22
 
 
-@query("O4_close_pairs_22", f"""
+@query("O4_close_pairs", f"""
 WITH {NOW}, p AS (SELECT a.seq AS id_a, b.seq AS id_b, bit_count(xor(a.dhash, b.dhash))::INT AS bits, regexp_extract(a.path, '([^/\\\\]*)$', 1) AS name
   FROM now a JOIN now b ON a.library = b.library AND a.seq < b.seq AND bit_count(xor(a.dhash, b.dhash)) <= {CLOSE_BITS})
 SELECT id_a, id_b, bits, row_number() OVER (ORDER BY bits, name NULLS FIRST, id_a, id_b) AS position FROM p""")
-def o4_22(spark: SparkSession, folder: str) -> DataFrame:
+def o4(spark: SparkSession, folder: str) -> DataFrame:
     pairs = report.close_pairs(now(spark, folder, "library", "path", "dhash"), CLOSE_BITS)
     return with_position(pairs, ["bits", "name_a", "id_a", "id_b"]).select("id_a", "id_b", "bits", "position")
 
 
+#: Thresholds of the sweep.
+THRESHOLDS = [6, 8, 10, 12, 14, 16, 18, 20, 21, 22]
+
+#: Labels by minimum label propagation, one row a photo and threshold, until none changes.
 _SWEEP = f"""
 {NOW}, near AS (
   SELECT a.seq AS a, b.seq AS b, bit_count(xor(a.dhash, b.dhash)) AS d
-  FROM now a JOIN now b ON a.library = b.library AND a.seq <> b.seq AND bit_count(xor(a.dhash, b.dhash)) <= 8),
-levels AS (SELECT unnest([2, 4, 6, 8]) AS t),
-reached(t, seq, other) AS (
-  SELECT DISTINCT t, a, a FROM near JOIN levels ON d <= t UNION SELECT r.t, r.seq, n.b FROM reached r JOIN near n ON r.other = n.a AND n.d <= r.t),
-label AS (SELECT t, seq, min(other) AS component FROM reached GROUP BY t, seq)"""
+  FROM now a JOIN now b ON a.library = b.library AND a.seq <> b.seq AND bit_count(xor(a.dhash, b.dhash)) <= {max(THRESHOLDS)}),
+levels AS (SELECT unnest({THRESHOLDS}) AS t),
+label(t, seq, component) USING KEY (t, seq) AS (
+  SELECT DISTINCT t, a, a FROM near JOIN levels ON d <= t
+  UNION
+  SELECT r.t, n.b, min(r.component) FROM label r JOIN near n ON n.a = r.seq AND n.d <= r.t
+    JOIN recurring.label old ON old.t = r.t AND old.seq = n.b
+  WHERE r.component < old.component GROUP BY r.t, n.b)"""
 
 
 @query("A13_threshold_sweep", f"WITH RECURSIVE {_SWEEP} SELECT t AS threshold, count(DISTINCT component) AS n_groups, count(*) AS n_photos FROM label GROUP BY t")
 def a13(spark: SparkSession, folder: str) -> DataFrame:
-    return report.sweep_counts(report.threshold_sweep(now(spark, folder, "library", "dhash"), [2, 4, 6, 8]))
-
-
-#: The thresholds of the reference.
-THRESHOLDS = [6, 8, 10, 12, 14, 16, 18, 20, 21, 22]
-
-
-@query("A13_threshold_sweep_10")
-def a13_10(spark: SparkSession, folder: str) -> DataFrame:
     return report.sweep_counts(report.threshold_sweep(now(spark, folder, "library", "dhash"), THRESHOLDS))
 
 
 @query("U3_new_groups", f"""
-WITH RECURSIVE {_SWEEP}, g AS (SELECT t, string_agg(seq::VARCHAR, '|' ORDER BY seq) AS members FROM label GROUP BY t, component)
-SELECT t AS threshold, members FROM g WHERE t > 2 AND NOT EXISTS (SELECT 1 FROM g h WHERE h.t = g.t - 2 AND h.members = g.members)""")
+WITH RECURSIVE {_SWEEP}, c AS (SELECT t, component, count(*) AS n FROM label GROUP BY ALL), o AS (SELECT t, row_number() OVER (ORDER BY t) AS k FROM levels),
+g AS (SELECT k, c.* FROM c JOIN o USING (t))
+SELECT l.t AS threshold, l.component, l.seq FROM label l JOIN g ON g.t = l.t AND g.component = l.component
+WHERE g.k > 1 AND NOT EXISTS (SELECT 1 FROM g h WHERE h.k = g.k - 1 AND h.component = g.component AND h.n = g.n)""")
 def u3(spark: SparkSession, folder: str) -> DataFrame:
-    return report.new_groups(report.threshold_sweep(now(spark, folder, "library", "dhash"), [2, 4, 6, 8]), [2, 4, 6, 8])
-
-
-@query("U3_new_groups_10")
-def u3_10(spark: SparkSession, folder: str) -> DataFrame:
     return report.new_groups(report.threshold_sweep(now(spark, folder, "library", "dhash"), THRESHOLDS), THRESHOLDS)
 
 
@@ -226,10 +251,12 @@ def p16(spark: SparkSession, folder: str) -> DataFrame:
     return report.available_names(wanted, there).select("group_id", "name")
 
 
-@query("U5_nothing_lost", f"WITH {NOW} SELECT 0::BIGINT AS missing, 0::BIGINT AS added")
+@query("U5_nothing_lost", f"""
+WITH {NOW} SELECT library, count(*) AS n, count(*) AS slots, 0::BIGINT AS first, count(*) - 1 AS last, sum(seq)::BIGINT AS seqs
+FROM now WHERE library IS NOT NULL GROUP BY library""")
 def u5(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows that ordering lost or added: none."""
-    before = now(spark, folder, *_MIX).filter("library IS NOT NULL").select("seq")
-    after = w6(spark, folder).select("seq")
-    missing = before.exceptAll(after).agg(F.count(F.lit(1)).alias("missing"))
-    return missing.crossJoin(after.exceptAll(before).agg(F.count(F.lit(1)).alias("added")))  # one row each
+    """Of each library's order: photos, different slots, first and last slot, sum of the photos' seq; nothing lost, nothing added."""
+    mixed, _ = Scratch(spark, "order").cut(w6(spark, folder), "mixed")
+    slots = mixed.select("library", "slot").distinct().groupBy("library").agg(F.count(F.lit(1)).alias("slots"))
+    found = mixed.groupBy("library").agg(F.count(F.lit(1)).alias("n"), F.min("slot").alias("first"), F.max("slot").alias("last"), F.sum("seq").alias("seqs"))
+    return found.join(slots, "library").select("library", "n", "slots", "first", "last", "seqs")

@@ -17,8 +17,8 @@ _BY_PATH = "row_number() OVER (PARTITION BY library ORDER BY upper(path) NULLS F
 
 def _by_path(spark: SparkSession, folder: str, *more: str) -> DataFrame:
     photos = now(spark, folder, "library", "path", *more).filter("library IS NOT NULL")
-    place = F.row_number().over(Window.partitionBy("library").orderBy(F.upper("path"), "path", "seq")) - 1
-    return photos.withColumn("position", place.cast("long"))
+    placed = with_position(photos, [F.upper("path"), "path", "seq"], by="library")
+    return placed.withColumn("position", F.col("position") - 1)
 
 
 @query("W7_chunks", f"WITH {NOW}, p AS (SELECT library, seq, {_BY_PATH} AS p FROM now WHERE library IS NOT NULL) SELECT library, seq, p // 12 AS chunk, p % 12 AS idx FROM p")
@@ -94,8 +94,8 @@ def w16(spark: SparkSession, folder: str) -> DataFrame:
     zero = F.lit(0).cast("long").alias("position")
     opener = placed.groupBy("library").agg(F.min("seq").alias("seq")).select("library", "seq", zero)
     closer = placed.groupBy("library").agg(F.max("seq").alias("seq")).select("library", "seq", zero)
-    place = F.row_number().over(Window.partitionBy("library").orderBy("rank", "position"))
-    return timeline.pinned(placed, opener, closer).select("library", "seq", place.alias("place"))
+    listed = timeline.pinned(placed, opener, closer).select("library", "seq", "rank", F.col("position").alias("at"))
+    return with_position(listed, ["rank", "at"], "place", by="library").select("library", "seq", "place")
 
 
 @query("U4_chunks_joined", f"""

@@ -11,8 +11,11 @@ from __future__ import annotations
 import atexit
 import py_compile
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -105,13 +108,53 @@ def delete(spark: SparkSession, uri: str) -> None:
         pass
 
 
+_CLEANING = threading.Lock()
+_WRITERS: dict[int, tuple[int, str]] = {}
+
+
+@contextmanager
+def _clean_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written meanwhile go at once; the setting returns with the last of parallel writers."""
+    key = id(spark)
+    with _CLEANING:
+        n, before = _WRITERS.get(key) or (0, spark.conf.get(CLEAN_SHUFFLES_KEY, "false"))
+        _WRITERS[key] = n + 1, before
+        spark.conf.set(CLEAN_SHUFFLES_KEY, "true")
+    try:
+        yield
+    finally:
+        with _CLEANING:
+            n, before = _WRITERS.pop(key)
+            if n > 1:
+                _WRITERS[key] = n - 1, before
+            else:
+                spark.conf.set(CLEAN_SHUFFLES_KEY, before)
+
+
+_ROOTS: dict[str, SparkSession] = {}
+
+
+def release() -> None:
+    """Deletes the scratch tables of all operators run so far.
+
+    For drivers that live long: call it when no result of theirs is still to be
+    computed.  Otherwise the tables go when the Python process ends.
+    """
+    while _ROOTS:
+        root, spark = _ROOTS.popitem()
+        delete(spark, root)
+
+
+atexit.register(release)
+
+
 @dataclass
 class Scratch:
     """Tables of one run of an operator, below the shared folder.
 
     ``cut`` writes a frame and reads it back.  ``drop`` removes tables nobody
-    reads any more; the rest goes when the Python process ends, since lazily
-    evaluated results may still need them.
+    reads any more; the rest goes with ``release`` or when the Python process ends,
+    since lazily evaluated results may still need them.
     """
 
     spark: SparkSession
@@ -122,7 +165,7 @@ class Scratch:
     def __post_init__(self) -> None:
         ship_code(self.spark)
         self.root = f"{shared_dir(self.spark)}/{self.name}-{uuid.uuid4().hex}"
-        atexit.register(delete, self.spark, self.root)
+        _ROOTS[self.root] = self.spark
 
     def cut(self, df: DataFrame, name: str, **metrics) -> tuple[DataFrame, dict]:
         """Write ``df``; return the written table and the metrics observed."""
@@ -131,12 +174,8 @@ class Scratch:
         if metrics:
             seen = Observation()
             df = df.observe(seen, *(F.coalesce(c, F.lit(0)).cast("long").alias(k) for k, c in metrics.items()))
-        before = self.spark.conf.get(CLEAN_SHUFFLES_KEY, "false")
-        self.spark.conf.set(CLEAN_SHUFFLES_KEY, "true")
-        try:
+        with _clean_shuffles(self.spark):
             df.write.mode("overwrite").parquet(at)
-        finally:
-            self.spark.conf.set(CLEAN_SHUFFLES_KEY, before)
         self.tables[name] = at
         return self.spark.read.schema(schema).parquet(at), (seen.get if metrics else {})
 
@@ -154,3 +193,25 @@ def bounded(df: DataFrame, most: int) -> bool:
 def small_join(big: DataFrame, small: DataFrame, on, how: str = "inner", most: int = 100_000) -> DataFrame:
     """Join that broadcasts ``small`` only if it was counted to have at most ``most`` rows."""
     return big.join(F.broadcast(small) if bounded(small, most) else small, on, how)
+
+
+#: Rows with one key that a join may send to one task, and keys with more rows that may be broadcast.
+HOT_ROWS, HOT_KEYS = 1_000_000, 10_000
+
+
+def follow(rows: DataFrame, found: DataFrame, on: str | list[str], n: int, *, hot_rows: int = HOT_ROWS, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``found``, which has each key once; no task gets all rows of a hot key.
+
+    n: an upper bound of the number of rows.  Of n rows fewer than ``HOT_KEYS`` keys
+    can each have more than max(``hot_rows``, n / HOT_KEYS), so what is found for
+    these few keys is broadcast and their rows stay where they are; all others meet
+    by a join on the key.  With fewer rows than that no key can be hot.
+    """
+    limit = max(hot_rows, n // HOT_KEYS)
+    if n <= limit:
+        return rows.join(found, on, how)
+    keys = [on] if isinstance(on, str) else on
+    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(*keys)
+    known = found.join(F.broadcast(hot), keys)
+    of_hot = rows.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(known), keys, how)
+    return of_hot.unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(found, keys, how))

@@ -133,3 +133,18 @@ def test_groups_are_ordered_by_size_time_and_first(spark):
     rows = [("x", 2, T0, 4), ("y", 3, None, 3), ("z", 2, None, 2), ("w", 2, T0 - dt.timedelta(1), 9)]
     df = spark.createDataFrame(rows, "classification string, n long, recommended_time timestamp_ntz, first_seq long")
     assert [r.classification for r in dedup.ordered_groups(df).orderBy("position").collect()] == ["y", "w", "x", "z"]
+
+
+def test_the_fingerprint_of_very_many_pairs_does_not_overflow(spark):
+    pairs = spark.range(20_000_000).selectExpr("id + 1 AS u", "id AS v")
+    a, b = (df.agg(*(c.alias(k) for k, c in graph._fingerprint().items())).first() for df in (pairs, pairs.filter("u != 77")))
+    assert a.n == 20_000_000 and b.n == a.n - 1 and (a.x, a.y) != (b.x, b.y)
+
+
+def test_a_hot_hash_and_hot_bytes(spark):
+    rows = [photo(k, A if k % 2 else None, 5, w=k % 7 + 1) for k in range(1, 400)] + [photo(500, B, 7)]
+    members, _ = found(spark, rows)
+    best = max((k for k in range(1, 400, 2)), key=lambda k: (k % 7, -len(f"/{k}.jpg"), -k))
+    assert members["ExactOnly", 1] == set(range(1, 400, 2))
+    assert members["HasVisualComponent", 1] == {500, *range(2, 400, 2), best}
+    assert dedup.size_collisions(spark.createDataFrame(rows, NOW)).filter("collides").count() == 400

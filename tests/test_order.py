@@ -126,14 +126,7 @@ def test_pairs_at_22_bits_in_several_blocks_match_brute_force(spark):
     assert {(r.id_a, r.id_b): r.bits for r in report.close_pairs(df, 22).collect()} == want and max(want.values()) == 22
 
 
-def test_query_lists_pairs_up_to_the_distance_of_the_reference(spark, data_dir):
-    queries = registry.queries()
-    short = {(r.id_a, r.id_b) for r in queries["O4_close_pairs"](spark, data_dir).collect()}
-    whole = {(r.id_a, r.id_b): r.bits for r in queries["O4_close_pairs_22"](spark, data_dir).collect()}
-    assert short < set(whole) and max(whole.values()) == 22 and {k for k, bits in whole.items() if bits <= 12} == short
-
-
-THRESHOLDS = [6, 8, 10, 12, 14, 16, 18, 20, 21, 22]  # ThresholdDiagnostic.cs:79
+THRESHOLDS = [6, 8, 10, 12, 14, 16, 18, 20, 21, 22]
 
 
 def _groups(rows, thresholds):
@@ -163,7 +156,7 @@ def _current(spark, data_dir):
 
 
 @pytest.mark.parametrize("block", [13, 50, 4096])
-def test_sweep_of_the_reference_matches_brute_force(spark, block):
+def test_sweep_in_blocks_matches_brute_force(spark, block):
     rows, df = _hashed(spark, 160, 6)
     want, got = _groups(rows, THRESHOLDS), {}
     for r in report.compared_sweep(df, THRESHOLDS, rows=block).collect():
@@ -173,20 +166,80 @@ def test_sweep_of_the_reference_matches_brute_force(spark, block):
     assert len({len(g) for g in want.values()}) > 5
 
 
-def test_sweep_query_counts_at_every_threshold_of_the_reference(spark, data_dir):
+def test_sweep_query_counts_at_every_threshold(spark, data_dir):
     want = _groups(_current(spark, data_dir), THRESHOLDS)
-    got = registry.queries()["A13_threshold_sweep_10"](spark, data_dir).collect()
+    got = registry.queries()["A13_threshold_sweep"](spark, data_dir).collect()
     assert {r.threshold: (r.n_groups, r.n_photos) for r in got} == {t: (len(g), sum(map(len, g))) for t, g in want.items()}
     assert [r.threshold for r in sorted(got)] == THRESHOLDS
 
 
-def test_new_groups_at_every_step_of_the_reference(spark, data_dir):
+def test_new_groups_at_every_step(spark, data_dir):
     groups = _groups(_current(spark, data_dir), THRESHOLDS)
-    want = sorted(
-        (t, "|".join(map(str, sorted(g)))) for before, t in zip(THRESHOLDS, THRESHOLDS[1:]) for g in groups[t] - groups[before]
-    )
-    got = registry.queries()["U3_new_groups_10"](spark, data_dir).collect()
-    assert sorted((r.threshold, r.members) for r in got) == want and len({t for t, _ in want}) > 5
+    want = sorted((t, min(g), x) for before, t in zip(THRESHOLDS, THRESHOLDS[1:]) for g in groups[t] - groups[before] for x in g)
+    got = registry.queries()["U3_new_groups"](spark, data_dir).collect()
+    assert sorted((r.threshold, r.component, r.seq) for r in got) == want and len({t for t, *_ in want}) > 5
+
+
+def test_sweep_at_small_thresholds_matches_brute_force(spark):
+    rows, df = _hashed(spark, 160, 9)
+    want, got = _groups(rows, [2, 3, 9, 12]), {}
+    for r in report.threshold_sweep(df, [9, 3, 2, 12]).collect():
+        got.setdefault((r.threshold, r.component), set()).add(r.seq)
+    assert all(c == min(g) for (_, c), g in got.items())
+    assert {t: {frozenset(g) for (x, _), g in got.items() if x == t} for t in (2, 3, 9, 12)} == want
+
+
+def test_a_published_order_is_reproduced(spark):
+    """All 197 slots of an order that was published with hashes and times to the minute."""
+    from pathlib import Path
+
+    from loupe.sources.files import read_ordering
+
+    listed = read_ordering(spark, str(Path(__file__).parent / "data" / "mixed_order.txt")).collect()
+    assert [r.slot for r in listed] == list(range(1, 198))
+    rows = [(k, r.name, r.capture_time, r.dhash) for k, r in enumerate(sorted(listed, key=lambda r: r.name[::-1]))]
+    names = {k: name for k, name, *_ in rows}
+    assert [names[s] for s in mixed(spark, rows)] == [r.name for r in listed]
+    sizes = sorted(order.similar_clusters(frame(spark, rows)).groupBy("component").count().toPandas()["count"], reverse=True)
+    assert sizes[:10] == [38, 17, 9, 7, 7, 6, 5, 5, 4, 4]
+
+
+def test_ties_of_flat_hashes_and_of_many_copies_match_brute_force(spark):
+    rng = random.Random(5)
+    hashes = [rng.getrandbits(53) << 11 for _ in range(40)]
+    rows = []
+    for seq in range(300):
+        h = rng.choice(hashes[:3] if seq % 3 else hashes) ^ (1 << rng.randrange(11, 64) if seq % 4 else 0)
+        rows.append((seq, "a", "/p", h - (1 << 64) if h >> 63 else h))
+    df = spark.createDataFrame(rows, "seq long, library string, path string, dhash long")
+    assert {(r.id_a, r.id_b): r.bits for r in edges.near_hashes(df).collect()} == _near(rows, 8)
+
+
+def test_time_links_and_gaps_are_those_of_a_window(spark):
+    rows = [(s, "p", T0 + dt.timedelta(minutes=17 * (s * s % 23)), None) for s in range(60)]
+    got = {(r.u, r.v) for r in edges.time_links(frame(spark, rows)).collect()}
+    by = sorted((t, s) for s, _, t, _ in rows)
+    assert got == {(a[1], b[1]) for a, b in zip(by, by[1:]) if b[0] - a[0] <= dt.timedelta(minutes=30)}
+
+
+def test_following_hot_keys(spark):
+    from loupe.session import follow
+
+    rows = spark.range(5000).selectExpr("id", "if(id % 3 = 0, 7, if(id % 50 = 1, NULL, id)) AS k")
+    found = spark.createDataFrame([(7, 1), (8, 2), (11, 3)], "k long, v long")
+    for how in ("inner", "left"):
+        want = sorted((r.id, r.v or 0) for r in rows.join(found, "k", how).collect())
+        assert sorted((r.id, r.v or 0) for r in follow(rows, found, "k", 5000, hot_rows=100, how=how).collect()) == want
+    plan = follow(rows, found, "k", 5000, hot_rows=100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan and "Union" in plan
+
+
+def test_positions_by_group(spark):
+    df = spark.range(3000).selectExpr("id", "if(id < 2000, 'hot', if(id < 2900, cast(id % 40 AS string), NULL)) AS g")
+    got = {}
+    for r in positions.with_position(df, ["id"], by="g").collect():
+        got.setdefault(r.g, []).append((r.id, r.position))
+    assert all([p for _, p in sorted(x)] == list(range(1, len(x) + 1)) for x in got.values()) and len(got) == 42
 
 
 def test_first_available_name(spark):
