@@ -24,7 +24,8 @@ from loupe.functions.keys import GAP_SECONDS, NEAR_BITS, micros, usable_hash
 from loupe.llm.groups import connected
 from loupe.llm.near import group_sizes, near_pairs
 from loupe.operators.current import current_photos
-from loupe.session import Scratch
+from loupe.operators.edges import slot_runs, time_slot
+from loupe.session import Scratch, follow
 
 GAP_US = GAP_SECONDS * 1_000_000
 _LANES = 0x0000000100000001
@@ -50,27 +51,6 @@ def _distance_sum(hash_: str, n: str) -> Column:
     return total
 
 
-def _session_nodes(now: DataFrame, gap_us: int) -> DataFrame:
-    """``now`` with ``node``: the smallest seq of its library's run of times, or its own seq.
-
-    Times in one calendar slot of the gap's width are always in one run, so a
-    library is first reduced to one row per slot, before the shuffle.
-    """
-    slot = F.expr(f"(t - pmod(t, {gap_us}L)) div {gap_us}L").alias("slot")
-    timed = now.withColumn("slot", slot)
-    slots = (
-        timed.filter("slot IS NOT NULL").groupBy("library", "slot")
-        .agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.min("seq").alias("first"))
-    )
-    along = Window.partitionBy("library").orderBy("slot")
-    starts = F.coalesce((F.col("lo") - F.lag("hi").over(along) > gap_us).cast("long"), F.lit(0))
-    runs = slots.withColumn("starts", starts).withColumn("run", F.sum("starts").over(along))
-    runs = runs.select("library", "slot", F.min("first").over(Window.partitionBy("library", "run")).alias("node"))
-    return timed.join(runs, ["library", "slot"], "left").select(
-        "seq", "library", "dhash", F.coalesce("node", "seq").alias("node")
-    )
-
-
 def alike_clusters(photos: DataFrame, *, distance: int = NEAR_BITS, gap_us: int = GAP_US) -> DataFrame:
     """(``cluster``, ``typical``, ``n``) of each cluster of two or more photos.
 
@@ -85,15 +65,21 @@ def alike_clusters(photos: DataFrame, *, distance: int = NEAR_BITS, gap_us: int
     spark = photos.sparkSession
     scratch = Scratch(spark, "alike")
     now = current_photos(photos, "library", usable_hash("dhash").alias("dhash"), micros("capture_time").alias("t"))
-    nodes, _ = scratch.cut(_session_nodes(now.filter(F.col("library").isNotNull()), gap_us), "nodes")
+    now = now.filter(F.col("library").isNotNull()).select(F.col("library").alias("grp"), "seq", "dhash", "t").withColumn("slot", time_slot("t", gap_us))
+    now, seen = scratch.cut(now, "now", n=F.count(F.lit(1)))
+    n = seen["n"]
+    runs = slot_runs(now, gap_us).select("grp", "slot", "node")
+    timed = follow(now.filter("slot IS NOT NULL"), runs, ["grp", "slot"], n).select("seq", F.col("grp").alias("library"), "dhash", "node")
+    rest = now.filter("slot IS NULL").select("seq", F.col("grp").alias("library"), "dhash", F.col("seq").alias("node"))
+    nodes, _ = scratch.cut(timed.unionByName(rest), "nodes")
 
     # Photos of one run are one vertex.  Equal hashes tie their vertices to the first
     # of them; of the hashes near each other the first vertices are tied.
-    hashed = nodes.filter("dhash IS NOT NULL").select("library", "dhash", "node").distinct()
+    hashed, _ = scratch.cut(nodes.filter("dhash IS NOT NULL").select("library", "dhash", "node").distinct(), "hashed")
     ties = near_pairs(hashed, id="node", distance=distance, sizes=group_sizes(photos), expand=False)
     links = connected(ties, "id_a", "id_b")
 
-    placed = nodes.join(links.toDF("node", "component"), "node", "left").select(
+    placed = follow(nodes, links.toDF("node", "component"), "node", n, how="left").select(
         F.coalesce("component", "node").alias("cluster"), "seq", "dhash"
     )
     placed, _ = scratch.cut(placed, "placed")
@@ -102,7 +88,7 @@ def alike_clusters(photos: DataFrame, *, distance: int = NEAR_BITS, gap_us: int
         F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"), F.count("dhash").alias("hashed"), *_bit_sums("dhash")
     ).filter("n >= 2")
     nearest = (
-        placed.filter(known).join(centres.filter("hashed > 0"), "cluster")
+        follow(placed.filter(known), centres.filter("hashed > 0"), "cluster", n)
         .select("cluster", "n", F.struct(_distance_sum("dhash", "hashed").alias("sum"), "seq").alias("place"))
         .groupBy("cluster").agg(F.min("place").alias("place"), F.first("n").alias("n"))
         .select("cluster", F.col("place.seq").alias("typical"), "n")

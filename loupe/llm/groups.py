@@ -17,17 +17,13 @@ reaches the driver, and no operation gathers a component in one place.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loupe.functions.keys import NEAR_BITS, path_key, sha_key, usable_hash
-from loupe.llm.near import group_sizes, near_pairs
+from loupe.llm.near import _hashed_photos, class_members, group_sizes, near_classes, near_pairs
 from loupe.operators.current import current_photos
-from loupe.session import Scratch, bounded
-
-#: Rows of one library up to which rows with equal keys are linked in one step.
-STAR_LIMIT = 200_000
-MANY_LIBRARIES = 100_000
+from loupe.session import HOT_ROWS, Scratch, follow
 
 
 def _edges(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -35,25 +31,26 @@ def _edges(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).filter(u.isNotNull() & v.isNotNull() & (u != v)).distinct()
 
 
-def _doubled(parents: DataFrame) -> DataFrame:
-    """(c, p, up): each component, its pointer, and its pointer's pointer."""
+def _doubled(parents: DataFrame, n: int, hot_rows: int) -> DataFrame:
+    """(c, p, up): each of at most n components, its pointer, and its pointer's pointer."""
     up = parents.select(F.col("c").alias("p"), F.col("p").alias("up"))
-    return parents.join(up, "p").select("c", "p", "up")
+    return follow(parents, up, "p", n, hot_rows=hot_rows).select("c", "p", "up")
 
 
-def _forest(edges: DataFrame, scratch: Scratch, round_: int) -> DataFrame:
-    """(c, p): every component that has an edge, and the root of its tree."""
+def _forest(edges: DataFrame, scratch: Scratch, round_: int, n: int, hot_rows: int) -> DataFrame:
+    """(c, p): every component that has one of the n edges, and the root of its tree."""
     both = edges.select(F.col("u").alias("c"), F.col("v").alias("p")).unionByName(
         edges.select(F.col("v").alias("c"), F.col("u").alias("p"))
     )
     chosen = both.groupBy("c").agg(F.min("p").alias("p"))
     mutual = (F.col("up") == F.col("c")) & (F.col("c") < F.col("p"))
-    rooted = _doubled(chosen).select("c", F.when(mutual, F.col("c")).otherwise(F.col("p")).alias("p"))
-    parents, _ = scratch.cut(rooted, f"tree-{round_}-0")
+    rooted = _doubled(chosen, 2 * n, hot_rows).select("c", F.when(mutual, F.col("c")).otherwise(F.col("p")).alias("p"))
+    parents, seen = scratch.cut(rooted, f"tree-{round_}-0", n=F.count(F.lit(1)))
+    n = seen["n"]
     step = 0
     while True:
-        once = _doubled(parents).select("c", F.col("up").alias("p"))
-        twice = _doubled(once)
+        once = _doubled(parents, n, hot_rows).select("c", F.col("up").alias("p"))
+        twice = _doubled(once, n, hot_rows)
         step += 1
         parents, seen = scratch.cut(
             twice.select("c", F.col("up").alias("p"), (F.col("p") != F.col("up")).cast("long").alias("moved")),
@@ -66,24 +63,27 @@ def _forest(edges: DataFrame, scratch: Scratch, round_: int) -> DataFrame:
             return parents
 
 
-def connected(pairs: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
+def connected(pairs: DataFrame, a: str = "src", b: str = "dst", *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(``id``, ``component``): ids that are linked directly or through others.
 
     component is the smallest id of its group.  Pairs may repeat, run in either
     direction or tie an id to itself; pairs with a null end are left out.  An id
     without a pair to another id is in no group and gets no row; no pairs give no
     rows.  Other columns are not read.  Runs jobs; the state is written below the
-    session's shared folder.
+    session's shared folder.  An id with very many edges and a root with very many
+    ids below it are followed by broadcast, see ``follow``; ``hot_rows`` is its bound.
     """
     scratch = Scratch(pairs.sparkSession, "components")
     edges, seen = scratch.cut(_edges(pairs, a, b), "edges-0", n=F.count(F.lit(1)))
     forests: list[DataFrame] = []
+    most = 2 * seen["n"]  # ids
     while seen["n"]:
-        forest = _forest(edges, scratch, len(forests))
+        forest = _forest(edges, scratch, len(forests), seen["n"], hot_rows)
         forests.append(forest)
         end_u = forest.select(F.col("c").alias("u"), F.col("p").alias("a"))
         end_v = forest.select(F.col("c").alias("v"), F.col("p").alias("b"))
-        relabelled = _edges(edges.join(end_u, "u").join(end_v, "v"), "a", "b")
+        ends = follow(follow(edges, end_u, "u", seen["n"], hot_rows=hot_rows), end_v, "v", seen["n"], hot_rows=hot_rows)
+        relabelled = _edges(ends, "a", "b")
         edges, seen = scratch.cut(relabelled, f"edges-{len(forests)}", n=F.count(F.lit(1)))
         scratch.drop(f"edges-{len(forests) - 1}")
     if not forests:
@@ -91,7 +91,7 @@ def connected(pairs: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     labels = forests.pop()
     while forests:
         later = labels.select(F.col("c").alias("p"), F.col("p").alias("root"))
-        labels = forests.pop().join(later, "p", "left").select("c", F.coalesce("root", "p").alias("p"))
+        labels = follow(forests.pop(), later, "p", most, hot_rows=hot_rows, how="left").select("c", F.coalesce("root", "p").alias("p"))
     return labels.select(F.col("c").alias("id"), F.col("p").alias("component"))
 
 
@@ -107,26 +107,14 @@ def _digest(kind: str, *columns: str):
     return F.unhex(F.md5(F.concat(*parts)))
 
 
-def _stars(now: DataFrame, salted: bool) -> DataFrame:
-    """(u, v): rows with equal keys, each tied to the first of them.
-
-    Rows of large libraries are first tied within ``salt``, then the first rows of
-    the salts with each other, so that no task gets all rows of one key.
-    """
-    keyed = now.select("seq", "salt", F.explode(F.array("file", "path")).alias("key")).filter(F.col("key").isNotNull())
-
-    def tie(rows: DataFrame, *by: str) -> DataFrame:
-        return rows.withColumn("first", F.first("seq").over(Window.partitionBy(*by).orderBy("seq")))
-
-    tied = tie(keyed, "key", "salt") if salted else tie(keyed, "key")
-    edges = tied.filter("first != seq").select(F.col("first").alias("u"), F.col("seq").alias("v"))
-    if salted:
-        firsts = tie(tied.filter("first = seq AND salt IS NOT NULL").select("key", "seq"), "key")
-        edges = edges.unionByName(firsts.filter("first != seq").select(F.col("first").alias("u"), F.col("seq").alias("v")))
-    return edges
+def _stars(now: DataFrame, n: int, hot_rows: int) -> DataFrame:
+    """(u, v): of the n rows, those with equal keys, each tied to the first of them."""
+    keyed = now.select("seq", F.explode(F.array("file", "path")).alias("key")).filter(F.col("key").isNotNull())
+    firsts = keyed.groupBy("key").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("key", "first")
+    return follow(keyed, firsts, "key", 2 * n, hot_rows=hot_rows).filter("first != seq").select(F.col("first").alias("u"), F.col("seq").alias("v"))
 
 
-def photo_ties(photos: DataFrame, recorded: DataFrame, *, distance: int = NEAR_BITS, star_limit: int = STAR_LIMIT) -> DataFrame:
+def photo_ties(photos: DataFrame, recorded: DataFrame, *, distance: int = NEAR_BITS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(``u``, ``v``): ties between photos of one library that span all ties.
 
     Ties are equal usable ``sha256``, hashes within ``distance`` bits, equal
@@ -149,17 +137,9 @@ def photo_ties(photos: DataFrame, recorded: DataFrame, *, distance: int = NEAR_B
         _digest("p", "library", "path").alias("path"),
     )
     now = now.filter(F.col("library").isNotNull())
-    large = sizes.filter((F.col("n") > star_limit) & F.col("library").isNotNull())
-    large = large.select("library", F.ceil(F.col("n") / star_limit).cast("int").alias("salts"))
-    salted = not large.isEmpty()
-    if salted:
-        now = now.join(F.broadcast(large) if bounded(large, MANY_LIBRARIES) else large, "library", "left")
-        now = now.withColumn("salt", F.pmod(F.xxhash64("seq"), F.col("salts"))).drop("salts")
-    else:
-        now = now.withColumn("salt", F.lit(None).cast("long"))
-    now, _ = scratch.cut(now, "now")
-
-    close = near_pairs(now, distance=distance, sizes=sizes, expand=False)
+    now, seen = scratch.cut(now, "now", n=F.count(F.lit(1)))
+
+    close = near_pairs(now, distance=distance, sizes=sizes, expand=False, hot_rows=hot_rows)
     wanted = recorded.filter(F.lower("kind").isin("exact", "visual"))
     seen_in = now.select(F.col("seq"), F.col("library"))
     kept = (
@@ -168,7 +148,7 @@ def photo_ties(photos: DataFrame, recorded: DataFrame, *, distance: int = NEAR_B
         .join(seen_in.toDF("v", "library"), ["v", "library"])
     )
     return (
-        _stars(now, salted)
+        _stars(now, seen["n"], hot_rows)
         .unionByName(close.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")))
         .unionByName(kept.select("u", "v"))
     )
@@ -178,3 +158,26 @@ def photo_groups(photos: DataFrame, recorded: DataFrame, *, distance: int = NEAR
     """(``seq``, ``component``) of every photo tied to another, see ``photo_ties``."""
     groups = connected(photo_ties(photos, recorded, distance=distance), "u", "v")
     return groups.select(F.col("id").alias("seq"), "component")
+
+
+def near_groups(photos: DataFrame, *, distance: int = NEAR_BITS) -> DataFrame:
+    """(``seq``, ``representative``, ``component``): photos whose picture is nearly another's, by group.
+
+    One row for each photo that ``near.near_photos`` pairs with another: component
+    is the smallest seq of all photos linked so, directly or through others;
+    representative the smallest seq of the library with the same hash, which stands
+    for its copies while groups are formed.  Copies of one file alone make no group.
+    """
+    scratch = Scratch(photos.sparkSession, "alike")
+    slim = _hashed_photos(photos).select(F.col("library").alias("grp"), F.col("seq").alias("id"), F.col("dhash").alias("hash"), F.col("file").alias("same"))
+    near = near_classes(slim, distance=distance, sizes=group_sizes(photos), group="library")
+    classes, _ = scratch.cut(near.classes, "classes")
+    label = connected(near.pairs.select("id_a", "id_b"), "id_a", "id_b").toDF("first", "component")
+    # rows with one hash that are not all one file are near each other
+    mixed = F.col("component").isNull() & (F.col("n") > 1) & F.col("same").isNull()
+    placed = classes.join(label, "first", "left").withColumn("component", F.when(mixed, F.col("first")).otherwise(F.col("component")))
+    placed = placed.filter("component IS NOT NULL").select("first", "n", "component")
+    members = class_members(slim, near).select("first", "id")
+    several = follow(members, placed.filter("n > 1").select("first", "component"), "first", near.rows)
+    alone = placed.filter("n = 1").select("first", F.col("first").alias("id"), "component")
+    return several.unionByName(alone).select(F.col("id").alias("seq"), F.col("first").alias("representative"), "component")

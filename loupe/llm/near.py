@@ -22,7 +22,10 @@ dropped, and the rest is verified by the exact distance.  A pair is kept by the
 first position that can meet it, so no pair comes out twice.  With n uniform
 hashes this meets about n * n * 188 / 65,536 / 2 candidates instead of n * n / 2.
 
-Distribution.  Groups (libraries) are independent.  A group with more rows than
+Distribution.  Rows with equal hashes are one class, formed by an aggregation that
+combines before the shuffle; classes are compared, and their members multiplied out
+by joins afterwards, if at all.  So a hash that very many rows have is one row of
+one task.  Groups (libraries) are independent.  A group with more rows than
 ``limit`` is cut into blocks: the 64 bits are divided into t + c segments (t the
 distance), of which any pair within t shares at least c; a block holds the hashes
 with equal values in one choice of c segments, and a pair is kept in the block of
@@ -36,15 +39,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loupe.functions.bits import regrouped, regrouped_column
 from loupe.functions.keys import NEAR_BITS, sha_key, usable_hash
 from loupe.operators.current import current_photos
-from loupe.session import bounded, ship_code
+from loupe.session import HOT_ROWS, Scratch, follow, ship_code
 
 #: Rows of a group that one task compares without cutting the group into blocks.
 GROUP_LIMIT = 60_000
@@ -58,34 +63,6 @@ CHOICE_SHIFT = 40
 _NEAR_BYTE = np.bitwise_count(np.arange(256, dtype=np.uint8)) <= 1
 
 
-#: The three exchanges that transpose 8 x 8 bits: (shift, bits that move down).
-_SWAPS = ((7, 0x00AA00AA00AA00AA), (14, 0x0000CCCC0000CCCC), (28, 0x00000000F0F0F0F0))
-
-
-def regrouped(hashes: np.ndarray) -> np.ndarray:
-    """64-bit hashes with their bits regrouped along diagonals: row r turned by r bits, then transposed."""
-    rows = hashes.astype(np.uint64).view(np.uint8).reshape(-1, 8)
-    turn = np.arange(8, dtype=np.uint8)
-    x = np.ascontiguousarray((rows << turn) | (rows >> ((8 - turn) & 7)) * (turn > 0)).view(np.uint64).ravel()
-    for shift, mask in _SWAPS:
-        moved = (x ^ (x >> np.uint64(shift))) & np.uint64(mask)
-        x = x ^ moved ^ (moved << np.uint64(shift))
-    return x
-
-
-def _regrouped_column(h: Column) -> Column:
-    """``regrouped`` as a column."""
-    x = F.lit(0).cast("long")
-    for r in range(8):
-        row = F.shiftrightunsigned(h, 8 * r).bitwiseAND(F.lit(255).cast("long"))
-        turned = F.shiftleft(row, r).bitwiseOR(F.shiftrightunsigned(row, 8 - r)).bitwiseAND(F.lit(255).cast("long")) if r else row
-        x = x.bitwiseOR(F.shiftleft(turned, 8 * r))
-    for shift, mask in _SWAPS:
-        moved = x.bitwiseXOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask).cast("long"))
-        x = x.bitwiseXOR(moved).bitwiseXOR(F.shiftleft(moved, shift))
-    return x
-
-
 @lru_cache(maxsize=None)
 def _masks(tolerance: int) -> np.ndarray:
     """All 16-bit values of at most ``tolerance`` one bits."""
@@ -202,125 +179,144 @@ def _owned(x: np.ndarray, distance: int, shared: int, block: int) -> np.ndarray:
     return keep
 
 
-def _group_pairs(table: pa.Table, distance: int, shared: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Id pairs of one block; rows of the same non-null class are never paired."""
-    ids = table.column("id").to_numpy()
-    h = regrouped(table.column("hash").to_numpy().view(np.uint64))
-    n = len(ids)
-    known = np.full(n, -1, dtype=np.int64)
-    if "same" in table.column_names:
-        codes = table.column("same").combine_chunks().dictionary_encode()
-        codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
-        known = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-    # a row without a class is a class of its own
-    own = np.where(known < 0, n + np.arange(n), known)
-    order = np.lexsort((own, h))
-    ids, h, own = ids[order], h[order], own[order]
-    distinct, first = np.unique(h, return_index=True)
-    size = np.diff(np.append(first, n))
-
-    # equal hashes: every row with the rows of the later classes of its hash
-    class_start = np.append(True, (own[1:] != own[:-1]) | (h[1:] != h[:-1]))
-    class_number = np.cumsum(class_start) - 1
-    class_end = np.append(np.flatnonzero(class_start)[1:], n)[class_number]
-    hash_end = np.repeat(first + size, size)
-    many = hash_end - class_end
-    if many.any() and _owned(np.zeros(1, dtype=np.uint64), distance, shared, block)[0]:
-        rows = np.flatnonzero(many)
-        for s in _slices(many[rows], BATCH):
-            k, at = _expand(class_end[rows[s]], many[rows[s]])
-            yield ids[rows[s]][k], ids[at]
-
-    for i, j in hash_pairs(distinct, distance):
-        if shared:
-            keep = _owned(distinct[i] ^ distinct[j], distance, shared, block)
-            i, j = i[keep], j[keep]
-        for s in _slices(size[i] * size[j], BATCH):
-            a, b = i[s], j[s]
-            k, left = _expand(first[a], size[a])
-            kk, right = _expand(first[b][k], size[b][k])
-            left = left[kk]
-            keep = own[left] != own[right]
-            yield ids[left[keep]], ids[right[keep]]
-
-
-def _group_ties(table: pa.Table, distance: int, shared: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Id pairs of one block that tie equal hashes to their first id, and first ids of near hashes."""
-    ids = table.column("id").to_numpy()
+_PAIR = ["id_a", "id_b", "many", "class_a", "class_b"]
+
+
+def _class_pairs(table: pa.Table, distance: int, shared: int, block: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (_PAIR) of the near classes of one block.
+
+    Two classes of one and the same known ``same`` value make no pair; class_a and
+    class_b are these values, where the pair is to be multiplied out.
+    """
+    table = table.combine_chunks()
+    first, n = table.column("first").to_numpy(), table.column("n").to_numpy()
     h = regrouped(table.column("hash").to_numpy().view(np.uint64))
-    order = np.lexsort((ids, h))
-    ids, h = ids[order], h[order]
-    distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
-    if _owned(np.zeros(1, dtype=np.uint64), distance, shared, block)[0]:
-        leader = ids[first][which]
-        copies = leader != ids
-        yield leader[copies], ids[copies]
-    leader = ids[first]
-    for i, j in hash_pairs(distinct, distance):
+    values = pa.concat_arrays(table.column("same").chunks) if table.num_rows else table.column("same").combine_chunks()
+    same = values.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    for i, j in hash_pairs(h, distance):
+        keep = (same[i] < 0) | (same[i] != same[j])
         if shared:
-            keep = _owned(distinct[i] ^ distinct[j], distance, shared, block)
-            i, j = i[keep], j[keep]
-        yield leader[i], leader[j]
+            keep &= _owned(h[i] ^ h[j], distance, shared, block)
+        i, j = i[keep], j[keep]
+        if not len(i):
+            continue
+        swap = first[i] > first[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        many = (n[i] > 1) | (n[j] > 1)
+        of = [values.take(pa.array(np.where(many, k, 0), mask=~many)) for k in (i, j)]
+        yield pa.RecordBatch.from_arrays([pa.array(first[i]), pa.array(first[j]), pa.array(many), *of], _PAIR)
 
 
-def near_pairs(
-    rows: DataFrame,
-    *,
-    group: str = "library",
-    id: str = "seq",  # noqa: A002 - column name parameter
-    hash: str = "dhash",  # noqa: A002
-    same: str | None = None,
-    distance: int = NEAR_BITS,
-    limit: int = GROUP_LIMIT,
-    sizes: DataFrame | None = None,
-    expand: bool = True,
-) -> DataFrame:
-    """Pairs (``id_a`` < ``id_b``) of rows of one group whose hashes are close.
+class NearClasses(NamedTuple):
+    """Near hashes by class, a class being the rows of one group with one hash.
 
-    rows: one row per id.  Rows with a null group, id or hash are left out, rows
-    of the same non-null ``same`` value are not paired (they are copies).  Equal
-    hashes count as close.  sizes: (group, n) upper bounds of the group sizes, if
-    known more cheaply than by counting ``rows``.  Without ``expand`` copies are
-    not multiplied out: ids with equal hashes are tied to the smallest of them,
-    which alone is paired with the smallest ids of the near hashes.  An empty
-    table gives no pairs; other columns are not read.
+    classes: grp, hash, first (smallest id), n, same (the value all its rows have, or
+    null); pairs: id_a < id_b, first ids of near classes, ``many``, whether one of
+    them has several rows, and then their ``same``; rows: bound of the number of rows.
     """
+
+    classes: DataFrame
+    pairs: DataFrame
+    rows: int
+
+
+def near_classes(
+    slim: DataFrame, *, distance: int = NEAR_BITS, limit: int = GROUP_LIMIT, sizes: DataFrame | None = None, group: str = "library"
+) -> NearClasses:
+    """Classes and pairs of near classes of ``slim`` (grp, id, hash, same; no null but in same)."""
     if not 0 <= distance <= 15:
         raise ValueError("distance must lie between 0 and 15 bits")
-    ship_code(rows.sparkSession)
-    slim = rows.select(
-        F.col(group).alias("grp"), F.col(id).cast("long").alias("id"), F.col(hash).cast("long").alias("hash"),
-        *([F.col(same).alias("same")] if same else []),
-    ).filter(F.col("grp").isNotNull() & F.col("id").isNotNull() & F.col("hash").isNotNull())
+    ship_code(slim.sparkSession)
+    one = (F.count("same") == F.count(F.lit(1))) & (F.min("same") == F.max("same"))
+    classes = slim.groupBy("grp", "hash").agg(
+        F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.when(one, F.min("same")).alias("same")
+    )
     counted = slim.groupBy("grp").agg(F.count("*").alias("n")) if sizes is None else sizes.select(F.col(group).alias("grp"), "n")
     thin = levels(distance)
     level = F.lit(len(thin) - 1)
     for c in reversed(range(len(thin) - 1)):
         level = F.when(F.col("n") <= F.lit(float(limit) * thin[c]), F.lit(c)).otherwise(level)
-    hot = counted.filter((F.col("n") > limit) & F.col("grp").isNotNull()).select("grp", level.alias("level"))
-    few = bounded(hot, HOT_GROUPS)
-    present = sorted(r[0] for r in hot.select("level").distinct().collect())  # at most three numbers
+    counted = counted.filter(F.col("grp").isNotNull()).withColumn("level", level)
+    # at most four rows: groups and rows by level
+    seen = counted.groupBy("level").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("groups")).collect()
+    present = sorted(r["level"] for r in seen if r["level"])
+    spread = classes
     if present:
-        slim = slim.withColumn("mixed", _regrouped_column(F.col("hash")))
-        slim = slim.join(F.broadcast(hot) if few else hot, "grp", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+        hot = counted.filter("level > 0").select("grp", "level")
+        few = sum(r["groups"] for r in seen if r["level"]) <= HOT_GROUPS
+        spread = spread.withColumn("mixed", regrouped_column("hash"))
+        spread = spread.join(F.broadcast(hot) if few else hot, "grp", "left").withColumn("level", F.coalesce("level", F.lit(0)))
         blocks = _block_columns("mixed", distance, 0)
         for c in present:
             blocks = F.when(F.col("level") == c, _block_columns("mixed", distance, c)).otherwise(blocks)
-        slim = slim.withColumn("block", F.explode(blocks)).drop("mixed")
+        spread = spread.withColumn("block", F.explode(blocks)).drop("mixed")
     else:
-        slim = slim.withColumns({"level": F.lit(0), "block": F.lit(0).cast("long")})
+        spread = spread.withColumns({"level": F.lit(0), "block": F.lit(0).cast("long")})
 
     def pairs(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, shared, block = (k.as_py() for k in key)
         got = list(batches)
         if sum(b.num_rows for b in got) < 2:
             return
-        find = _group_pairs if expand else _group_ties
-        for a, b in find(pa.Table.from_batches(got), distance, shared, block):
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["id_a", "id_b"])
+        yield from _class_pairs(pa.Table.from_batches(got), distance, shared, block)
+
+    kind = slim.schema["same"].dataType.simpleString()
+    found = spread.groupBy("grp", "level", "block").applyInArrow(pairs, f"id_a long, id_b long, many boolean, class_a {kind}, class_b {kind}")
+    return NearClasses(classes, found, sum(r["rows"] for r in seen))
 
-    return slim.groupBy("grp", "level", "block").applyInArrow(pairs, "id_a long, id_b long")
+
+def class_members(slim: DataFrame, near: NearClasses, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(first, id, same) of the rows of all classes of several rows."""
+    many = near.classes.filter("n > 1").select("grp", "hash", "first")
+    return follow(slim.select("grp", "hash", "id", "same"), many, ["grp", "hash"], near.rows, hot_rows=hot_rows).select("first", "id", "same")
+
+
+def near_pairs(
+    rows: DataFrame,
+    *,
+    group: str = "library",
+    id: str = "seq",  # noqa: A002 - column name parameter
+    hash: str = "dhash",  # noqa: A002
+    same: str | None = None,
+    distance: int = NEAR_BITS,
+    limit: int = GROUP_LIMIT,
+    sizes: DataFrame | None = None,
+    expand: bool = True,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Pairs (``id_a`` < ``id_b``) of rows of one group whose hashes are close.
+
+    rows: one row per id; they are read several times.  Rows with a null group, id
+    or hash are left out, rows of the same non-null ``same`` value are not paired
+    (they are copies).  Equal hashes count as close.  sizes: (group, n) upper bounds
+    of the group sizes, if known more cheaply than by counting ``rows``.  Without
+    ``expand`` copies are not multiplied out: ids with equal hashes are tied to the
+    smallest of them, which alone is paired with the smallest ids of the near hashes.
+    An empty table gives no pairs; other columns are not read.  hot_rows: see ``follow``.
+    """
+    slim = rows.select(
+        F.col(group).alias("grp"), F.col(id).cast("long").alias("id"), F.col(hash).cast("long").alias("hash"),
+        (F.col(same) if same else F.lit(None).cast("string")).alias("same"),
+    ).filter(F.col("grp").isNotNull() & F.col("id").isNotNull() & F.col("hash").isNotNull())
+    if not expand:
+        slim = slim.withColumn("same", F.lit(None).cast("string"))
+        near = near_classes(slim, distance=distance, limit=limit, sizes=sizes, group=group)
+        copies = class_members(slim, near, hot_rows).filter("id != first").select(F.col("first").alias("id_a"), F.col("id").alias("id_b"))
+        return near.pairs.select("id_a", "id_b").unionByName(copies)
+    scratch = Scratch(rows.sparkSession, "near")
+    near = near_classes(slim, distance=distance, limit=limit, sizes=sizes, group=group)
+    members, _ = scratch.cut(class_members(slim, near, hot_rows), "members")
+    pairs, _ = scratch.cut(near.pairs, "pairs")
+    differ = ~F.coalesce(F.col("same_a") == F.col("same_b"), F.lit(False))
+    a, b = members.toDF("id_a", "a", "same_a"), members.toDF("id_b", "b", "same_b")
+    spread = pairs.filter("many").join(a, "id_a", "left").join(b, "id_b", "left").select(
+        F.coalesce("a", "id_a").alias("a"), F.coalesce("b", "id_b").alias("b"),
+        F.coalesce("same_a", "class_a").alias("same_a"), F.coalesce("same_b", "class_b").alias("same_b"),
+    )
+    x, y = members.toDF("first", "a", "same_a"), members.toDF("first", "b", "same_b")
+    equal = x.join(y, "first").filter("a < b").select("a", "b", "same_a", "same_b")
+    multiplied = spread.unionByName(equal).filter(differ).select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+    return pairs.filter("NOT many").select("id_a", "id_b").unionByName(multiplied)
 
 
 def group_sizes(photos: DataFrame, group: str = "library") -> DataFrame:
@@ -336,11 +332,13 @@ def near_photos(photos: DataFrame, *, distance: int = NEAR_BITS, limit: int = GR
     usable ``sha256`` are the same file and make no pair; an unusable one equals
     nothing.  Every pair comes once.
     """
-    now = current_photos(
-        photos,
-        "library",
-        usable_hash("dhash").alias("dhash"),
-        sha_key("sha256").alias("file"),
-    )
+    now = _hashed_photos(photos)
     pairs = near_pairs(now, same="file", distance=distance, limit=limit, sizes=group_sizes(photos))
     return pairs.select(F.col("id_a").alias("seq_a"), F.col("id_b").alias("seq_b"))
+
+
+def _hashed_photos(photos: DataFrame) -> DataFrame:
+    """Current photos with a library and a usable hash (seq, library, dhash, file), as a written table."""
+    now = current_photos(photos, "library", usable_hash("dhash").alias("dhash"), sha_key("sha256").alias("file"))
+    now, _ = Scratch(photos.sparkSession, "hashed").cut(now.filter("library IS NOT NULL AND dhash IS NOT NULL"), "now")
+    return now

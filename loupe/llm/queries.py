@@ -32,6 +32,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_photos(table(spark, folder, "photos"))
 
 
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return groups.near_groups(table(spark, folder, "photos"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return clusters.alike_clusters(table(spark, folder, "photos")).select("cluster", "typical")
 
@@ -67,6 +71,7 @@ def queries() -> dict[str, Query]:
         "p2_survivors": p2_survivors,
         "p4_selection": p4_selection,
         "p5_found": p5_found,
+        "p5_groups": p5_groups,
         "p6_found": p6_found,
         "p6_kmeans": p6_kmeans,
         "p7_ids": p7_ids,
@@ -157,6 +162,15 @@ FROM now a JOIN now b ON a.library = b.library AND a.seq < b.seq
 WHERE bit_count(xor(a.dhash, b.dhash)) <= 8 AND (a.sha IS NULL OR b.sha IS NULL OR a.sha <> b.sha)
 """
 
+P5_GROUPS_SQL = f"""
+WITH RECURSIVE {NOW},
+near AS (
+  SELECT a.seq AS a, b.seq AS b FROM now a JOIN now b ON a.library = b.library AND a.seq <> b.seq
+  WHERE bit_count(xor(a.dhash, b.dhash)) <= 8 AND (a.sha IS NULL OR b.sha IS NULL OR a.sha <> b.sha)),
+reached(seq, other) AS (SELECT DISTINCT a, a FROM near UNION SELECT r.seq, n.b FROM reached r JOIN near n ON r.other = n.a),
+first AS (SELECT seq, min(seq) OVER (PARTITION BY library, dhash) AS representative FROM now WHERE library IS NOT NULL AND dhash IS NOT NULL)
+SELECT r.seq, any_value(f.representative) AS representative, min(r.other) AS component FROM reached r JOIN first f USING (seq) GROUP BY r.seq
+"""
 
 P6_SQL = f"""
 WITH RECURSIVE {NOW},
@@ -192,5 +206,6 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": P2_SQL,
         "p2_survivors": P2_SURVIVORS_SQL,
         "p5_found": P5_SQL,
+        "p5_groups": P5_GROUPS_SQL,
         "p6_found": P6_SQL,
     }

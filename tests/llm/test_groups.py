@@ -47,8 +47,24 @@ def test_hub_and_random_graphs(spark):
     assert solved(spark, pairs) == expected(pairs)
 
 
-@pytest.mark.parametrize("star_limit", [200_000, 20])
-def test_photo_groups_match_brute_force(spark, photos_of, star_limit):
+def test_a_star_of_half_a_million_leaves(spark):
+    """Hub, chain of hubs and a bridge, with keys followed by broadcast."""
+    leaves = spark.range(500_000).selectExpr("5L AS src", "id + 1000 AS dst")
+    more = spark.createDataFrame([(5, 3), (3, 7), (7, 600_000), (2_000_000, 2_000_001)], "src long, dst long")
+    got = groups.connected(leaves.unionByName(more), hot_rows=50_000)
+    assert sorted(tuple(r) for r in got.groupBy("component").count().collect()) == [(3, 500_003), (2_000_000, 2)]
+
+
+@pytest.mark.parametrize("hot_rows", [5, 1_000_000])
+def test_hot_ids_are_followed_alike(spark, hot_rows):
+    rng = random.Random(12)
+    pairs = [(rng.randint(1, 200), rng.randint(1, 200)) for _ in range(120)] + [(50, 300 + k) for k in range(60)] + [(k, 60) for k in range(400, 440)]
+    got = {r.id: r.component for r in groups.connected(links(spark, pairs), hot_rows=hot_rows).collect()}
+    assert got == expected(pairs)
+
+
+@pytest.mark.parametrize("hot_rows", [1_000_000, 5])
+def test_photo_groups_match_brute_force(spark, photos_of, hot_rows):
     rows = messy_photos(300, 11)
     rng = random.Random(2)
     kinds = ["exact", "VISUAL", "time", None, "rejected", "Exact"]
@@ -66,7 +82,7 @@ def test_photo_groups_match_brute_force(spark, photos_of, star_limit):
                 ):
                     pairs.append((x[0], y[0]))
     edges = spark.createDataFrame(recorded, "src long, dst long, kind string").selectExpr("*", "1 AS library", "2 AS seq")
-    ties = groups.photo_ties(photos_of(rows), edges, star_limit=star_limit)
+    ties = groups.photo_ties(photos_of(rows), edges, hot_rows=hot_rows)
     got = {r.id: r.component for r in groups.connected(ties, "u", "v").collect()}
     assert got == expected(pairs)
 
@@ -75,3 +91,20 @@ def test_empty_tables(spark, photos_of):
     edges = spark.createDataFrame([], "src long, dst long, kind string")
     assert groups.photo_groups(photos_of([]), edges).count() == 0
     assert groups.photo_groups(photos_of([photo(1, None, 7), photo(2, None, 7)]), edges).count() == 0
+
+
+def test_near_groups_match_brute_force(spark, photos_of):
+    rows = messy_photos(300, 21) + [photo(900 + k, "copies", 0xFF00, "%064x" % 7) for k in range(4)]
+    rows += [photo(950, "mixed", 5, "%064x" % 8), photo(951, "mixed", 5, "%064x" % 8), photo(952, "mixed", 5, None)]
+    now = [r for r in now_of(rows).values() if r[1] and r[9]]
+    pairs = [
+        (x[0], y[0]) for x in now for y in now
+        if x[0] < y[0] and x[1] == y[1] and distance(x[9], y[9]) <= 8 and not (usable_sha(x[10]) and usable_sha(x[10]) == usable_sha(y[10]))
+    ]
+    got = {r.seq: (r.component, r.representative) for r in groups.near_groups(photos_of(rows)).collect()}
+    assert {s: c for s, (c, _) in got.items()} == expected(pairs)
+    first = {}
+    for r in now:
+        first[r[1], r[9]] = min(r[0], first.get((r[1], r[9]), r[0]))
+    assert {s: f for s, (_, f) in got.items()} == {r[0]: first[r[1], r[9]] for r in now if r[0] in got}
+    assert groups.near_groups(photos_of([])).count() == 0

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from loupe.functions import bits
 from loupe.llm import near
 from tests.llm.conftest import distance, messy_photos, now_of, photo, usable_sha
 
@@ -75,19 +76,17 @@ def test_distance_is_checked(photos_of):
 def test_regrouping_keeps_distances_and_agrees_with_the_column(spark):
     rng = np.random.default_rng(5)
     h = rng.integers(0, 2**64, 300, dtype=np.uint64)
-    x = near.regrouped(h)
+    x = bits.regrouped(h)
     assert (np.bitwise_count(h[:, None] ^ h[None, :]) == np.bitwise_count(x[:, None] ^ x[None, :])).all()
-    ones = near.regrouped(np.uint64(1) << np.arange(64, dtype=np.uint64))
+    ones = bits.regrouped(np.uint64(1) << np.arange(64, dtype=np.uint64))
     assert len(set(ones.tolist())) == 64
     # each new byte has one bit of every old byte and of every place in a byte
     place = {int(v).bit_length() - 1: k for k, v in enumerate(ones.tolist())}
     for byte in range(8):
         old = [place[8 * byte + k] for k in range(8)]
         assert sorted(o // 8 for o in old) == list(range(8)) and sorted(o % 8 for o in old) == list(range(8))
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([(int(v),) for v in h.view(np.int64)], "h long")
-    got = [r.x for r in df.select(near._regrouped_column(F.col("h")).alias("x")).collect()]
+    got = [r.x for r in df.select(bits.regrouped_column("h").alias("x")).collect()]
     assert got == x.view(np.int64).tolist()
 
 
@@ -97,5 +96,17 @@ def test_hashes_with_cut_off_bits_do_not_meet_all(monkeypatch):
     met = []
     expand = near._expand
     monkeypatch.setattr(near, "_expand", lambda a, b: (met.append(int(b.sum())), expand(a, b))[1])
-    found = sum(len(i) for i, _ in near.hash_pairs(near.regrouped(h)))
+    found = sum(len(i) for i, _ in near.hash_pairs(bits.regrouped(h)))
     assert sum(met) < 0.1 * len(h) ** 2 / 2 and found < 100
+
+
+def test_half_a_million_copies_of_one_hash_are_one_row_of_the_index(spark):
+    """Equal hashes meet as one class; what ties them is followed by broadcast."""
+    photos = spark.range(500_000).selectExpr("id AS seq", "'hot' AS library", "1234567L AS dhash").unionByName(
+        spark.createDataFrame([(900_000, "hot", 1234566), (900_001, "hot", 1 << 40)], "seq long, library string, dhash long")
+    )
+    slim = photos.selectExpr("library AS grp", "seq AS id", "dhash AS hash", "cast(NULL AS string) AS same")
+    assert near.near_classes(slim).classes.count() == 3
+    ties = near.near_pairs(photos, expand=False, hot_rows=50_000)
+    assert sorted(r.id_a for r in ties.filter("id_b >= 500000").collect()) == [0]
+    assert ties.filter("id_a = 0").count() == 500_000
