@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loupe.operators.dedup import detect, provisional_groups
 from loupe.operators.progress import parse_line
-from loupe.operators.sessions import SessionTable
+from loupe.operators.sessions import Conflict, SessionTable
 from loupe.session import _path, ship_code
 
 
@@ -39,18 +40,36 @@ def each_batch(stream: DataFrame, state: str, do: Callable[[DataFrame, int], Non
     query.awaitTermination()
 
 
-def keep_sessions(stream: DataFrame, store: SessionTable, state: str) -> None:
+def stream_id(spark: SparkSession, state: str) -> str:
+    """Identity of the stream whose checkpoint lies in ``state``: another checkpoint is another stream."""
+    fs, at = _path(spark, f"{state}/metadata")
+    stream = fs.open(at)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["id"]
+    finally:
+        stream.close()
+
+
+def keep_sessions(stream: DataFrame, store: SessionTable, state: str, *, attempts: int = 5) -> None:
     """Merges each batch of rows (key, t, id) into the stored sessions.
 
-    A batch that was merged before a failure and is delivered again is skipped by
-    its number, which the store's folder holds beside the table.
+    The store's manifest holds the last batch taken of each stream and is published
+    with the batch's sessions, so a batch that is delivered again is left out, and
+    batches of other streams or of a new checkpoint are not.  Where another writer
+    publishes first, the batch is merged anew.
     """
     def merge(batch: DataFrame, number: int) -> None:
-        fs, mark = _path(store.spark, f"{store.root}/batches/{number}")
-        if fs.exists(mark):
-            return
-        store.merge(batch)
-        fs.mkdirs(mark)
+        batch.persist()
+        try:
+            for attempt in range(attempts):
+                try:
+                    store.merge(batch, source=(stream_id(store.spark, state), number))
+                    return
+                except Conflict:
+                    if attempt + 1 == attempts:
+                        raise
+        finally:
+            batch.unpersist()
 
     each_batch(stream, state, merge)
 

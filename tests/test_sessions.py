@@ -41,12 +41,12 @@ def test_local_sessions(spark):
     assert local_sessions(spark.createDataFrame([], ROW)).count() == 0
 
 
-@pytest.mark.parametrize("buckets", [1, 5])
-def test_batches_in_any_order_give_the_same_sessions(spark, buckets):
+@pytest.mark.parametrize("buckets,slice_days", [(1, 730), (5, 1)])
+def test_batches_in_any_order_give_the_same_sessions(spark, buckets, slice_days):
     rows = rows_of(2)
     rng = random.Random(8)
     rng.shuffle(rows)
-    store = SessionTable(spark, f"{Scratch(spark, 'test').root}/store", buckets=buckets)
+    store = SessionTable(spark, f"{Scratch(spark, 'test').root}/store", buckets=buckets, slice_days=slice_days)
     assert store.read().count() == 0
     at = 0
     for size in (100, 1, 0, 250, 1000):
@@ -80,3 +80,54 @@ def test_data_without_a_manifest_is_not_seen(spark):
     with pytest.raises(OSError):
         lost.merge(spark.createDataFrame([("a", 5, 2)], ROW))
     assert {tuple(r) for r in store.read().collect()} == {("a", 0, 0, 1, 1, 1)}
+
+
+@pytest.mark.parametrize("slice_days", [730, 1])
+def test_corrected_rows_replace_their_earlier_versions(spark, slice_days):
+    """Rows that move, lose their time or come anew, in batches, against sessions of what counts at the end."""
+    rng = random.Random(4)
+    store = SessionTable(spark, f"{Scratch(spark, 'test').root}/store", buckets=3, slice_days=slice_days)
+    held: dict[int, tuple] = {}
+    for step in range(4):
+        ids = rng.sample(range(400), 150) if step else range(300)
+        batch = {i: (rng.choice(["hot", "hot", "b", None]), rng.choice([None, *[rng.randint(0, 4 * 10**11)] * 4]), i) for i in ids}
+        frame = lambda rows: spark.createDataFrame(list(rows), ROW)
+        store.merge(
+            frame(batch.values()), replaced=frame(r for i, r in held.items() if i in batch), rest=frame(r for i, r in held.items() if i not in batch)
+        )
+        held |= batch
+        assert {tuple(r) for r in store.read().collect()} == brute(held.values())
+    store.merge(frame([]), replaced=frame(r for r in held.values() if r[0] == "hot"), rest=frame(r for r in held.values() if r[0] != "hot"))
+    assert {tuple(r) for r in store.read().collect()} == brute(r for r in held.values() if r[0] != "hot")
+
+
+def test_a_merge_leaves_units_alone_in_which_nothing_changed(spark):
+    day = 86_400 * 1_000_000
+    store = SessionTable(spark, f"{Scratch(spark, 'test').root}/store", buckets=2, slice_days=10)
+    store.merge(spark.createDataFrame([("a", k * day, k) for k in range(100)], ROW))
+    before = store._manifest()[1]["units"]
+    store.merge(spark.createDataFrame([("a", 55 * day + GAP, 500)], ROW))
+    after = store._manifest()[1]["units"]
+    assert len(before) == 10 and [u for u in after if after[u] != before.get(u)] == [u for u in before if u.endswith("_5")]
+    # the session at a slice's end goes on in the next: both units are read, the first holds it
+    store.merge(spark.createDataFrame([("a", 50 * day - GAP, 501), ("a", 49 * day + GAP, 502)], ROW))
+    assert store.read().filter("n = 2").count() == 3
+
+
+def test_replaced_data_are_removed_but_for_the_version_before(spark):
+    store = SessionTable(spark, f"{Scratch(spark, 'test').root}/store", buckets=1, keep=2)
+    for k in range(5):
+        store.merge(spark.createDataFrame([("a", k * 10 * GAP, k)], ROW))
+    assert store._versions() == [4, 5] and store.read().count() == 5
+    from loupe.session import _path
+
+    fs, at = _path(spark, f"{store.root}/data")
+    assert sorted(x.getPath().getName().split("-")[0] for x in fs.listStatus(at)) == ["4", "5"]
+
+
+def test_a_batch_with_a_source_is_taken_once(spark):
+    store = SessionTable(spark, f"{Scratch(spark, 'test').root}/store")
+    rows = spark.createDataFrame([("a", 0, 1)], ROW)
+    assert store.merge(rows, source=("s", 0)) == store.merge(rows, source=("s", 0)) == 1
+    assert store.merge(rows, source=("other", 0)) == 2 and store.read().first().n == 2
+    assert store.merge(spark.createDataFrame([], ROW), source=("s", 1)) == 3 and store.taken("s") == 1 and store.taken("new") == -1
