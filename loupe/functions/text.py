@@ -118,3 +118,47 @@ def first_match(text: Column | str, rules: list[tuple[str, tuple[str, ...]]], ot
             hit = hit | low.contains(p.lower())
         out = F.when(hit, F.lit(name)).otherwise(out)
     return out
+
+
+def wrapped(text: Column | str, most: Column | int) -> Column:
+    """Lines of a text: words are packed onto a line until the next would make it longer than ``most`` characters.
+
+    Words are what lies between blanks; one that is longer than a line has a line of
+    its own.  A text without words gives one line, the text itself.
+    """
+    t, most = _c(text), F.lit(most) if isinstance(most, int) else most
+    words = F.filter(F.split(t, " "), lambda w: w != "")
+
+    def add(state: Column, word: Column) -> Column:
+        lines, line = state["lines"], state["line"]
+        longer = F.concat(line, F.lit(" "), word)
+        fits = F.length(longer) <= most
+        return F.when(line.isNull(), F.struct(lines.alias("lines"), word.alias("line"))).otherwise(F.struct(
+            F.when(fits, lines).otherwise(F.concat(lines, F.array(line))).alias("lines"), F.when(fits, longer).otherwise(word).alias("line")
+        ))
+
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit(None).cast("string").alias("line"))
+    packed = F.aggregate(words, start, add, lambda s: F.concat(s["lines"], F.array(s["line"])))
+    return F.when(F.size(words) > 0, packed).otherwise(F.array(t))
+
+
+# Greatest and least size of a title in points, and the step between.
+TITLE_SIZE, LEAST_SIZE, SIZE_STEP = 72, 16, 2
+
+
+def fitted(text: Column | str, width: float, height: float, *, em: float = 0.5, leading: float = 1.2) -> Column:
+    """STRUCT(size, lines): the greatest size at which the wrapped text fits into the box.
+
+    em: width of a character and leading: height of a line, as parts of the size.
+    At the least size the text may run over.
+    """
+    def at(size: Column) -> Column:
+        most = F.floor(F.lit(width) / (size * em)).cast("int")
+        lines = wrapped(text, most)
+        longest = F.aggregate(lines, F.lit(0), lambda n, line: F.greatest(n, F.length(line)))
+        return F.struct(size.alias("size"), lines.alias("lines"), ((longest <= most) & (F.size(lines) * size * leading <= height)).alias("fits"))
+
+    sizes = F.transform(F.sequence(F.lit(TITLE_SIZE), F.lit(LEAST_SIZE), F.lit(-SIZE_STEP)), at)
+    # arrays are searched from the greatest size on; the least comes last and is taken anyway
+    found = F.element_at(F.filter(sizes, lambda s: s["fits"] | (s["size"] == LEAST_SIZE)), 1)
+    return F.struct(found["size"].alias("size"), found["lines"].alias("lines"))

@@ -55,20 +55,24 @@ def overall_fraction(sum_of_fractions: Column | str, n_chunks: Column | str) ->
     return F.least(F.lit(WORKED), PREPARED + (WORKED - PREPARED) / _c(n_chunks) * _c(sum_of_fractions))
 
 
-def with_eta(samples: DataFrame, total: int, *, by: str | None = None) -> DataFrame:
+def with_eta(samples: DataFrame, total: Column | int, *, by: str | None = None) -> DataFrame:
     """Adds ``eta_seconds`` to samples (t seconds, done, chunks_complete) with done never falling.
 
+    total: items in all, a number or a column.  Without ``by`` the samples are those of
+    one run, whose window is one task.
+
     The rate is that of the samples at most RATE_ITEMS items behind, from the
     earliest of them.  No estimate below LEAST_SHARE of the total or LEAST_CHUNKS
     chunks, without items or with 0.1 s or less between; else the remaining
     seconds, rounded up to ROUND_SECONDS.
     """
+    total = F.lit(total) if isinstance(total, int) else total
     back = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy("done").rangeBetween(-RATE_ITEMS, 0)
     start = F.min(F.struct(F.col("done").alias("d"), F.col("t").alias("s"))).over(back)
     with_start = samples.withColumn("__start", start)
     items, seconds = F.col("done") - F.col("__start.d"), F.col("t") - F.col("__start.s")
-    ready = (F.col("done") >= F.ceil(F.lit(total * LEAST_SHARE))) & (F.col("chunks_complete") >= LEAST_CHUNKS) & (items > 0) & (seconds > 0.1)
-    left = F.greatest(F.lit(0), F.lit(total) - F.col("done")) / (items / seconds)
+    ready = (F.col("done") >= F.ceil(total * LEAST_SHARE)) & (F.col("chunks_complete") >= LEAST_CHUNKS) & (items > 0) & (seconds > 0.1)
+    left = F.greatest(F.lit(0), total - F.col("done")) / (items / seconds)
     return with_start.withColumn("eta_seconds", F.when(ready, F.ceil(left / ROUND_SECONDS) * ROUND_SECONDS).cast("long")).drop("__start")
 
 

@@ -130,26 +130,25 @@ def k2(spark: SparkSession, folder: str) -> DataFrame:
     return resolve.move_targets(losers, tried, roots).select("seq", "target_dir")
 
 
-@query("K1_move_plan")
+#: The name that is free: its own for the first that wants it, else with the number of those before it.
+_FREE = "CASE WHEN k = 0 THEN name ELSE regexp_replace(name, '\\.[^.]*$', '') || '_' || k || regexp_extract(name, '(\\.[^.]*)$', 1) END"
+
+
+@query("K1_move_plan", f"""
+WITH {_LOSERS}, n AS (SELECT *, dir || CASE WHEN contains(path, '\\') THEN '\\' ELSE '/' END || 'PotentialDuplicates' AS target_dir,
+  regexp_extract(path, '([^/\\\\]*)$', 1) AS name FROM losers),
+k AS (SELECT *, row_number() OVER (PARTITION BY target_dir, upper(name) ORDER BY seq) - 1 AS k FROM n)
+SELECT seq, path, target_dir, {_FREE} AS target_name, 'planned' AS status FROM k""")
 def k1(spark: SparkSession, folder: str) -> DataFrame:
     return resolve.move_plan(_losers(spark, folder))
 
 
 @query("K3_collision_free_names", f"""
-WITH {_LOSERS}, n AS (SELECT seq, dir, regexp_extract(path, '([^/\\\\]*)$', 1) AS name FROM losers),
+WITH {_LOSERS}, n AS (SELECT seq, regexp_extract(path, '([^/\\\\]*)$', 1) AS name FROM losers),
 k AS (SELECT *, row_number() OVER (PARTITION BY upper(name) ORDER BY seq) - 1 AS k FROM n)
-SELECT seq, upper(name) AS wanted, k AS earlier FROM k""")
+SELECT seq, {_FREE} AS target_name FROM k""")
 def k3(spark: SparkSession, folder: str) -> DataFrame:
-    """All losers into one folder: how many earlier files have the name that each one wants."""
-    plan = _losers(spark, folder).withColumn("target_dir", F.lit("/pool/" + text.ASIDE))
-    named = resolve.collision_free(plan)
-    name = F.upper(text.file_name("path"))
-    earlier = F.row_number().over(Window.partitionBy(name).orderBy("seq")) - 1
-    return named.select("seq", name.alias("wanted"), earlier.cast("long").alias("earlier"))
-
-
-@query("K3_names")
-def k3_names(spark: SparkSession, folder: str) -> DataFrame:
+    """All losers into one folder; no name of the tables looks like one that is made."""
     plan = _losers(spark, folder).withColumn("target_dir", F.lit("/pool/" + text.ASIDE))
     return resolve.collision_free(plan).select("seq", "target_name")
 
@@ -266,3 +265,31 @@ SELECT event_id, TRY_CAST(trim(split_part(split_part(props, ':', 2), '}', 1)) AS
 def f_parse(spark: SparkSession, folder: str) -> DataFrame:
     value = F.trim(F.split_part(F.split_part("props", F.lit(":"), F.lit(2)), F.lit("}"), F.lit(1)))
     return table(spark, folder, "events").select("event_id", value.try_cast("long").alias("k"), F.col("event_type").try_cast("double").alias("nothing"))
+
+
+@query("F_wrapped_text", """
+WITH w AS (SELECT doc_id, text, list_filter(string_split(text, ' '), lambda x: x <> '') AS words FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN len(words) = 0 THEN text ELSE list_reduce(words, lambda acc, x:
+  CASE WHEN length(string_split(acc, chr(1))[-1]) + 1 + length(x) <= 40 THEN acc || ' ' || x ELSE acc || chr(1) || x END) END AS lines FROM w""")
+def f_wrapped(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts in lines of 40 characters; lines are set apart by a character no text has."""
+    texts = table(spark, folder, "documents").filter("text IS NOT NULL")
+    return texts.select("doc_id", F.array_join(text.wrapped("text", 40), "\x01").alias("lines"))
+
+
+_TITLE = "regexp_replace(regexp_extract(path, '([^/\\\\]*)$', 1), '[_.-]', ' ', 'g')"
+
+
+@query("F_fitted_title", f"""
+WITH {NOW}, w AS (SELECT seq, list_filter(string_split({_TITLE}, ' '), lambda x: x <> '') AS words FROM now WHERE path IS NOT NULL),
+s AS (SELECT seq, words, unnest(range(72, 15, -2)) AS size FROM w WHERE len(words) > 0),
+l AS (SELECT seq, size, floor(120 / (size * 0.5))::INT AS most, string_split(list_reduce(words, lambda acc, x:
+  CASE WHEN length(string_split(acc, chr(1))[-1]) + 1 + length(x) <= floor(120 / (size * 0.5)) THEN acc || ' ' || x ELSE acc || chr(1) || x END), chr(1)) AS lines FROM s)
+SELECT seq, max(size)::INT AS size, arg_max(array_to_string(lines, chr(1)), size) AS lines FROM l
+WHERE size = 16 OR (list_max(list_transform(lines, lambda x: length(x))) <= most AND len(lines) * size * 1.2 <= 100) GROUP BY seq""")
+def f_fitted(spark: SparkSession, folder: str) -> DataFrame:
+    """File names as titles in a box of 120 by 100."""
+    title = F.regexp_replace(text.file_name("path"), "[_.-]", " ")
+    titles = now(spark, folder, "path").filter("path IS NOT NULL").select("seq", title.alias("title")).filter(F.trim("title") != "")
+    fitted = titles.select("seq", text.fitted("title", 120, 100).alias("f"))
+    return fitted.select("seq", "f.size", F.array_join("f.lines", "\x01").alias("lines"))

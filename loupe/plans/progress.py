@@ -69,16 +69,20 @@ samples AS (SELECT event_type, event_id, epoch_us(ts) / 1000000 AS t, row_number
 
 
 @query("W12_rate_and_eta", f"""
-WITH {_SAMPLES}, w AS (SELECT *, min({{'d': done, 's': t}}) OVER (PARTITION BY event_type ORDER BY done RANGE BETWEEN 75 PRECEDING AND CURRENT ROW) AS b FROM samples)
-SELECT event_id, CASE WHEN done >= ceil(3000 * 0.05) AND done // 12 >= 2 AND done - b.d > 0 AND t - b.s > 0.1
-  THEN (ceil(greatest(0, 3000 - done) / ((done - b.d) / (t - b.s)) / 30) * 30)::BIGINT END AS eta_seconds FROM w""")
+WITH {_SAMPLES}, w AS (SELECT *, count(*) OVER (PARTITION BY event_type) AS total,
+  min({{'d': done, 's': t}}) OVER (PARTITION BY event_type ORDER BY done RANGE BETWEEN 75 PRECEDING AND CURRENT ROW) AS b FROM samples)
+SELECT event_id, CASE WHEN done >= ceil(total * 0.05) AND done // 12 >= 2 AND done - b.d > 0 AND t - b.s > 0.1
+  THEN (ceil(greatest(0, total - done) / ((done - b.d) / (t - b.s)) / 30) * 30)::BIGINT END AS eta_seconds FROM w""")
 def w12(spark: SparkSession, folder: str) -> DataFrame:
+    """Each kind of event as a run of its own, that ends with its last event."""
     from loupe.functions.keys import micros
 
     done = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    samples = table(spark, folder, "events").select("event_type", "event_id", (micros("ts") / 1_000_000).alias("t"), done.alias("done"))
-    samples = samples.withColumn("chunks_complete", F.floor(F.col("done") / 12))
-    return progress.with_eta(samples, 3000, by="event_type").select("event_id", "eta_seconds")
+    events = table(spark, folder, "events")
+    totals = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("total"))
+    samples = events.select("event_type", "event_id", (micros("ts") / 1_000_000).alias("t"), done.alias("done"))
+    samples = samples.join(totals, "event_type").withColumn("chunks_complete", F.floor(F.col("done") / 12))
+    return progress.with_eta(samples, F.col("total"), by="event_type").select("event_id", "eta_seconds")
 
 
 @query("W14_rolling_last", """

@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from loupe.plans import dedup, order, planning, progress, scan, sessions  # noqa: F401
+    from loupe.plans import collection, dedup, order, planning, progress, scan, sessions  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

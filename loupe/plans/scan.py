@@ -14,13 +14,6 @@ from loupe.sources.tables import table
 _EXT = "lower(regexp_extract(path, '(\\.[^./\\\\]+)$', 1))"
 
 
-@query("S1_listed_files", "SELECT 0::BIGINT AS opened, true AS all_there")
-def s1(spark: SparkSession, folder: str) -> DataFrame:
-    """The tables' own files, listed as a collection; none is opened."""
-    listed = files.list_files(spark, [folder, folder + "/nowhere", folder])
-    return listed.agg(F.count_if(F.col("file_size") < 0).alias("opened"), (F.count(F.lit(1)) >= 10).alias("all_there"))
-
-
 @query("S2_formats", f"""
 WITH {NOW} SELECT seq, CASE WHEN {_EXT} IN ('.jpg', '.jpeg') THEN 'Jpeg' WHEN {_EXT} = '.png' THEN 'Png' WHEN {_EXT} IN ('.heic', '.heif') THEN 'Heic' END AS format FROM now""")
 def s2(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,14 +14,18 @@ import tempfile
 import threading
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from pathlib import Path
+from typing import TypeVar
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 SHARED_DIR_KEY = "spark.checkpoint.dir"
 #: Shuffle files of a finished write go at once; else they stay until the driver collects its garbage.
 CLEAN_SHUFFLES_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -215,3 +219,39 @@ def follow(rows: DataFrame, found: DataFrame, on: str | list[str], n: int, *, ho
     known = found.join(F.broadcast(hot), keys)
     of_hot = rows.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(known), keys, how)
     return of_hot.unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(found, keys, how))
+
+
+class Cancelled(RuntimeError):
+    """The work was stopped from outside."""
+
+
+def cancellable(spark: SparkSession, work: Callable[[], T], stop: threading.Event, *, every: float = 0.2) -> T:
+    """Runs ``work``; once ``stop`` is set its Spark jobs are cancelled and the tables it made so far are deleted.
+
+    Jobs of other threads go on.  Returns what ``work`` returns, raises what it raises,
+    and ``Cancelled`` where it was stopped.
+    """
+    group = f"loupe-{uuid.uuid4().hex}"
+    before, outcome = set(_ROOTS), {}
+
+    def run() -> None:
+        spark.sparkContext.setJobGroup(group, "cancellable work", interruptOnCancel=True)
+        try:
+            outcome["value"] = work()
+        except BaseException as error:  # noqa: BLE001 - handed over to the caller
+            outcome["error"] = error
+
+    thread = InheritableThread(target=run)
+    thread.start()
+    while thread.is_alive():
+        thread.join(every)
+        if stop.is_set() and thread.is_alive():
+            spark.sparkContext.cancelJobGroup(group)  # again and again: the work may start further jobs
+    if stop.is_set() and "value" not in outcome:
+        for root in set(_ROOTS) - before:
+            _ROOTS.pop(root, None)
+            delete(spark, root)
+        raise Cancelled("stopped") from outcome.get("error")
+    if "error" in outcome:
+        raise outcome["error"]
+    return outcome["value"]

@@ -1,24 +1,52 @@
-"""Files of a collection: listing, header metadata, pixels and perceptual hashes.
+"""Files of a collection: listing, header metadata, content and perceptual hashes.
 
 Only JPEG and PNG are read here; HEIC files are listed, but without a decoder they
 have no dimensions and count as unsupported.
+
+Folders and files are opened by the tasks, through pyarrow's file systems (local
+and mounted folders, HDFS, object stores); nothing is listed or read on the driver.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
 import struct
 from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from loupe.functions.text import image_not_supported, set_aside, supported_format
-from loupe.session import _path, ship_code
+from loupe.session import Scratch, _path, ship_code
 
 LISTED = "path string, file_size long, modified timestamp, root_ordinal int"
+_ENTRY = "path string, is_folder boolean, file_size long, modified timestamp, root_ordinal int"
+#: Bytes read of a file for its header at first; doubled while the header goes on.
+HEADER_BYTES = 64 * 1024
+#: Bytes of a file held at once while its content is hashed.
+PIECE_BYTES = 1 << 20
+
+
+def _uri(root: str) -> str:
+    return root if "://" in root or root.startswith("file:") else f"file:{os.path.abspath(root)}"
+
+
+def opened(uri: str):
+    """(file system, path in it) of a URI or a local path."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    if "://" not in uri:
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(uri)
 
 
 def existing_roots(spark: SparkSession, roots: list[str]) -> list[tuple[int, str]]:
@@ -36,27 +64,81 @@ def existing_roots(spark: SparkSession, roots: list[str]) -> list[tuple[int, str
     return out
 
 
-def list_files(spark: SparkSession, roots: list[str], *, with_content: bool = False) -> DataFrame:
-    """Files below the roots: LISTED, and ``content`` on demand.
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What lies directly in each folder (path, root_ordinal); a folder that cannot be listed has nothing."""
+    from pyarrow import fs
 
-    Folders that do not exist are skipped, files below a set-aside folder left out,
-    and a path met below two roots counts for the first.  Without content no file
-    is opened.  Names that begin with a dot or an underscore are not listed.
+    for batch in batches:
+        for uri, ordinal in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            try:
+                system, at = opened(uri)
+                infos = system.get_file_info(fs.FileSelector(at))
+            except OSError:
+                continue
+            start = uri.rstrip("/")
+            rows = [(f"{start}/{i.base_name}", i.type == fs.FileType.Directory, i.size, i.mtime) for i in infos if i.type != fs.FileType.NotFound]
+            if rows:
+                paths, folders, sizes, times = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(paths), pa.array(folders), pa.array(sizes, pa.int64()), pa.array(times, pa.timestamp("us", "UTC")),
+                     pa.array([ordinal] * len(rows), pa.int32())],
+                    ["path", "is_folder", "file_size", "modified", "root_ordinal"],
+                )
+
+
+def list_files(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """Files below the roots: LISTED.
+
+    Folders that do not exist or cannot be listed are skipped, files below a set-aside
+    folder left out, and a path met below two roots counts for the first.  No file is
+    opened.  Names that begin with a dot or an underscore are listed like others.
+    Folders are listed level by level, each level by all tasks; links to folders that
+    lead back to one above end with the depth of the file system's paths.
     """
     ship_code(spark)
-    frames = []
-    for ordinal, root in existing_roots(spark, roots):
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        columns = ["path", F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"), F.lit(ordinal).alias("root_ordinal")]
-        frames.append(files.select(*columns, *(["content"] if with_content else [])))
-    if not frames:
-        return spark.createDataFrame([], LISTED + (", content binary" if with_content else ""))
-    whole = frames[0]
-    for frame in frames[1:]:
-        whole = whole.unionByName(frame)
+    scratch = Scratch(spark, "listing")
+    found = [(ordinal, _uri(root)) for ordinal, root in existing_roots(spark, roots)]
+    level = spark.createDataFrame([(root, ordinal) for ordinal, root in found], "path string, root_ordinal int")
+    files, depth = [], 0
+    n = len(found)
+    while n:
+        spread = level.repartition(min(n, spark.sparkContext.defaultParallelism * 4))
+        entries, seen = scratch.cut(spread.mapInArrow(_entries, _ENTRY), f"level-{depth}", folders=F.count_if("is_folder"))
+        files.append(entries.filter("NOT is_folder").select("path", "file_size", "modified", "root_ordinal"))
+        level, n, depth = entries.filter("is_folder").select("path", "root_ordinal"), seen["folders"], depth + 1
+    if not files:
+        return spark.createDataFrame([], LISTED)
+    whole = reduce(DataFrame.unionByName, files)
     return first_by_path(whole.filter(~set_aside("path")), "root_ordinal")
 
 
+def write_files(rows: DataFrame) -> DataFrame:
+    """Writes a file for each row of (path, content); returns what was written (path, file_size).
+
+    Files are written by the tasks, folders made as needed; one that exists is replaced,
+    so a task that runs again leaves the same files.
+    """
+    ship_code(rows.sparkSession)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: set[str] = set()
+        for batch in batches:
+            sizes = []
+            for uri, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system, at = opened(uri)
+                into = at.rsplit("/", 1)[0]
+                if into not in made:
+                    system.create_dir(into, recursive=True)
+                    made.add(into)
+                with system.open_output_stream(at, compression=None) as file:
+                    file.write(content)
+                sizes.append(len(content))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["path", "file_size"])
+
+    written = rows.select("path", "content").mapInArrow(write, "path string, file_size long")
+    return Scratch(rows.sparkSession, "written").cut(written, "files")[0]
+
+
 def first_by_path(files: DataFrame, *order: str) -> DataFrame:
     """One row per path, case aside: the first by ``order``, then path."""
     place = F.row_number().over(Window.partitionBy(F.upper("path")).orderBy(*order, "path"))
@@ -110,15 +192,22 @@ def _exif(data: bytes) -> dict[int, object]:
 
 def read_header(data: bytes | None) -> tuple[int | None, int | None, str | None, int]:
     """(width, height, time taken as text, orientation 1 to 8) of a JPEG or PNG; nulls where unknown."""
+    return _parsed(data)[:4]
+
+
+def _parsed(data: bytes | None) -> tuple[int | None, int | None, str | None, int, bool]:
+    """``read_header``, and whether the data end before the header does."""
     width = height = taken = None
     turn = 1
+    short = False
     if not data:
-        return None, None, None, 1
+        return None, None, None, 1, True
     try:
         if data[:8] == b"\x89PNG\r\n\x1a\n" and data[12:16] == b"IHDR":
+            short = len(data) < 24
             width, height = struct.unpack_from(">II", data, 16)
         elif data[:2] == b"\xff\xd8":
-            at = 2
+            at, short = 2, True
             while at + 4 <= len(data):
                 if data[at] != 0xFF:
                     at += 1
@@ -128,8 +217,11 @@ def read_header(data: bytes | None) -> tuple[int | None, int | None, str | None,
                     at += 1 if marker == 0xFF else 2
                     continue
                 if marker in (0xD9, 0xDA):
+                    short = False
                     break
                 size = struct.unpack_from(">H", data, at + 2)[0]
+                if at + 2 + size > len(data):
+                    break
                 if marker == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
                     tags = _exif(data[at + 10 : at + 2 + size])
                     taken = tags.get(_EXIF_TAKEN) or taken
@@ -138,34 +230,97 @@ def read_header(data: bytes | None) -> tuple[int | None, int | None, str | None,
                 elif marker in _FRAMES:
                     h, w = struct.unpack_from(">HH", data, at + 5)
                     width, height = width or w, height or h
+                    short = False
+                    if taken:
+                        break
                 at += 2 + size
     except (struct.error, IndexError):
         pass
-    return width or None, height or None, taken, turn if isinstance(turn, int) and 1 <= turn <= 8 else 1
+    return width or None, height or None, taken, turn if isinstance(turn, int) and 1 <= turn <= 8 else 1, short
 
 
 HEADER = StructType([StructField(c, StringType() if c == "taken" else IntegerType()) for c in ("width", "height", "taken", "turn")])
 
 
-@F.pandas_udf(HEADER)
-def header(content: pd.Series) -> pd.DataFrame:
-    rows = [read_header(bytes(c) if c is not None else None) for c in content]
+def _header_frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame({
         "width": pd.array([r[0] for r in rows], dtype="Int32"), "height": pd.array([r[1] for r in rows], dtype="Int32"),
         "taken": [r[2] for r in rows], "turn": pd.array([r[3] for r in rows], dtype="Int32"),
     })
 
 
+@F.pandas_udf(HEADER)
+def header(content: pd.Series) -> pd.DataFrame:
+    return _header_frame([read_header(bytes(c) if c is not None else None) for c in content])
+
+
+def file_header(uri: str) -> tuple[int | None, int | None, str | None, int]:
+    """``read_header`` of a file, of which no more is read than the header takes."""
+    try:
+        system, at = opened(uri)
+        with system.open_input_stream(at, compression=None) as file:
+            data, wanted = b"", HEADER_BYTES
+            while True:
+                more = file.read(wanted)
+                data += more
+                *found, short = _parsed(data)
+                if not short or len(more) < wanted:
+                    return tuple(found)
+                wanted = len(data)
+    except OSError:
+        return None, None, None, 1
+
+
+@F.pandas_udf(HEADER)
+def header_of(path: pd.Series) -> pd.DataFrame:
+    return _header_frame([file_header(p) for p in path])
+
+
+def _file_hash(uri: str) -> str | None:
+    digest = hashlib.sha256()
+    try:
+        system, at = opened(uri)
+        with system.open_input_stream(at, compression=None) as file:
+            while piece := file.read(PIECE_BYTES):
+                digest.update(piece)
+    except OSError:
+        return None
+    return digest.hexdigest().upper()
+
+
+@F.pandas_udf(StringType())
+def content_hash(path: pd.Series) -> pd.Series:
+    """SHA-256 of a file's bytes in upper-case hex, read piece by piece; null if it cannot be read."""
+    return pd.Series([_file_hash(p) for p in path], dtype=object)
+
+
+def _file_size(uri: str | None) -> int | None:
+    if uri is None:
+        return None
+    try:
+        system, at = opened(uri)
+        info = system.get_file_info(at)
+    except OSError:
+        return None
+    return info.size if info.is_file else None
+
+
+@F.pandas_udf(LongType())
+def content_size(path: pd.Series) -> pd.Series:
+    """Bytes of a file, null if it is not there; the file is not opened."""
+    return pd.Series([_file_size(p) for p in path], dtype="Int64")
+
+
 def with_metadata(files: DataFrame) -> DataFrame:
-    """Adds width, height and capture_time to files with content.
+    """Adds width, height, turn and capture_time to listed files, from their first bytes.
 
     capture_time is the time taken of the header, else the file's; a text that is
     no time counts as none.
     """
     taken = F.try_to_timestamp("__h.taken", F.lit("yyyy:MM:dd HH:mm:ss"))
     return (
-        files.withColumn("__h", header("content"))
-        .withColumn("width", F.col("__h.width")).withColumn("height", F.col("__h.height"))
+        files.withColumn("__h", header_of("path"))
+        .withColumn("width", F.col("__h.width")).withColumn("height", F.col("__h.height")).withColumn("turn", F.col("__h.turn"))
         .withColumn("capture_time", F.coalesce(taken, F.col("modified"))).drop("__h")
     )
 
@@ -173,16 +328,19 @@ def with_metadata(files: DataFrame) -> DataFrame:
 def scan(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, DataFrame]:
     """(photos, metrics) of the folders.
 
-    photos: path, file_size, format, width, height, capture_time.  metrics: one row
-    with n_photos and n_unsupported, which counts images of other formats and
-    supported files without readable dimensions.
+    photos: path, root_ordinal, file_size, format, width, height, turn, capture_time.
+    metrics: one row with n_photos and n_unsupported, which counts images of other
+    formats and supported files without readable dimensions; they are observed while
+    the photos are written, so every file is opened once.
     """
-    files = classify(list_files(spark, roots, with_content=True))
+    files = classify(list_files(spark, roots))
     known = with_metadata(files.filter(F.col("format").isNotNull() | F.col("unsupported_image")))
     usable = F.col("format").isNotNull() & F.col("width").isNotNull() & F.col("height").isNotNull()
-    photos = known.filter(usable).select("path", "file_size", "format", "width", "height", "capture_time")
-    metrics = known.agg(F.count_if(usable).alias("n_photos"), F.count_if(~usable).alias("n_unsupported"))
-    return photos, metrics
+    known, seen = Scratch(spark, "scan").cut(
+        known.withColumn("usable", usable), "photos", n_photos=F.count_if("usable"), n_unsupported=F.count_if(~F.col("usable"))
+    )
+    photos = known.filter("usable").select("path", "root_ordinal", "file_size", "format", "width", "height", "turn", "capture_time")
+    return photos, spark.createDataFrame([(seen["n_photos"], seen["n_unsupported"])], "n_photos long, n_unsupported long")
 
 
 # --- pixels ----------------------------------------------------------------------
@@ -222,36 +380,121 @@ def grid_hash(grid: np.ndarray) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def image_hash(data: bytes, height: int, width: int, channels: int, turn: int = 1) -> int:
-    """Perceptual hash of an image of Spark's image source (rows of BGR or gray bytes)."""
+def brightness(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
+    """Rows x columns of an image of Spark's image source (rows of gray, BGR or BGRA bytes)."""
     pixels = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels).astype(np.float64)
-    gray = pixels[:, :, 0] if channels == 1 else pixels[:, :, 2] * 0.2126 + pixels[:, :, 1] * 0.7152 + pixels[:, :, 0] * 0.0722
-    return grid_hash(shrink(oriented(gray, turn)))
+    return pixels[:, :, 0] if channels == 1 else pixels[:, :, 2] * 0.2126 + pixels[:, :, 1] * 0.7152 + pixels[:, :, 0] * 0.0722
+
+
+def image_hash(data: bytes, height: int, width: int, channels: int, turn: int = 1) -> int:
+    """Perceptual hash of an image of Spark's image source."""
+    return grid_hash(shrink(oriented(brightness(data, height, width, channels), turn)))
+
+
+def _decoded(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """origin, height, width, nChannels, data of the JPEG and PNG files below the roots; height below 1 where one cannot be decoded."""
+    found = [_uri(root) for _, root in existing_roots(spark, roots)]
+    return spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(found).select("image.*")
+
+
+def _listed_path(origin: str) -> str:
+    """The path of a listing for the escaped URI of the image source."""
+    path = unquote(origin)
+    return "file:/" + path[5:].lstrip("/") if path.startswith("file:") else path
+
 
+def _grids(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in frames:
+        wide, tall = [], []
+        for r in pdf.itertuples(index=False):
+            gray = brightness(r.data, r.height, r.width, r.nChannels) if r.height > 0 and r.width > 0 else None
+            wide.append(None if gray is None else shrink(gray).ravel())
+            tall.append(None if gray is None else shrink(gray, GRID_HEIGHT, GRID_WIDTH).ravel())
+        yield pd.DataFrame({"path": [_listed_path(o) for o in pdf["origin"]], "wide": wide, "tall": tall})
 
-def image_hashes(spark: SparkSession, roots: list[str]) -> DataFrame:
+
+@F.pandas_udf(LongType())
+def _turned_hash(wide: pd.Series, tall: pd.Series, turn: pd.Series) -> pd.Series:
+    out = []
+    for w, t, k in zip(wide, tall, turn):
+        k = 1 if pd.isna(k) else int(k)
+        grid = None if w is None else np.reshape(t, (GRID_WIDTH, GRID_HEIGHT)) if k >= 5 else np.reshape(w, (GRID_HEIGHT, GRID_WIDTH))
+        out.append(None if grid is None else grid_hash(oriented(grid, k)))
+    return pd.Series(out, dtype="Int64")
+
+
+def image_hashes(spark: SparkSession, roots: list[str], turns: DataFrame | None = None) -> DataFrame:
     """(path, dhash) of the JPEG and PNG files below the roots; null where one cannot be decoded.
 
-    Orientation comes from the file's header.  Files are decoded where they are
-    read; only the hashes leave the tasks.
+    turns: (path, turn), the orientation by the file's header; read here if not
+    given.  Files are decoded where they are read and shrunk to two small grids, as
+    they are and for pictures that lie on their side; only the grids leave the task
+    and meet the orientation.  The image source passes over names that begin with a
+    dot or an underscore, so these have no hash.
     """
-    found = existing_roots(spark, roots)
-    if not found:
+    ship_code(spark)
+    if not existing_roots(spark, roots):
         return spark.createDataFrame([], "path string, dhash long")
-    paths = [root for _, root in found]
-    images = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(paths).select("image.*")
-    turns = list_files(spark, paths, with_content=True).select("path", header("content").getField("turn").alias("turn"))
-    joined = images.withColumnRenamed("origin", "path").join(turns, "path", "left")
+    if turns is None:
+        turns = with_metadata(classify(list_files(spark, roots)).filter("format IS NOT NULL")).select("path", "turn")
+    images = _decoded(spark, roots).select("origin", "height", "width", "nChannels", "data")
+    grids = images.mapInPandas(_grids, "path string, wide array<double>, tall array<double>")
+    return grids.join(turns.select("path", "turn"), "path", "left").select("path", _turned_hash("wide", "tall", "turn").alias("dhash"))
+
+
+def resized(pixels: np.ndarray, most: int) -> np.ndarray:
+    """Rows x columns x channels with the longer side cut down to ``most``, by the mean of what each pixel covers; never enlarged."""
+    h, w = pixels.shape[:2]
+    if max(h, w) <= most:
+        return pixels
+    height, width = max(1, round(h * most / max(h, w))), max(1, round(w * most / max(h, w)))
+    return np.stack([shrink(pixels[:, :, c], width, height) for c in range(pixels.shape[2])], axis=2)
+
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+def bitmaps(spark: SparkSession, roots: list[str], most: int | None = None, turns: DataFrame | None = None) -> DataFrame:
+    """(path, width, height, rgba): decoded, upright pictures, at most ``most`` pixels along the longer side.
+
+    rgba holds four bytes a pixel, row by row, opaque where a picture has no alpha;
+    null with width and height where a file cannot be decoded.  Pictures are resized
+    where they are decoded, before they meet their orientation (turns, see
+    ``image_hashes``), so what is shuffled has the size asked for.
+    """
+    ship_code(spark)
+    schema = "path string, width int, height int, rgba binary"
+    if not existing_roots(spark, roots):
+        return spark.createDataFrame([], schema)
+    if turns is None:
+        turns = with_metadata(classify(list_files(spark, roots)).filter("format IS NOT NULL")).select("path", "turn")
+
+    def small(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.height < 1 or r.width < 1:
+                    out.append((_listed_path(r.origin), None, None, None))
+                    continue
+                x = np.frombuffer(r.data, dtype=np.uint8).reshape(r.height, r.width, r.nChannels).astype(np.float64)
+                colour = np.repeat(x, 3, axis=2) if r.nChannels == 1 else x[:, :, 2::-1]
+                alpha = x[:, :, 3:] if r.nChannels == 4 else np.full((*x.shape[:2], 1), 255.0)
+                x = np.concatenate([colour, alpha], axis=2)
+                x = np.rint(resized(x, most) if most else x).astype(np.uint8)
+                out.append((_listed_path(r.origin), x.shape[1], x.shape[0], x.tobytes()))
+            yield pd.DataFrame(out, columns=["path", "width", "height", "rgba"]).astype({"width": "Int32", "height": "Int32"})
+
+    def upright(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
             out = []
             for r in pdf.itertuples(index=False):
                 turn = 1 if pd.isna(r.turn) else int(r.turn)
-                out.append(image_hash(r.data, r.height, r.width, r.nChannels, turn) if r.height > 0 and r.width > 0 else None)
-            yield pd.DataFrame({"path": pdf["path"], "dhash": pd.array(out, dtype="Int64")})
+                if r.rgba is None or turn == 1:
+                    out.append((r.path, r.width, r.height, r.rgba))
+                    continue
+                x = oriented(np.frombuffer(r.rgba, dtype=np.uint8).reshape(int(r.height), int(r.width), 4), turn)
+                out.append((r.path, x.shape[1], x.shape[0], np.ascontiguousarray(x).tobytes()))
+            yield pd.DataFrame(out, columns=["path", "width", "height", "rgba"]).astype({"width": "Int32", "height": "Int32"})
 
-    return joined.select("path", "height", "width", "nChannels", "data", "turn").mapInPandas(hashed, "path string, dhash long")
+    found = _decoded(spark, roots).select("origin", "height", "width", "nChannels", "data").mapInPandas(small, schema)
+    return found.join(turns.select("path", "turn"), "path", "left").mapInPandas(upright, schema)
 
 
 def grid_hash_column(grid: str):

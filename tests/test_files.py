@@ -118,3 +118,72 @@ def test_ordering_dump_assets_and_durations(spark, tmp_path):
     assets = spark.createDataFrame([("Calm", "/p/calm.mp3"), (None, "/m/x.mp3")], "preset string, path string")
     got = {(r.preset, r.custom_path): r.asset for r in files.resolve_assets(choices, assets).collect()}
     assert got == {("Calm", None): "/p/calm.mp3", ("Custom", "/m/x.mp3"): "/m/x.mp3", ("Custom", "/none"): None, ("None", None): None}
+
+
+def test_hidden_names_and_closed_folders(spark, tmp_path):
+    for name in ("_x.jpg", ".y.png", "sub/_z/deep.jpg"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"1234")
+    got = {r.path.rsplit("/", 1)[1]: r.file_size for r in files.list_files(spark, [str(tmp_path), str(tmp_path / "sub")]).collect()}
+    assert got == {"_x.jpg": 4, ".y.png": 4, "deep.jpg": 4}
+    # a folder that cannot be listed has nothing, and stops nothing
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([str(tmp_path / "gone"), str(tmp_path)]), pa.array([0, 0], pa.int32())], ["path", "root_ordinal"])
+    assert sum(b.num_rows for b in files._entries(iter([batch]))) == 3
+
+
+def test_a_header_is_read_as_far_as_it_goes(tmp_path):
+    comment = b"\xff\xfe" + struct.pack(">H", 65000) + b"c" * 64998
+    whole = jpeg_header(taken="2019:05:06 07:08:09", turn=6)
+    long = whole[:2] + comment * 3 + whole[2:-2] + b"\xff\xda" + b"z" * 400_000
+    (tmp_path / "long.jpg").write_bytes(long)
+    assert files.file_header(str(tmp_path / "long.jpg")) == files.read_header(long) == (640, 480, "2019:05:06 07:08:09", 6)
+    assert files.file_header(str(tmp_path / "none.jpg")) == (None, None, None, 1)
+    (tmp_path / "cut.jpg").write_bytes(whole[:30])
+    assert files.file_header(str(tmp_path / "cut.jpg"))[:2] == (None, None)
+
+
+@pytest.mark.parametrize("turn", range(1, 9))
+def test_small_grids_turn_like_the_picture(turn):
+    x = np.random.default_rng(turn).integers(0, 255, (37, 53)).astype(float)
+    wide, tall = files.shrink(x), files.shrink(x, 8, 9)
+    grid = files.oriented(tall if turn >= 5 else wide, turn)
+    assert np.allclose(grid, files.shrink(files.oriented(x, turn)))
+
+
+def test_bitmaps(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    colour, gray = rng.integers(0, 255, (4, 6, 3)), rng.integers(0, 255, (40, 20))
+    (tmp_path / "a b.png").write_bytes(png(colour))
+    (tmp_path / "g.png").write_bytes(png(gray))
+    (tmp_path / "bad.png").write_bytes(b"x")
+    got = {r.path.rsplit("/", 1)[1]: r for r in files.bitmaps(spark, [str(tmp_path)], 10).collect()}
+    a = np.frombuffer(got["a b.png"].rgba, dtype=np.uint8).reshape(4, 6, 4)
+    assert (a[:, :, :3] == colour).all() and (a[:, :, 3] == 255).all()
+    assert (got["g.png"].width, got["g.png"].height, len(got["g.png"].rgba)) == (5, 10, 200) and got["bad.png"].rgba is None
+    turns = spark.createDataFrame([(r.path, 6) for r in got.values()], "path string, turn int")
+    turned = {r.path.rsplit("/", 1)[1]: r for r in files.bitmaps(spark, [str(tmp_path)], 10, turns).collect()}
+    assert (turned["a b.png"].width, turned["a b.png"].height) == (4, 6)
+    assert np.frombuffer(turned["a b.png"].rgba, dtype=np.uint8).reshape(6, 4, 4).tolist() == files.oriented(a, 6).tolist()
+
+
+def test_folders_to_groups(spark, tmp_path):
+    from loupe.operators import collection, dedup
+
+    base = np.tile(np.arange(0, 180, 20), (8, 1))
+    near, far = base.copy(), base[:, ::-1].copy()
+    near[0, 3] = 200
+    for name, x in (("a/1.png", base), ("a/2.png", base), ("b/near.png", near), ("b/far.png", far)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(png(x))
+    from pyspark.sql import functions as F
+
+    photos, metrics = collection.index_folders(spark, [str(tmp_path)], library=F.lit("all"))
+    # a picture without any falling step has the hash 0, which counts as unknown
+    by = {r.path.rsplit("/", 1)[1]: r for r in photos.collect()}
+    assert by["1.png"].sha == by["2.png"].sha and by["1.png"].dhash is None and by["far.png"].dhash == -1
+    assert {r.stage: r.rows for r in metrics.collect()}["scanned"] == 4
+    found = dedup.detect(photos)
+    assert {(r.group_id, r.classification, r.seq) for r in found.members.collect()} == {(1, "ExactOnly", 1), (1, "ExactOnly", 2)}
+    assert collection.index_folders(spark, [str(tmp_path / "none")]).photos.count() == 0

@@ -100,3 +100,63 @@ def test_executor_moves_and_reports(spark, tmp_path):
 def test_manifest_quotes(spark):
     df = spark.createDataFrame([(0, "/a/it's.mp4")], "chunk int, path string")
     assert resolve.manifest_lines(df).first().line == "file '/a/it'\\''s.mp4'"
+
+
+def test_moves_replace_nothing_and_come_again_unharmed(spark, tmp_path):
+    from loupe.operators.resolve import _moved
+
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "x.jpg").write_bytes(b"old")
+    (tmp_path / "x.jpg").write_bytes(b"new")
+    assert _moved(str(tmp_path / "x.jpg"), str(tmp_path / "p"), "x.jpg") == ("failed", "x.jpg exists")
+    assert _moved(str(tmp_path / "x.jpg"), str(tmp_path / "p"), "y.jpg") == ("moved", None)
+    assert _moved(str(tmp_path / "x.jpg"), str(tmp_path / "p"), "y.jpg") == ("moved", None)  # the task runs again
+    assert (tmp_path / "p" / "x.jpg").read_bytes() == b"old" and (tmp_path / "p" / "y.jpg").read_bytes() == b"new"
+
+
+def test_publishing_files(spark, tmp_path):
+    for name, size in (("a.part", 2000), ("b.part", 10)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    (tmp_path / "a").write_bytes(b"older")
+    parts = spark.createDataFrame([(f"{tmp_path}/{n}.part", f"{tmp_path}/{n}") for n in "abc"], "part string, final string")
+    got = {r.final[-1]: (r.status, r.reason) for r in resolve.publish(spark, parts).collect()}
+    assert got == {"a": ("published", None), "b": ("failed", "10 bytes only"), "c": ("failed", "no file was made")}
+    assert len((tmp_path / "a").read_bytes()) == 2000 and not (tmp_path / "a.part").exists() and (tmp_path / "b.part").exists()
+    assert resolve.publish(spark, parts.filter("final LIKE '%a'")).first().status == "published"  # the task runs again
+
+
+def test_work_is_stopped_and_cleared_away(spark):
+    import threading
+
+    from loupe.session import _ROOTS, Cancelled, Scratch, _path, cancellable
+
+    stop, roots = threading.Event(), []
+
+    def endless():
+        scratch = Scratch(spark, "stopped")
+        roots.append(scratch.root)
+        scratch.cut(spark.range(10), "before")
+        threading.Timer(1.0, stop.set).start()
+        return spark.range(10**13).selectExpr("sum(hash(id)) AS s").collect()
+
+    with pytest.raises(Cancelled):
+        cancellable(spark, endless, stop)
+    fs, at = _path(spark, roots[0])
+    assert not fs.exists(at) and roots[0] not in _ROOTS
+    assert cancellable(spark, lambda: spark.range(5).count(), threading.Event()) == 5
+    with pytest.raises(ZeroDivisionError):
+        cancellable(spark, lambda: 1 // 0, threading.Event())
+
+
+def test_wrapping_and_fitting(spark):
+    from loupe.functions import text
+
+    def lines(value, most):
+        return spark.createDataFrame([(value,)], "t string").select(text.wrapped("t", most).alias("l")).first().l
+
+    assert lines("aa bb  cc dddddddd e", 5) == ["aa bb", "cc", "dddddddd", "e"]
+    assert lines("", 5) == [""] and lines("  ", 5) == ["  "] and lines(None, 5) == [None]
+    df = spark.createDataFrame([("one two",), ("x" * 200,), ("a",)], "t string")
+    got = [tuple(r.f) for r in df.select(text.fitted("t", 100, 60).alias("f")).collect()]
+    # at 50 points a line holds four characters, but two lines are too high; at 28 all fit on one
+    assert got == [(28, ["one two"]), (16, ["x" * 200]), (50, ["a"])]
