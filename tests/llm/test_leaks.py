@@ -50,13 +50,26 @@ def test_words():
     assert leaks.words(None) == leaks.words("") == leaks.words("…—") == []
 
 
-@pytest.mark.parametrize("depth", [1, 2, 3, 5, 8, 13])
-def test_suffix_array_sorts_by_depth(depth):
+@pytest.mark.parametrize("depth", [1, 2, 3, 5, 8, 13, 400])
+def test_suffixes_sort_by_depth_and_know_common_prefixes(depth):
     text = np.random.default_rng(depth).integers(0, 4, 300)
-    order = leaks.suffix_array(text, depth)
-    keys = [tuple(text[i : i + depth]) for i in order]
-    padded = [k + (-1,) * (depth - len(k)) for k in keys]
-    assert sorted(order.tolist()) == list(range(300)) and padded == sorted(padded)
+    found = leaks.Suffixes(text, depth)
+    places = np.flatnonzero(text)
+    reach = 1 << (depth - 1).bit_length()  # ranks are by a power of two of symbols
+
+    def word(i):  # up to the next end
+        stop = np.flatnonzero(np.append(text[i:], 0) == 0)[0]
+        return tuple(text[i : i + min(stop, reach)])
+
+    order = found.order(places)
+    keys = [word(i) for i in order]
+    assert sorted(order.tolist()) == places.tolist() and keys == sorted(keys)
+    rng = np.random.default_rng(1)
+    a, b = rng.choice(places, 500), rng.choice(places, 500)
+    for x, y, got in zip(a, b, found.common(a, b)):
+        u, v = word(x), word(y)
+        want = next((k for k, (p, q) in enumerate(zip(u, v)) if p != q), min(len(u), len(v)))
+        assert got == want or (got > want and want == min(len(u), len(v)))  # only beyond an end
 
 
 @pytest.mark.parametrize("shard_words,item_words", [(1_000_000, 2_000_000), (50, 40)])
@@ -90,3 +103,25 @@ def test_very_long_document(spark):
     d, h = frames(spark, [(1, long), (1, long), (2, "x")], [(5, "b c d e f g h i j")])
     (r,) = leaks.leaked_passages(d, h, shard_words=1000).collect()
     assert (r.doc_id, r.item_id, r.words, r.doc_word) == (1, 5, 8, 60_001)
+
+
+def test_a_repeated_word_costs_no_more_than_its_places(spark):
+    """Occurrences times length would be 40,000 x 113 x 120 words."""
+    import time
+
+    items = leaks.Items.of([1, 2], [["a"] * 120, ["b", "a"] * 20], 8)
+    took = {}
+    for n in (10_000, 160_000):
+        text = np.array([items.symbol["a"]] * n + [0], dtype=np.int64)
+        began = time.perf_counter()
+        m = leaks._search(np.array([7]), np.array([0]), text, items)
+        took[n] = time.perf_counter() - began
+        assert [list(m[c]) for c in ("doc", "item", "length", "in_item", "in_doc")] == [[0], [0], [120], [0], [0]]
+    assert took[160_000] < 2
+
+
+def test_the_first_of_equal_matches_is_reported(spark):
+    run = "p q r s t u v w"
+    d, h = frames(spark, [(1, f"x {run} y {run} z {run} p")], [(1, f"k {run} l {run} p"), (2, "t u v")])
+    got = {r.item_id: (r.words, r.item_word, r.doc_word) for r in leaks.leaked_passages(d, h).collect()}
+    assert got == {1: (9, 10, 19), 2: (3, 0, 5)}
