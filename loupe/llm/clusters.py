@@ -106,7 +106,8 @@ DIMS = 64 + TIME_DIMS
 SEED_ROUNDS = 3
 #: Lloyd steps end when no centre of the library moves farther than TOLERANCE, at the latest after LLOYD_ROUNDS.
 TOLERANCE, LLOYD_ROUNDS = 1e-4, 100
-BLOCK_ROWS = 20_000
+#: Photos of one block at least; and for each centre, so that the centres sent to blocks are few beside the photos.
+BLOCK_ROWS, ROWS_PER_CENTRE = 20_000, 40
 _CENTRE = "library string, c int, n long, vec array<float>"
 _COST = "library string, cost double"
 _STATE = f"{_CENTRE}, moving boolean"
@@ -293,7 +294,8 @@ def kmeans_clusters(
     seq, so a run is repeated exactly.  Photos with a null library are left out;
     missing hash or time leave their features at zero.
 
-    A library is worked on in blocks of ``block_rows`` photos; what is gathered of
+    A library is worked on in blocks of ``block_rows`` photos, or of ``ROWS_PER_CENTRE``
+    for each of its clusters if that is more; what is gathered of
     it is candidates and sums, never photos.  A library of one block takes its Lloyd
     steps in one task, the others leave the rounds as they come to rest.
     """
@@ -303,7 +305,9 @@ def kmeans_clusters(
     now = now.filter(F.col("library").isNotNull()).select("seq", "library", "dhash", slot)
     sizes = now.groupBy("library").agg(F.count(F.lit(1)).alias("n"), F.min_by("seq", F.xxhash64("seq")).alias("start"))
     k = F.ceil(F.sqrt(F.col("n") / 2)) if k_of is None else k_of
-    sizes = sizes.withColumn("k", F.greatest(F.lit(1), k.cast("int"))).withColumn("blocks", F.ceil(F.col("n") / block_rows))
+    sizes = sizes.withColumn("k", F.greatest(F.lit(1), k.cast("int"))).withColumn(
+        "blocks", F.ceil(F.col("n") / F.greatest(F.lit(block_rows), ROWS_PER_CENTRE * F.col("k")))
+    )
     sizes, _ = scratch.cut(sizes, "sizes")
     points, _ = scratch.cut(
         now.join(sizes, "library").withColumn("block", F.pmod(F.xxhash64("seq"), "blocks")).withColumn("first", F.col("seq") == F.col("start")),

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loupe.llm import best, clusters, diverse, groups, leaks, near, split, tokenizer
+from loupe.operators.current import current_photos
 from loupe.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +30,18 @@ def p4_selection(spark: SparkSession, folder: str) -> DataFrame:
     return diverse.varied_subsets(table(spark, folder, "slideshows"), table(spark, folder, "photos"))
 
 
+def p4_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """What each selection holds: photos, different ones, greatest place, photos of the library asked for."""
+    chosen = p4_selection(spark, folder)
+    asked = table(spark, folder, "slideshows").select("slideshow_id", "library").distinct()
+    now = current_photos(table(spark, folder, "photos"), "library")
+    found = chosen.join(asked, "slideshow_id").join(now.withColumnRenamed("library", "of"), "seq")
+    return found.groupBy("slideshow_id").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("seq").alias("different"), F.max("place").alias("places"),
+        F.count_if(F.col("library") == F.col("of")).alias("own"),
+    )
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_photos(table(spark, folder, "photos"))
 
@@ -48,6 +62,11 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode_documents(table(spark, folder, "documents"))
 
 
+def p7_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts that the token ids stand for."""
+    return tokenizer.decode_column(p7_ids(spark, folder), "ids", keep=["doc_id"])
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "heldout"))
 
@@ -64,21 +83,32 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split.split_documents(table(spark, folder, "documents"))
 
 
+def p9_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts put together again from their pieces, and how many pieces or overlaps are over the limit."""
+    part = F.expr("substring(piece_text, cast(new - start + 1 AS int))")
+    pieces = p9_pieces(spark, folder).withColumn("part", part)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "part"))), lambda x: x["part"]), "")
+    return pieces.groupBy("doc_id").agg(whole.alias("text"), F.count_if(F.col("tokens") > split.LIMIT_TOKENS).alias("over"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
         "p2_found": p2_found,
         "p2_survivors": p2_survivors,
         "p4_selection": p4_selection,
+        "p4_sizes": p4_sizes,
         "p5_found": p5_found,
         "p5_groups": p5_groups,
         "p6_found": p6_found,
         "p6_kmeans": p6_kmeans,
         "p7_ids": p7_ids,
+        "p7_text": p7_text,
         "p8_found": p8_found,
         "p8_passages": p8_passages,
         "p8_clean": p8_clean,
         "p9_pieces": p9_pieces,
+        "p9_text": p9_text,
     }
 
 
@@ -200,8 +230,18 @@ FROM (SELECT DISTINCT cluster FROM member) m LEFT JOIN sums s USING (cluster) GR
 """
 
 
+P4_SIZES_SQL = f"""
+WITH {NOW}, c AS (SELECT library, count(*) AS c FROM now WHERE library IS NOT NULL GROUP BY library)
+SELECT slideshow_id, least(wanted, c) AS n, least(wanted, c) AS different, least(wanted, c) AS places, least(wanted, c) AS own
+FROM (SELECT DISTINCT slideshow_id, library, wanted FROM slideshows) JOIN c USING (library) WHERE wanted > 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_sizes": P4_SIZES_SQL,
+        "p7_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+        "p9_text": "SELECT doc_id, text, 0::BIGINT AS over FROM documents WHERE text <> ''",
         "p1_found": P1_SQL,
         "p2_found": P2_SQL,
         "p2_survivors": P2_SURVIVORS_SQL,

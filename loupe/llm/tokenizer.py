@@ -30,7 +30,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from loupe.session import ship_code
 
@@ -95,6 +95,7 @@ class ByteBPE:
             parts = [line.split() for line in lines if line.strip()]
         keys, values = [base64.b64decode(p[0]) for p in parts], [int(p[1]) for p in parts]
         self.whole = PerfectHash(keys, values)
+        self.bytes_of = dict(zip(values, keys))
         self.single = [self.whole.get(bytes([b])) for b in range(256)]
         if min(self.single) < 0:
             raise ValueError(f"{path}: not every byte is a token")
@@ -155,6 +156,9 @@ class ByteBPE:
             out += known.get(piece) or ids_of(piece)
         return out
 
+    def decode(self, ids: list[int]) -> str:
+        return b"".join(self.bytes_of[i] for i in ids).decode("utf-8", "replace")
+
     def count(self, text: str) -> int:
         return sum(map(len, map(self.ids_of, self.cut(text))))
 
@@ -195,6 +199,22 @@ def encode_column(rows: DataFrame, text: str = "text", *, keep: list[str], path:
     return slim.mapInArrow(encode, schema)
 
 
+def decode_column(rows: DataFrame, ids: str = "ids", *, keep: list[str], path: str | None = None, out: str = "text") -> DataFrame:
+    """The columns ``keep`` of ``rows`` and ``out``, the text that the token ids stand for; empty for an empty or null list."""
+    ship_code(rows.sparkSession)
+    path = path or vocabulary()
+    slim = rows.select(*(F.col(c) for c in keep), F.col(ids).alias("__ids"))
+    schema = StructType([*slim.drop("__ids").schema.fields, StructField(out, StringType())])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = byte_bpe(path)
+        for batch in batches:
+            texts = [bpe.decode(x or []) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*keep, out])
+
+    return slim.mapInArrow(decode, schema)
+
+
 def encode_documents(documents: DataFrame, *, path: str | None = None) -> DataFrame:
     """(``doc_id``, ``ids``) of every document's ``text`` by the 50k byte-level BPE."""
     return encode_column(documents, "text", keep=["doc_id"], path=path or vocabulary())

@@ -89,6 +89,32 @@ def test_kmeans_goes_on_until_centres_rest_and_blocks_do_not_matter(photos_of):
     assert _kmeans(df, block_rows=700) == whole
 
 
+def test_kmeans_finds_a_planted_mixture(spark, photos_of):
+    """Forty groups of like pictures in bursts: pairs put together or apart as planted, in 95 of 100 cases at least."""
+    rng, rows, truth = random.Random(8), [], {}
+    for g in range(40):
+        base, start = rng.getrandbits(64), g * 500_000
+        for _ in range(rng.randint(30, 80)):
+            seq, h = len(rows) + 1, base
+            for b in rng.sample(range(64), rng.randint(0, 5)):
+                h ^= 1 << b
+            truth[seq] = g
+            rows.append(photo(seq, dhash=h, t=start + rng.randint(0, 1500)))
+    from pyspark.sql import functions as F
+
+    found = clusters.kmeans_clusters(photos_of(rows), k_of=F.lit(40), block_rows=500).collect()
+    assert sum(r.n for r in found) == len(rows) and len(found) <= 40
+    x = clusters._features(*(np.array(v) for v in (
+        [r[9] & (1 << 64) - 1 for r in rows], [True] * len(rows), [int(r[8].timestamp()) // 1800 for r in rows], [True] * len(rows)
+    )))
+    typical = {g: [r.typical for r in found if truth[r.typical] == g] for g in range(40)}
+    # each group has a typical member of its own, and photos lie next to one of their group
+    centres = np.array([x[r.typical - 1] for r in found])
+    which, _ = clusters._nearest(x, centres)
+    right = np.mean([truth[found[w].typical] == truth[k + 1] for k, w in enumerate(which)])
+    assert right >= 0.95 and sum(bool(t) for t in typical.values()) >= 38
+
+
 def test_seeds_follow_the_cost_of_the_library():
     seq = np.arange(1, 1001)
     u = (seq * 104_729) % (1 << 20)
