@@ -209,16 +209,55 @@ def _far_moved(old: np.ndarray, new: np.ndarray) -> bool:
     return bool((((old - new) ** 2).sum(axis=1) > TOLERANCE**2).any())
 
 
+def _two_nearest(x: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the nearest centre, the distance to it and to the second nearest, in slices."""
+    which, near, second = np.empty(len(x), dtype=np.int64), np.empty(len(x)), np.empty(len(x))
+    norm, step = (m * m).sum(axis=1), max(1, (1 << 22) // max(1, len(m)))
+    for s in range(0, len(x), step):
+        part = x[s : s + step]
+        d = norm[None, :] - 2 * (part @ m.T)
+        at, rows = d.argmin(axis=1), np.arange(len(part))
+        own = (part * part).sum(axis=1)
+        which[s : s + step], near[s : s + step] = at, d[rows, at] + own
+        d[rows, at] = np.inf
+        second[s : s + step] = d.min(axis=1) + own
+    return which, np.sqrt(np.maximum(near, 0)), np.sqrt(np.maximum(second, 0))
+
+
+#: Slack of the bounds, for the rounding of 32-bit distances.
+_SLACK = 1e-3
+
+
 def _lloyd_block(points: pa.Table, centres: pa.Table, rounds: int) -> pa.Table:
-    """All Lloyd steps of a library that is one block."""
+    """All Lloyd steps of a library that is one block.
+
+    Bounds on the distance to the own and to any other centre (Hamerly, SDM 2010) tell
+    which photos cannot have changed their centre; only the others are compared anew,
+    so late steps, in which little moves, compare little.
+    """
     centres = centres.sort_by("c")
     x, m, c = _table_features(points), _matrix(centres), centres.column("c").to_numpy()
     count = np.ones(len(m))
+    which = near = second = None
     for _ in range(rounds):
-        used, count, sums = _sums(x, m)
-        moved = (sums / count[:, None]).astype(np.float32)
+        if which is None:
+            which, near, second = _two_nearest(x, m)
+        else:
+            open_ = np.flatnonzero(near + _SLACK >= second)
+            if len(open_):
+                which[open_], near[open_], second[open_] = _two_nearest(x[open_], m)
+        count = np.bincount(which, minlength=len(m))
+        used = np.flatnonzero(count)
+        order = np.argsort(which, kind="stable")
+        starts = np.cumsum(count[used]) - count[used]
+        moved = (np.add.reduceat(x[order], starts, axis=0, dtype=np.float64) / count[used][:, None]).astype(np.float32)
         going = _far_moved(m[used], moved)
-        m, c = moved, c[used]
+        far = np.sqrt(((moved - m[used]) ** 2).sum(axis=1))
+        fresh = np.zeros(len(m), dtype=np.int64)
+        fresh[used] = np.arange(len(used))
+        which = fresh[which]
+        near, second = near + far[which], second - far.max(initial=0)
+        m, c, count = moved, c[used], count[used]
         if not going:
             break
     return _rows_of(points.column("library")[0].as_py(), c, count, m)
@@ -240,6 +279,19 @@ def _typical_block(points: pa.Table, centres: pa.Table) -> pa.Table:
     })
 
 
+_MEMBER = "library string, c int, seq long"
+
+
+def _member_block(points: pa.Table, centres: pa.Table) -> pa.Table:
+    """Centre of each photo of a block."""
+    which, _ = _nearest(_table_features(points), _matrix(centres))
+    return pa.table({"library": points.column("library"), "c": centres.column("c").take(pa.array(which)), "seq": points.column("seq")})
+
+
+def _no_member() -> pa.Table:
+    return pa.table({"library": pa.array([], pa.string()), "c": pa.array([], pa.int32()), "seq": pa.array([], pa.int64())})
+
+
 def _no_typical() -> pa.Table:
     kinds = {"library": pa.string(), "c": pa.int32(), "n": pa.int64(), "far": pa.float64(), "seq": pa.int64()}
     return pa.table({c: pa.array([], t) for c, t in kinds.items()})
@@ -280,9 +332,9 @@ def _step(sums: pa.Table, centres: pa.Table) -> pa.Table:
 
 def kmeans_clusters(
     photos: DataFrame, *, gap_us: int = GAP_US, seed_rounds: int = SEED_ROUNDS, lloyd_rounds: int = LLOYD_ROUNDS,
-    block_rows: int = BLOCK_ROWS, k_of: Column | None = None,
+    block_rows: int = BLOCK_ROWS, k_of: Column | None = None, members: bool = False,
 ) -> DataFrame:
-    """(``library``, ``c``, ``n``, ``typical``): k-means clusters of each library.
+    """(``library``, ``c``, ``n``, ``typical``): k-means clusters of each library; with ``members`` (``library``, ``c``, ``seq``).
 
     k_of: clusters of a library as a function of its size ``n``; the root of half
     of it if not given.  Seeds come from parallel oversampling: in each round a
@@ -322,7 +374,7 @@ def kmeans_clusters(
             "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
         )
         u = F.shiftrightunsigned(F.xxhash64("seq", F.lit(salt)), 20)
-        empty = {_CENTRE: lambda: _rows_of(None, [], [], np.zeros((0, DIMS))), _COST: _no_cost}.get(schema, _no_typical)()
+        empty = {_CENTRE: lambda: _rows_of(None, [], [], np.zeros((0, DIMS))), _COST: _no_cost, _MEMBER: _no_member}.get(schema, _no_typical)()
 
         def of(p: pa.Table, c: pa.Table) -> pa.Table:  # a block may have got no photo
             return function(p, c) if p.num_rows and c.num_rows else empty
@@ -361,6 +413,8 @@ def kmeans_clusters(
         moving = stepped.filter("moving").drop("moving")
         scratch.drop(*({f"moving-{r - 1}"} - kept))
     centres = rested.unionByName(moving)
+    if members:
+        return over_blocks(_member_block, centres, _MEMBER)
     found = over_blocks(_typical_block, centres, "library string, c int, n long, far double, seq long")
     return found.groupBy("library", "c").agg(
         F.sum("n").alias("n"), F.min_by("seq", F.struct("far", "seq")).alias("typical")

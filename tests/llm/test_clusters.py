@@ -104,15 +104,11 @@ def test_kmeans_finds_a_planted_mixture(spark, photos_of):
 
     found = clusters.kmeans_clusters(photos_of(rows), k_of=F.lit(40), block_rows=500).collect()
     assert sum(r.n for r in found) == len(rows) and len(found) <= 40
-    x = clusters._features(*(np.array(v) for v in (
-        [r[9] & (1 << 64) - 1 for r in rows], [True] * len(rows), [int(r[8].timestamp()) // 1800 for r in rows], [True] * len(rows)
-    )))
-    typical = {g: [r.typical for r in found if truth[r.typical] == g] for g in range(40)}
-    # each group has a typical member of its own, and photos lie next to one of their group
-    centres = np.array([x[r.typical - 1] for r in found])
-    which, _ = clusters._nearest(x, centres)
-    right = np.mean([truth[found[w].typical] == truth[k + 1] for k, w in enumerate(which)])
-    assert right >= 0.95 and sum(bool(t) for t in typical.values()) >= 38
+    cells = {}
+    for r in clusters.kmeans_clusters(photos_of(rows), k_of=F.lit(40), block_rows=500, members=True).collect():
+        cells.setdefault(r.c, []).append(r.seq)
+    assert sorted(map(len, cells.values())) == sorted(r.n for r in found)
+    assert sum(max(np.bincount([truth[s] for s in c])) for c in cells.values()) >= 0.95 * len(rows)
 
 
 def test_seeds_follow_the_cost_of_the_library():
