@@ -29,10 +29,10 @@ def size_collisions(photos: DataFrame, *, group: str = "library") -> DataFrame:
     return found.unionByName(photos.filter(~known).withColumn("collides", F.lit(False)))
 
 
-def keep_order() -> list[Column]:
-    """Best photo first: area, size, capture, shortest and smallest path, seq."""
+def keep_order(size: Column | None = None) -> list[Column]:
+    """Best photo first: area (``size``, if it is known already), file size, capture, shortest and smallest path, seq."""
     return [
-        area("width", "height").desc(), F.col("file_size").desc_nulls_last(), F.col("capture_time").asc_nulls_last(),
+        (area("width", "height") if size is None else size).desc(), F.col("file_size").desc_nulls_last(), F.col("capture_time").asc_nulls_last(),
         F.length("path").asc_nulls_last(), F.upper("path").asc_nulls_last(), F.col("seq").asc(),
     ]
 

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loupe.functions import text
+from loupe.operators.positions import with_position
 from loupe.plans.common import NOW, now
 from loupe.plans.registry import query
+from loupe.session import Scratch
 from loupe.sources import files
 from loupe.sources.tables import table
 
@@ -62,13 +64,17 @@ def s9(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("S10_assets", f"""
-WITH {NOW}, a AS (SELECT library AS preset, min(path) AS path FROM now WHERE library IS NOT NULL AND path IS NOT NULL GROUP BY 1)
-SELECT s.slideshow_id, a.path AS asset FROM slideshows s LEFT JOIN a ON a.preset = s.library""")
+WITH {NOW}, a AS (SELECT library AS preset, min(path) AS path FROM now WHERE library IS NOT NULL AND path IS NOT NULL GROUP BY 1),
+c AS (SELECT *, slideshow_id % 3 AS k, CASE slideshow_id % 3 WHEN 1 THEN (SELECT min(path) FROM a) WHEN 2 THEN '/not/listed' END AS custom_path FROM slideshows)
+SELECT c.slideshow_id, CASE k WHEN 0 THEN a.path WHEN 1 THEN custom_path END AS asset FROM c LEFT JOIN a ON a.preset = c.library""")
 def s10(spark: SparkSession, folder: str) -> DataFrame:
-    """A library stands for a preset, its first path for the preset's file."""
+    """A library stands for a preset, its first path for the preset's file; a third of the choices have a path of their own, a third one that is not listed."""
     photos = now(spark, folder, "library", "path").filter("library IS NOT NULL AND path IS NOT NULL")
     assets = photos.groupBy(F.col("library").alias("preset")).agg(F.min("path").alias("path"))
-    choices = table(spark, folder, "slideshows").select("slideshow_id", F.col("library").alias("preset"), F.lit(None).cast("string").alias("custom_path"))
+    shows, kind = table(spark, folder, "slideshows"), F.col("slideshow_id") % 3
+    shows = shows.crossJoin(F.broadcast(assets.agg(F.min("path").alias("first"))))  # one row
+    path = F.when(kind == 1, F.col("first")).when(kind == 2, F.lit("/not/listed"))
+    choices = shows.select("slideshow_id", F.when(kind == 0, F.col("library")).otherwise("Custom").alias("preset"), path.alias("custom_path"))
     return files.resolve_assets(choices, assets).select("slideshow_id", "asset")
 
 
@@ -82,7 +88,6 @@ def s11(spark: SparkSession, folder: str) -> DataFrame:
 @query("S12_progress_lines", "SELECT event_type AS line, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY 1")
 def s12(spark: SparkSession, folder: str) -> DataFrame:
     """Lines read as a stream: the event types, written as text and streamed back until all are read."""
-    from loupe.session import Scratch
     from loupe.streaming.progress import read_lines, run_to_end
 
     scratch = Scratch(spark, "lines")
@@ -99,3 +104,17 @@ SELECT vec_id, (CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073
 def f_grid(spark: SparkSession, folder: str) -> DataFrame:
     grid = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.col("embedding")[i % 64])
     return table(spark, folder, "embeddings").withColumn("grid", grid).select("vec_id", files.grid_hash_column("grid").alias("dhash"))
+
+
+@query("S13_ordering_dump", f"""
+WITH {NOW} SELECT row_number() OVER (ORDER BY seq) AS slot, rtrim(regexp_extract(path, '([^/\\\\]*)$', 1)) AS name, dhash, strftime(capture_time, '%Y-%m-%d %H:%M') AS taken
+FROM now WHERE path IS NOT NULL AND dhash IS NOT NULL AND capture_time IS NOT NULL""")
+def s13(spark: SparkSession, folder: str) -> DataFrame:
+    """The photos written as a listing of slots, names, hashes and minutes, and read again."""
+    photos = now(spark, folder, "path", "dhash", "capture_time").filter("path IS NOT NULL AND dhash IS NOT NULL AND capture_time IS NOT NULL")
+    minute = F.date_format("capture_time", "yyyy-MM-dd HH:mm")
+    line = F.format_string("[%04d] %-50s | %s | %s", F.col("slot"), text.file_name("path"), text.hex16("dhash"), minute)
+    scratch = Scratch(spark, "dump")
+    with_position(photos, ["seq"], "slot").select(line).write.text(f"{scratch.root}/dump")
+    read = files.read_ordering(spark, f"{scratch.root}/dump")
+    return read.select(F.col("slot").cast("long").alias("slot"), "name", "dhash", F.date_format("capture_time", "yyyy-MM-dd HH:mm").alias("taken"))
