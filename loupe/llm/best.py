@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loupe.functions.keys import area, micros
 from loupe.operators.current import current_photos
+from loupe.operators.dedup import keep_order
 
 
 def _members(members: DataFrame) -> DataFrame:
@@ -26,31 +27,19 @@ def _photos_of(members: DataFrame, photos: DataFrame, *values: Column | str) ->
     return current_photos(photos.join(wanted, "seq", "left_semi"), *values)
 
 
-def quality_order() -> list[Column]:
-    """Greatest area, greatest file, earliest capture, shortest and smallest path, smallest seq."""
-    return [
-        F.col("area").desc(),
-        F.col("file_size").desc_nulls_last(),
-        F.col("capture_time").asc_nulls_last(),
-        F.length("path").asc_nulls_last(),
-        F.upper("path").asc_nulls_last(),
-        F.col("seq").asc(),
-    ]
-
-
 def best_members(members: DataFrame, photos: DataFrame) -> DataFrame:
     """(``group_id``, ``seq``): the photo to keep of each group.
 
     Only members that are photos count, each once, by the current row of the
     photo; groups with fewer than two of them get no row.  A missing or
     non-positive side makes the area 0; missing values rank last; the rest of
-    ``quality_order`` breaks ties, so that the result never depends on the order
+    ``keep_order`` breaks ties, so that the result never depends on the order
     or partitioning of the rows.  Empty tables give no rows; stored flags, paths
     and other columns are not read.
     """
     members = _members(members)
     now = _photos_of(members, photos, area("width", "height").alias("area"), "file_size", "capture_time", "path")
-    place = F.row_number().over(Window.partitionBy("group_id").orderBy(*quality_order()))
+    place = F.row_number().over(Window.partitionBy("group_id").orderBy(*keep_order(F.col("area"))))
     first_two = members.join(now, "seq").withColumn("place", place).filter("place <= 2")
     return (
         first_two.groupBy("group_id")

@@ -107,7 +107,7 @@ SEED_ROUNDS = 3
 #: Lloyd steps end when no centre of the library moves farther than TOLERANCE, at the latest after LLOYD_ROUNDS.
 TOLERANCE, LLOYD_ROUNDS = 1e-4, 100
 #: Photos of one block at least; and for each centre, so that the centres sent to blocks are few beside the photos.
-BLOCK_ROWS, ROWS_PER_CENTRE = 20_000, 40
+BLOCK_ROWS, ROWS_PER_CENTRE = 100_000, 40
 _CENTRE = "library string, c int, n long, vec array<float>"
 _COST = "library string, cost double"
 _STATE = f"{_CENTRE}, moving boolean"
@@ -279,7 +279,7 @@ def _typical_block(points: pa.Table, centres: pa.Table) -> pa.Table:
     })
 
 
-_MEMBER = "library string, c int, seq long"
+_MEMBER, _TYPICAL = "library string, c int, seq long", "library string, c int, n long, far double, seq long"
 
 
 def _member_block(points: pa.Table, centres: pa.Table) -> pa.Table:
@@ -330,6 +330,21 @@ def _step(sums: pa.Table, centres: pa.Table) -> pa.Table:
     return new.append_column("moving", pa.array([_far_moved(_matrix(centres)[at], _matrix(new))] * len(new)))
 
 
+def _alone(points: pa.Table, seed_rounds: int, lloyd_rounds: int, finish) -> pa.Table:
+    """All steps of a library that is one block: the same rounds, with nothing between them to send."""
+    candidates = _rows_of(points.column("library")[0].as_py(), [0], [1], _table_features(points.filter(points.column("first"))))
+    for r in range(1, seed_rounds + 1):
+        drawn = points.append_column("u", points.column(f"u{r}"))
+        unknown = candidates.append_column("cost", pa.nulls(len(candidates), pa.float64()))
+        candidates = pa.concat_tables([candidates, _seed_block(drawn, unknown, 2.0)])
+    m = _matrix(candidates)
+    m = m[np.lexsort(m.T[::-1])]
+    used, count, _ = _sums(_table_features(points), m)
+    k = points.column("k")[0].as_py()
+    weighed = _rows_of(None, used, count, m[used]).append_column("k", pa.array([k] * len(used)))
+    return finish(points, _lloyd_block(points, _reduce_seeds(weighed), lloyd_rounds))
+
+
 def kmeans_clusters(
     photos: DataFrame, *, gap_us: int = GAP_US, seed_rounds: int = SEED_ROUNDS, lloyd_rounds: int = LLOYD_ROUNDS,
     block_rows: int = BLOCK_ROWS, k_of: Column | None = None, members: bool = False,
@@ -348,8 +363,8 @@ def kmeans_clusters(
 
     A library is worked on in blocks of ``block_rows`` photos, or of ``ROWS_PER_CENTRE``
     for each of its clusters if that is more; what is gathered of
-    it is candidates and sums, never photos.  A library of one block takes its Lloyd
-    steps in one task, the others leave the rounds as they come to rest.
+    it is candidates and sums, never photos.  A library of one block takes all its
+    steps in one task, the others leave the Lloyd rounds as they come to rest.
     """
     scratch = Scratch(photos.sparkSession, "kmeans")
     now = current_photos(photos, "library", usable_hash("dhash").alias("dhash"), micros("capture_time").alias("t"))
@@ -367,20 +382,43 @@ def kmeans_clusters(
     )
 
     large = sizes.filter("blocks > 1").select("library")
+    kind = _MEMBER if members else _TYPICAL
+
+    def chance(r: int) -> Column:
+        return F.shiftrightunsigned(F.xxhash64("seq", F.lit(r)), 20)
+
+    def alone(p: pa.Table) -> pa.Table:
+        return _alone(p, seed_rounds, lloyd_rounds, _member_block if members else _typical_block)
+
+    chances = (chance(r).alias(f"u{r}") for r in range(1, seed_rounds + 1))
+    small = points.filter("blocks = 1").select("library", "seq", "dhash", "slot", "k", "first", *chances).groupBy("library").applyInArrow(alone, kind)
+    points = points.filter("blocks > 1")
+    if large.isEmpty():
+        found = small
+    else:
+        found = small.unionByName(_in_blocks(scratch, points, sizes.filter("blocks > 1"), seed_rounds, lloyd_rounds, chance, members))
+    if members:
+        return found
+    return found.groupBy("library", "c").agg(
+        F.sum("n").alias("n"), F.min_by("seq", F.struct("far", "seq")).alias("typical")
+    )
+
+
+def _in_blocks(scratch: Scratch, points: DataFrame, sizes: DataFrame, seed_rounds: int, lloyd_rounds: int, chance, members: bool) -> DataFrame:
+    """Typical members by block, or all members, of libraries of several blocks."""
 
-    def over_blocks(function, centres: DataFrame, schema: str, salt: int = 0, everywhere: bool = True) -> DataFrame:
+    def over_blocks(function, centres: DataFrame, schema: str, salt: int = 0) -> DataFrame:
         """``function`` of every block of points and its library's centres."""
         spread = centres.join(sizes.select("library", "blocks"), "library").withColumn(
             "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
         )
-        u = F.shiftrightunsigned(F.xxhash64("seq", F.lit(salt)), 20)
-        empty = {_CENTRE: lambda: _rows_of(None, [], [], np.zeros((0, DIMS))), _COST: _no_cost, _MEMBER: _no_member}.get(schema, _no_typical)()
+        empty = {_CENTRE: lambda: _rows_of(None, [], [], np.zeros((0, DIMS))), _COST: _no_cost, _MEMBER: _no_member, _TYPICAL: _no_typical}[schema]()
 
         def of(p: pa.Table, c: pa.Table) -> pa.Table:  # a block may have got no photo
             return function(p, c) if p.num_rows and c.num_rows else empty
 
-        left = points if everywhere else points.join(centres.select("library").distinct(), "library", "left_semi")
-        left = left.select("library", "block", "seq", "dhash", "slot", "n", "k", u.alias("u"))
+        left = points.join(centres.select("library").distinct(), "library", "left_semi")
+        left = left.select("library", "block", "seq", "dhash", "slot", "n", "k", chance(salt).alias("u"))
         return left.groupBy("library", "block").cogroup(spread.groupBy("library", "block")).applyInArrow(of, schema)
 
     start = points.filter("first").groupBy("library").applyInArrow(
@@ -388,34 +426,27 @@ def kmeans_clusters(
     )
     candidates, _ = scratch.cut(start, "seed-0")
     for r in range(1, seed_rounds + 1):
-        costs = over_blocks(_cost_block, candidates.join(large, "library", "left_semi"), _COST, everywhere=False)
-        costs = costs.groupBy("library").agg(F.sum("cost").alias("cost"))
-        fresh = over_blocks(lambda p, c: _seed_block(p, c, 2.0), candidates.join(costs, "library", "left"), _CENTRE, r)
+        costs = over_blocks(_cost_block, candidates, _COST).groupBy("library").agg(F.sum("cost").alias("cost"))
+        fresh = over_blocks(lambda p, c: _seed_block(p, c, 2.0), candidates.join(costs, "library"), _CENTRE, r)
         candidates, _ = scratch.cut(candidates.unionByName(fresh), f"seed-{r}")
     numbered = candidates.withColumn("c", (F.row_number().over(Window.partitionBy("library").orderBy("vec")) - 1).cast("int"))
     numbered, _ = scratch.cut(numbered, "seeds")
     weighed = over_blocks(_sum_block, numbered, _CENTRE).groupBy("library", "c").agg(F.sum("n").alias("n"))
     weighed = numbered.drop("n").join(weighed, ["library", "c"]).join(sizes.select("library", "k"), "library")
-    centres, _ = scratch.cut(weighed.groupBy("library").applyInArrow(_reduce_seeds, _CENTRE), "centres-0")
-    alone = centres.join(large, "library", "left_anti")
-    rested, _ = scratch.cut(over_blocks(lambda p, c: _lloyd_block(p, c, lloyd_rounds), alone, _CENTRE, everywhere=False), "rested-0")
-    moving, seen = scratch.cut(centres.join(large, "library", "left_semi"), "moving-0", rows=F.count(F.lit(1)))
+    moving, seen = scratch.cut(weighed.groupBy("library").applyInArrow(_reduce_seeds, _CENTRE), "moving-0", rows=F.count(F.lit(1)))
+    rested: DataFrame | None = None
     kept: set[str] = set()  # rounds in which a library came to rest
     for r in range(1, lloyd_rounds + 1):
         if not seen["rows"]:
             break
-        sums = over_blocks(_sum_block, moving, _CENTRE, everywhere=False)
+        sums = over_blocks(_sum_block, moving, _CENTRE)
         stepped = sums.groupBy("library").cogroup(moving.groupBy("library")).applyInArrow(_step, _STATE)
         stepped, seen = scratch.cut(stepped, f"moving-{r}", rows=F.count_if("moving"), still=F.count_if(~F.col("moving")))
         if seen["still"]:
-            rested = rested.unionByName(stepped.filter("NOT moving").drop("moving"))
+            still = stepped.filter("NOT moving").drop("moving")
+            rested = still if rested is None else rested.unionByName(still)
             kept.add(f"moving-{r}")
         moving = stepped.filter("moving").drop("moving")
         scratch.drop(*({f"moving-{r - 1}"} - kept))
-    centres = rested.unionByName(moving)
-    if members:
-        return over_blocks(_member_block, centres, _MEMBER)
-    found = over_blocks(_typical_block, centres, "library string, c int, n long, far double, seq long")
-    return found.groupBy("library", "c").agg(
-        F.sum("n").alias("n"), F.min_by("seq", F.struct("far", "seq")).alias("typical")
-    )
+    centres = moving if rested is None else rested.unionByName(moving)
+    return over_blocks(_member_block, centres, _MEMBER) if members else over_blocks(_typical_block, centres, _TYPICAL)
