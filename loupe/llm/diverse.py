@@ -6,7 +6,7 @@ submodular, so the greedy choice is within 1 - 1/e of the best, and a large burs
 or set of copies is covered by its first pick: further picks from it gain nothing.
 
 A library's photos fall into blocks by a hash of their id.  Each block nominates,
-by lazy greedy over itself, the full wanted number, and gives every nominee its
+by lazy greedy over itself, the full wanted number (128 at least), and gives every nominee its
 part of the coverage of the block's photos.  Where the nominees of all blocks are
 many, those of a few blocks become a block of the next round and nominate again,
 weighted by those parts.  Last, lazy greedy over what is left of a library.
@@ -39,6 +39,8 @@ TIME_REACH = GAP_SECONDS * 1_000_000
 #: Weights of looks and time; a photo is fully similar (1) only to itself and its like.
 HASH_WEIGHT, TIME_WEIGHT = 0.7, 0.3
 BLOCK_ROWS = 512
+#: Photos that a block nominates at least, so that what a few picks cover is known finely.
+LEAST_NOMINEES = 128
 #: Nominees merged into one block of the next round, of two blocks at least.
 MERGE_ROWS = 4096
 #: Pairs compared at once.
@@ -137,7 +139,7 @@ def _similarity(table: pa.Table) -> Similarity:
 
 def _nominate(table: pa.Table) -> pa.Table:
     """The wanted number of a block's rows, with their parts of its coverage; a library of one block waits for the last round."""
-    wanted = table.column("wanted")[0].as_py()
+    wanted = max(LEAST_NOMINEES, table.column("wanted")[0].as_py())
     if table.column("blocks")[0].as_py() == 1 or table.num_rows <= wanted:
         return table.select(_NODE_COLUMNS)
     table = table.sort_by("seq")
@@ -176,7 +178,7 @@ def varied_order(photos: DataFrame, wanted: DataFrame, *, block_rows: int = BLOC
     sizes = sizes.select("library", F.ceil(F.col("n") / rows).alias("blocks"))
     nodes = now.join(small(sizes), "library").withColumn("block", F.pmod(F.xxhash64("seq"), F.col("blocks"))).withColumn("weight", F.lit(1.0))
     # How many rounds any library needs; a library that needs fewer passes through the others.
-    fan = F.greatest(F.lit(2), F.floor(merge_rows / F.col("wanted"))).cast("long")
+    fan = F.greatest(F.lit(2), F.floor(merge_rows / F.greatest(F.lit(LEAST_NOMINEES), F.col("wanted")))).cast("long")
     widths = now.select("library", "wanted").distinct().join(small(sizes), "library").select("blocks", fan.alias("fan")).distinct().collect()
     rounds = max((_rounds(r.blocks, r.fan) for r in widths), default=0)
     for _ in range(rounds):
