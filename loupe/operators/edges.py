@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,37 +20,54 @@ from loupe.session import Scratch, follow
 COMPARE_ROWS, COMPARE_SLICE = 4096, 1 << 22
 
 
-def _bands(distance: int) -> list[tuple[int, int]]:
-    """(shift, width) of distance + 1 nearly equal parts of 64 bits."""
-    edges = [round(64 * k / (distance + 1)) for k in range(distance + 2)]
+#: Rows of the largest group up to which hashes meet by one, two, or else three equal parts.
+SHARED_ROWS = (50_000, 3_000_000)
+
+
+def _bands(distance: int, shared: int = 1) -> list[tuple[int, int]]:
+    """(shift, width) of distance + shared nearly equal parts of 64 bits, of which close hashes have ``shared`` equal at least."""
+    n = distance + shared
+    edges = [round(64 * k / n) for k in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def _shared(rows: DataFrame) -> int:
+    """How many equal parts hashes of the groups ``grp`` of this size had best meet by."""
+    most = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return 1 + sum(most > n for n in SHARED_ROWS)
+
+
 def _part(h: Column, shift: int, width: int) -> Column:
     return h if width == 64 else F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
-def _near_apart(distinct: DataFrame, distance: int) -> DataFrame:
+def _near_apart(distinct: DataFrame, distance: int, shared: int = 1) -> DataFrame:
     """(id_a, id_b, bits) of rows (grp, id, h) with different hashes h, at most ``distance`` bits apart.
 
-    Hashes that close agree in one of ``distance`` + 1 parts at least, so the join
-    is on the group, a part and its value; a pair counts in its first equal part
-    only, which spares a distinct.  Parts are taken of the regrouped bits, so that
-    pictures that are flat in places do not agree in a part by that alone.
+    Of ``distance`` + ``shared`` parts hashes that close have ``shared`` equal at least,
+    so the join is on the group, a choice of so many parts and their values; a pair
+    counts in its first choice only, which spares a distinct.  More parts to a key
+    mean more rows and far fewer candidates.  Parts are taken of the regrouped bits,
+    so that pictures that are flat in places do not agree in a part by that alone.
     """
-    parts = _bands(distance)
-    h = F.col("h")
-    keys = F.array(*(
-        F.struct(F.lit(k).alias("part"), _part(h, a, w).alias("value"))
-        for k, (a, w) in enumerate(parts)
-    ))
+    parts = _bands(distance, shared)
+    choices = list(combinations(range(len(parts)), shared))
+
+    def value(h: Column, choice: tuple[int, ...]) -> Column:
+        out = F.lit(0).cast("long")
+        for k in choice:
+            out = F.shiftleft(out, parts[k][1]).bitwiseOR(_part(h, *parts[k]))
+        return out
+
+    keys = F.array(*(F.struct(F.lit(k).alias("part"), value(F.col("h"), c).alias("value")) for k, c in enumerate(choices)))
     mixed = distinct.select("grp", "id", regrouped_column("h").alias("h"))
     cut = mixed.select("grp", "id", "h", F.explode(keys).alias("key")).select("grp", "id", "h", "key.part", "key.value")
     x, y = cut.alias("x"), cut.alias("y")
     differ = F.col("x.h").bitwiseXOR(F.col("y.h"))
-    first: Column = F.lit(len(parts))
-    for k, (a, w) in reversed(list(enumerate(parts))):
-        first = F.when(_part(differ, a, w) == 0, F.lit(k)).otherwise(first)
+    first: Column = F.lit(len(choices))
+    for k, c in reversed(list(enumerate(choices))):
+        equal = reduce(Column.__and__, (_part(differ, *parts[p]) == 0 for p in c))
+        first = F.when(equal, F.lit(k)).otherwise(first)
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("grp", "part", "value")]
     return (
         x.join(y, [*same, F.col("x.id") < F.col("y.id"), hamming("x.h", "y.h") <= distance, first == F.col("x.part")])
@@ -56,12 +75,13 @@ def _near_apart(distinct: DataFrame, distance: int) -> DataFrame:
     )
 
 
-def near_hashes(hashes: DataFrame, *, group: str = "library", id: str = "seq", hash: str = "dhash", distance: int = NEAR_BITS) -> DataFrame:  # noqa: A002
+def near_hashes(hashes: DataFrame, *, group: str = "library", id: str = "seq", hash: str = "dhash", distance: int = NEAR_BITS, shared: int | None = None) -> DataFrame:  # noqa: A002
     """Pairs (``id_a``, ``id_b``, ``bits``) of one group at most ``distance`` bits apart.
 
     Each different hash is compared once, whatever the number of rows that have it;
     its rows are multiplied out last.  Each pair comes once, with id_a < id_b.  Rows
-    with a null group, id or hash are in no pair.
+    with a null group, id or hash are in no pair.  shared: equal parts by which hashes
+    meet, by the size of the largest group if not given; the result is the same.
     """
     scratch = Scratch(hashes.sparkSession, "near")
     h = F.col(hash)
@@ -69,7 +89,8 @@ def near_hashes(hashes: DataFrame, *, group: str = "library", id: str = "seq", h
     known, seen = scratch.cut(known.select(F.col(group).alias("grp"), F.col(id).alias("id"), h.alias("h")), "known", n=F.count(F.lit(1)))
     firsts = known.groupBy("grp", "h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     led = follow(known, firsts.drop("n"), ["grp", "h"], seen["n"]).select("first", "id")
-    near = _near_apart(firsts.select("grp", F.col("first").alias("id"), "h"), distance).unionByName(
+    shared = shared or _shared(known)
+    near = _near_apart(firsts.select("grp", F.col("first").alias("id"), "h"), distance, shared).unionByName(
         firsts.filter("n > 1").select(F.col("first").alias("id_a"), F.col("first").alias("id_b"), F.lit(0).alias("bits"))
     )
     a, b = led.toDF("fa", "a"), led.toDF("fb", "b")
@@ -174,7 +195,7 @@ def hash_links(nodes: DataFrame, distance: int, n: int) -> DataFrame:
     nodes = nodes.filter("grp IS NOT NULL AND h IS NOT NULL").distinct()
     leaders = nodes.groupBy("grp", "h").agg(F.min("id").alias("first"))
     copies = follow(nodes, leaders, ["grp", "h"], n).filter("id != first").select(F.col("first").alias("u"), F.col("id").alias("v"))
-    near = _near_apart(leaders.select("grp", F.col("first").alias("id"), "h"), distance)
+    near = _near_apart(leaders.select("grp", F.col("first").alias("id"), "h"), distance, _shared(nodes))
     return copies.unionByName(near.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")))
 
 
@@ -192,7 +213,7 @@ def look_links(photos: DataFrame, *, group: str = "library", distance: int = NEA
     copies = follow(hashed, leaders, ["grp", "h"], seen["n"]).filter("seq != first.seq").select(
         F.col("first.seq").alias("u"), F.col("seq").alias("v"), ~F.coalesce(F.col("first.sha") == F.col("sha"), F.lit(False))
     )
-    near = _near_apart(leaders.select("grp", F.col("first.seq").alias("id"), "h"), distance).select("id_a", "id_b")
+    near = _near_apart(leaders.select("grp", F.col("first.seq").alias("id"), "h"), distance, _shared(hashed)).select("id_a", "id_b")
     shas = leaders.select("first.seq", "first.sha")
     near = near.join(shas.toDF("id_a", "sha_a"), "id_a").join(shas.toDF("id_b", "sha_b"), "id_b")
     near = near.select(F.col("id_a").alias("u"), F.col("id_b").alias("v"), ~F.coalesce(F.col("sha_a") == F.col("sha_b"), F.lit(False)))

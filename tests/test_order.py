@@ -212,7 +212,9 @@ def test_ties_of_flat_hashes_and_of_many_copies_match_brute_force(spark):
         h = rng.choice(hashes[:3] if seq % 3 else hashes) ^ (1 << rng.randrange(11, 64) if seq % 4 else 0)
         rows.append((seq, "a", "/p", h - (1 << 64) if h >> 63 else h))
     df = spark.createDataFrame(rows, "seq long, library string, path string, dhash long")
-    assert {(r.id_a, r.id_b): r.bits for r in edges.near_hashes(df).collect()} == _near(rows, 8)
+    for shared in (None, 2, 3):
+        got = edges.near_hashes(df, shared=shared).collect()
+        assert {(r.id_a, r.id_b): r.bits for r in got} == _near(rows, 8) and len(got) == len(_near(rows, 8))
 
 
 def test_time_links_and_gaps_are_those_of_a_window(spark):
