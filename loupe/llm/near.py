@@ -223,14 +223,16 @@ class NearClasses(NamedTuple):
 def near_classes(
     slim: DataFrame, *, distance: int = NEAR_BITS, limit: int = GROUP_LIMIT, sizes: DataFrame | None = None, group: str = "library"
 ) -> NearClasses:
-    """Classes and pairs of near classes of ``slim`` (grp, id, hash, same; no null but in same)."""
+    """Classes and pairs of near classes of ``slim`` (grp, id, hash and, where rows can be copies, same; no null but in same)."""
     if not 0 <= distance <= 15:
         raise ValueError("distance must lie between 0 and 15 bits")
     ship_code(slim.sparkSession)
-    one = (F.count("same") == F.count(F.lit(1))) & (F.min("same") == F.max("same"))
-    classes = slim.groupBy("grp", "hash").agg(
-        F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.when(one, F.min("same")).alias("same")
-    )
+    sized = (F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    if "same" in slim.columns:
+        one = (F.count("same") == F.count(F.lit(1))) & (F.min("same") == F.max("same"))
+        classes = slim.groupBy("grp", "hash").agg(*sized, F.when(one, F.min("same")).alias("same"))
+    else:  # aggregated by hashing, as there are only numbers to keep
+        classes = slim.groupBy("grp", "hash").agg(*sized).withColumn("same", F.lit(None).cast("string"))
     counted = slim.groupBy("grp").agg(F.count("*").alias("n")) if sizes is None else sizes.select(F.col(group).alias("grp"), "n")
     thin = levels(distance)
     level = F.lit(len(thin) - 1)
@@ -260,15 +262,15 @@ def near_classes(
             return
         yield from _class_pairs(pa.Table.from_batches(got), distance, shared, block)
 
-    kind = slim.schema["same"].dataType.simpleString()
+    kind = classes.schema["same"].dataType.simpleString()
     found = spread.groupBy("grp", "level", "block").applyInArrow(pairs, f"id_a long, id_b long, many boolean, class_a {kind}, class_b {kind}")
     return NearClasses(classes, found, sum(r["rows"] for r in seen))
 
 
 def class_members(slim: DataFrame, near: NearClasses, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(first, id, same) of the rows of all classes of several rows."""
+    """(first, id and, where ``slim`` has it, same) of the rows of all classes of several rows."""
     many = near.classes.filter("n > 1").select("grp", "hash", "first")
-    return follow(slim.select("grp", "hash", "id", "same"), many, ["grp", "hash"], near.rows, hot_rows=hot_rows).select("first", "id", "same")
+    return follow(slim, many, ["grp", "hash"], near.rows, hot_rows=hot_rows).drop("grp", "hash")
 
 
 def near_pairs(
@@ -296,16 +298,15 @@ def near_pairs(
     """
     slim = rows.select(
         F.col(group).alias("grp"), F.col(id).cast("long").alias("id"), F.col(hash).cast("long").alias("hash"),
-        (F.col(same) if same else F.lit(None).cast("string")).alias("same"),
+        *([(F.col(same) if same else F.lit(None).cast("string")).alias("same")] if expand else []),
     ).filter(F.col("grp").isNotNull() & F.col("id").isNotNull() & F.col("hash").isNotNull())
     if not expand:
-        slim = slim.withColumn("same", F.lit(None).cast("string"))
         near = near_classes(slim, distance=distance, limit=limit, sizes=sizes, group=group)
         copies = class_members(slim, near, hot_rows).filter("id != first").select(F.col("first").alias("id_a"), F.col("id").alias("id_b"))
         return near.pairs.select("id_a", "id_b").unionByName(copies)
     scratch = Scratch(rows.sparkSession, "near")
     near = near_classes(slim, distance=distance, limit=limit, sizes=sizes, group=group)
-    members, _ = scratch.cut(class_members(slim, near, hot_rows), "members")
+    members, _ = scratch.cut(class_members(slim, near, hot_rows).select("first", "id", "same"), "members")
     pairs, _ = scratch.cut(near.pairs, "pairs")
     differ = ~F.coalesce(F.col("same_a") == F.col("same_b"), F.lit(False))
     a, b = members.toDF("id_a", "a", "same_a"), members.toDF("id_b", "b", "same_b")
