@@ -86,7 +86,8 @@ def detect(photos: DataFrame, *, group: str = "library", distance: int = NEAR_BI
     visual group, and of the set of equal bytes for an exact one.
     """
     scratch = Scratch(photos.sparkSession, "detect")
-    photos, _ = scratch.cut(photos.filter(F.col(group).isNotNull()), "photos")
+    needed = (group, "seq", "path", "file_size", "width", "height", "capture_time", "dhash", "sha")
+    photos, _ = scratch.cut(photos.filter(F.col(group).isNotNull()).select(*needed), "photos")
     looks, _ = scratch.cut(look_links(photos, group=group, distance=distance), "looks")
     exact = exact_classes(photos, group=group).filter("seq != leader").select(F.col("leader").alias("u"), F.col("seq").alias("v"))
     label, counted = scratch.cut(components(looks.select("u", "v").unionByName(exact), "u", "v"), "label", n=F.count(F.lit(1)))

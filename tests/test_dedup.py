@@ -141,6 +141,14 @@ def test_the_fingerprint_of_very_many_pairs_does_not_overflow(spark):
     assert a.n == 20_000_000 and b.n == a.n - 1 and (a.x, a.y) != (b.x, b.y)
 
 
+def test_columns_with_clashing_names_are_not_read(spark):
+    rows = [photo(1, A, 5), photo(2, A, 5), photo(3, B, 7)]
+    df = spark.createDataFrame(rows, NOW).selectExpr("*", "1 AS component", "2 AS visual", "3 AS grp", "4 AS h", "5 AS copies", "6 AS id", "7 AS best")
+    assert {(r.classification, r.group_id, r.seq) for r in dedup.detect(df).members.collect()} == {
+        ("ExactOnly", 1, 1), ("ExactOnly", 1, 2), ("HasVisualComponent", 1, 1), ("HasVisualComponent", 1, 3)
+    }
+
+
 def test_a_hot_hash_and_hot_bytes(spark):
     rows = [photo(k, A if k % 2 else None, 5, w=k % 7 + 1) for k in range(1, 400)] + [photo(500, B, 7)]
     members, _ = found(spark, rows)
