@@ -242,7 +242,13 @@ def p15(spark: SparkSession, folder: str) -> DataFrame:
     return folders.select("library", text.default_base_name("folders").alias("name"))
 
 
-@query("P16_available_names")
+@query("P16_available_names", f"""
+WITH {NOW}, e AS (SELECT DISTINCT upper(regexp_extract(path, '^(.*)[/\\\\][^/\\\\]*$', 1)) AS folder, upper(regexp_replace({_NAME}, '\\.[^.]*$', '')) AS name FROM now WHERE path IS NOT NULL),
+w AS (SELECT row_number() OVER () AS r, group_id, regexp_extract(path, '^(.*)[/\\\\][^/\\\\]*$', 1) AS folder, regexp_replace({_NAME}, '\\.[^.]*$', '') AS base
+  FROM (SELECT group_id, recommended_path AS path FROM dup_groups WHERE recommended_path IS NOT NULL)),
+n AS (SELECT r, folder, k, base || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END AS name FROM w, range(1, 1000) AS t(k)),
+f AS (SELECT r, arg_min(name, k) AS name FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.folder = upper(n.folder) AND e.name = upper(n.name)) GROUP BY r)
+SELECT group_id, coalesce(name, base) AS name FROM w LEFT JOIN f USING (r)""")
 def p16(spark: SparkSession, folder: str) -> DataFrame:
     """Names for new files beside the photos recommended."""
     there = now(spark, folder, "path").filter("path IS NOT NULL").select(text.folder("path").alias("folder"), text.stem("path").alias("name"))
