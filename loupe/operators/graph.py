@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loupe.session import Scratch, follow
+from loupe.session import HOT_ROWS, Scratch, follow
 
 
 def _large_star(pairs: DataFrame, n: int) -> DataFrame:
@@ -47,7 +47,11 @@ def components(pairs: DataFrame, a: str, b: str, vertices: DataFrame | None = No
     while seen["n"]:
         before, step = seen, step + 1
         n = 2 * seen["n"]  # the first step lists every pair both ways, the second no more than the first
-        state, seen = scratch.cut(_small_star(_large_star(state, n), n), str(step), **sums)
+        large = _large_star(state, n)
+        if n > HOT_ROWS:  # read several times in the second step
+            large, _ = scratch.cut(large, f"{step}-large")
+        state, seen = scratch.cut(_small_star(large, n), str(step), **sums)
+        scratch.drop(f"{step}-large")
         scratch.drop(str(step - 1))
         if before == seen:
             break

@@ -200,7 +200,13 @@ def small_join(big: DataFrame, small: DataFrame, on, how: str = "inner", most: i
 
 
 #: Rows with one key that a join may send to one task, and keys with more rows that may be broadcast.
-HOT_ROWS, HOT_KEYS = 1_000_000, 10_000
+HOT_ROWS, HOT_KEYS = 3_000_000, 10_000
+
+
+def _is_selection(df: DataFrame) -> bool:
+    """Whether the frame only filters and projects a table, so that reading it again costs a scan."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return not any(node in plan for node in ("Join", "Aggregate", "Generate", "Window", "Repartition", "Sort", "Distinct", "FlatMap", "MapIn", "Union"))
 
 
 def follow(rows: DataFrame, found: DataFrame, on: str | list[str], n: int, *, hot_rows: int = HOT_ROWS, how: str = "inner") -> DataFrame:
@@ -210,11 +216,17 @@ def follow(rows: DataFrame, found: DataFrame, on: str | list[str], n: int, *, ho
     can each have more than max(``hot_rows``, n / HOT_KEYS), so what is found for
     these few keys is broadcast and their rows stay where they are; all others meet
     by a join on the key.  With fewer rows than that no key can be hot.
+
+    Both frames are read several times then, so one that is more than a selection
+    from a table is written first.
     """
     limit = max(hot_rows, n // HOT_KEYS)
     if n <= limit:
         return rows.join(found, on, how)
     keys = [on] if isinstance(on, str) else on
+    scratch = Scratch(rows.sparkSession, "followed")
+    rows = rows if _is_selection(rows) else scratch.cut(rows, "rows")[0]
+    found = found if _is_selection(found) else scratch.cut(found, "found")[0]
     hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(*keys)
     known = found.join(F.broadcast(hot), keys)
     of_hot = rows.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(known), keys, how)
