@@ -15,6 +15,8 @@ parallel oversampling, Lloyd steps, members nearest each centroid.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -37,18 +39,35 @@ def _bit_sums(hash_: str) -> list[Column]:
     return [F.sum(F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_LANES).cast("long"))).alias(f"b{j}") for j in range(32)]
 
 
-def _distance_sum(hash_: str, n: str) -> Column:
-    """Sum of the bit distances of a hash to all hashes counted in b0 to b31.
+_CENTRE_BITS = "cluster long, n long, first long, hashed long, ones long, planes array<long>"
+
+
+def _planes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each cluster the sum of its 64 counts of one bits, and their binary digits: one 64-bit mask a digit, the highest first."""
+    for batch in batches:
+        packed = np.stack([batch.column(4 + j).fill_null(0).to_numpy().view(np.uint64) for j in range(32)], axis=1)
+        ones = np.concatenate([packed & np.uint64(0xFFFFFFFF), packed >> np.uint64(32)], axis=1)
+        digits = int(ones.max(initial=0)).bit_length()
+        masks = np.zeros((len(ones), digits), dtype=np.uint64)
+        for d in range(digits):
+            bits = ((ones >> np.uint64(digits - 1 - d)) & np.uint64(1)).astype(np.uint8)
+            masks[:, d] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+        used = np.logical_or.accumulate(masks > 0, axis=1)  # no leading zeros
+        offsets = np.append(0, np.cumsum(used.sum(axis=1))).astype(np.int32)
+        planes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(masks[used].view(np.int64)))
+        sums = pa.array(ones.sum(axis=1).view(np.int64))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], sums, planes], ["cluster", "n", "first", "hashed", "ones", "planes"])
 
-    Bit k adds the members that differ in it: ones if it is 0, n - ones if it is 1.
+
+def _distance_sum(hash_: str) -> Column:
+    """Sum of the bit distances of a hash to all hashes counted in ones and planes.
+
+    Bit k adds the members that differ in it: its count of ones if it is 0, the rest if
+    it is 1.  The counts of the bits that are 1 are summed digit by digit.
     """
-    h, total = F.col(hash_), F.lit(0).cast("long")
-    low = F.lit(0xFFFFFFFF).cast("long")
-    for j in range(32):
-        for ones, k in ((F.col(f"b{j}").bitwiseAND(low), j), (F.shiftrightunsigned(F.col(f"b{j}"), 32), j + 32)):
-            bit = F.shiftrightunsigned(h, k).bitwiseAND(F.lit(1).cast("long"))
-            total = total + ones + bit * (F.col(n) - 2 * ones)
-    return total
+    h = F.col(hash_)
+    counted = F.aggregate("planes", F.lit(0).cast("long"), lambda acc, mask: acc * 2 + F.bit_count(mask.bitwiseAND(h)))
+    return F.col("ones") + F.col("hashed") * F.bit_count(h) - 2 * counted
 
 
 def alike_clusters(photos: DataFrame, *, distance: int = NEAR_BITS, gap_us: int = GAP_US) -> DataFrame:
@@ -86,10 +105,11 @@ def alike_clusters(photos: DataFrame, *, distance: int = NEAR_BITS, gap_us: int
     known = F.col("dhash").isNotNull()
     centres = placed.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"), F.count("dhash").alias("hashed"), *_bit_sums("dhash")
-    ).filter("n >= 2")
+    ).filter("n >= 2").mapInArrow(_planes, _CENTRE_BITS)
+    centres, _ = scratch.cut(centres, "centres")
     nearest = (
         follow(placed.filter(known), centres.filter("hashed > 0"), "cluster", n)
-        .select("cluster", "n", F.struct(_distance_sum("dhash", "hashed").alias("sum"), "seq").alias("place"))
+        .select("cluster", "n", F.struct(_distance_sum("dhash").alias("sum"), "seq").alias("place"))
         .groupBy("cluster").agg(F.min("place").alias("place"), F.first("n").alias("n"))
         .select("cluster", F.col("place.seq").alias("typical"), "n")
     )
