@@ -58,6 +58,12 @@ def p6_kmeans(spark: SparkSession, folder: str) -> DataFrame:
     return clusters.kmeans_clusters(table(spark, folder, "photos")).select("library", "n", "typical")
 
 
+def p6_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """What the cells of each library hold: every photo once, and every typical photo in a cell of its own."""
+    cells = clusters.kmeans_clusters(table(spark, folder, "photos"))
+    return cells.groupBy("library").agg(F.sum("n").alias("n"), (F.count(F.lit(1)) - F.countDistinct("typical")).alias("shared"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode_documents(table(spark, folder, "documents"))
 
@@ -102,6 +108,7 @@ def queries() -> dict[str, Query]:
         "p5_groups": p5_groups,
         "p6_found": p6_found,
         "p6_kmeans": p6_kmeans,
+        "p6_sizes": p6_sizes,
         "p7_ids": p7_ids,
         "p7_text": p7_text,
         "p8_found": p8_found,
@@ -240,6 +247,7 @@ FROM (SELECT DISTINCT slideshow_id, library, wanted FROM slideshows) JOIN c USIN
 def oracle_sql() -> dict[str, str]:
     return {
         "p4_sizes": P4_SIZES_SQL,
+        "p6_sizes": f"WITH {NOW} SELECT library, count(*) AS n, 0::BIGINT AS shared FROM now WHERE library IS NOT NULL GROUP BY library",
         "p7_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p9_text": "SELECT doc_id, text, 0::BIGINT AS over FROM documents WHERE text <> ''",
         "p1_found": P1_SQL,
