@@ -177,11 +177,16 @@ def named_pairs(photos: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.withColumn("bits", hamming("__ha", "__hb").cast("int")).drop("__a", "__b", "__ha", "__hb")
 
 
-def listed_pairs(photos: DataFrame, names: DataFrame) -> DataFrame:
-    """(name_a, name_b, bits): all pairs among the listed ``name``s, as ``named_pairs`` looks them up, each pair once."""
-    listed = names.select(F.upper("name").alias("name")).filter("name IS NOT NULL").distinct()
-    pairs = listed.toDF("name_a").join(listed.toDF("name_b"), F.col("name_a") < F.col("name_b"))
-    return named_pairs(photos, pairs).select("name_a", "name_b", "bits")
+def listed_pairs(photos: DataFrame, names: DataFrame, by: str | None = None) -> DataFrame:
+    """(by, name_a, name_b, bits): all pairs among the listed ``name``s, as ``named_pairs`` looks them up, each pair once.
+
+    by: column that tells several lists apart; lists are short, pairs are of one list.
+    """
+    keys = [by] if by else []
+    listed = names.filter(F.col("name").isNotNull()).select(*keys, F.upper("name").alias("name")).distinct()
+    a, b = listed.withColumnRenamed("name", "name_a"), listed.withColumnRenamed("name", "name_b")
+    pairs = a.join(b, keys).filter("name_a < name_b") if by else a.join(b, F.col("name_a") < F.col("name_b"))
+    return named_pairs(photos, pairs).select(*keys, "name_a", "name_b", "bits")
 
 
 def available_names(wanted: DataFrame, existing: DataFrame) -> DataFrame:

@@ -222,14 +222,15 @@ _NAME = "regexp_extract(path, '([^/\\\\]*)$', 1)"
 
 
 @query("J15_listed_pairs", f"""
-WITH {NOW}, l AS (SELECT DISTINCT upper(regexp_extract(recommended_path, '([^/\\\\]*)$', 1)) AS name FROM dup_groups WHERE recommended_path IS NOT NULL ORDER BY 1 LIMIT 6),
+WITH {NOW}, l AS (SELECT DISTINCT group_id, upper({_NAME}) AS name FROM group_members WHERE group_id IS NOT NULL AND path IS NOT NULL),
 f AS (SELECT upper({_NAME}) AS name, arg_min(struct_pack(h := dhash), seq).h AS dhash FROM now WHERE path IS NOT NULL GROUP BY 1)
-SELECT a.name AS name_a, b.name AS name_b, bit_count(xor(a.dhash, b.dhash))::INT AS bits
-FROM f a JOIN f b ON a.name < b.name WHERE a.name IN (FROM l) AND b.name IN (FROM l)""")
+SELECT x.group_id, x.name AS name_a, y.name AS name_b, bit_count(xor(a.dhash, b.dhash))::INT AS bits
+FROM l x JOIN l y ON x.group_id = y.group_id AND x.name < y.name JOIN f a ON a.name = x.name JOIN f b ON b.name = y.name""")
 def j15(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs among the first six names of photos recommended."""
-    names = table(spark, folder, "dup_groups").filter("recommended_path IS NOT NULL").select(F.upper(text.file_name("recommended_path")).alias("name"))
-    return report.listed_pairs(now(spark, folder, "path", "dhash"), names.distinct().orderBy("name").limit(6))
+    """The members of each stored group as a list of names."""
+    members = table(spark, folder, "group_members").filter("group_id IS NOT NULL AND path IS NOT NULL")
+    names = members.select("group_id", text.file_name("path").alias("name"))
+    return report.listed_pairs(now(spark, folder, "path", "dhash"), names, by="group_id")
 
 
 @query("P15_default_base_name", f"""

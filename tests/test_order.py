@@ -264,3 +264,6 @@ def test_listed_pairs(spark):
     names = spark.createDataFrame([("a.jpg",), ("B.jpg",), ("c.jpg",), ("no.jpg",), ("b.jpg",)], "name string")
     got = {(r.name_a, r.name_b): r.bits for r in report.listed_pairs(photos, names).collect()}
     assert got == {("A.JPG", "B.JPG"): 2, ("A.JPG", "C.JPG"): None, ("B.JPG", "C.JPG"): None}
+    lists = spark.createDataFrame([(1, "a.jpg"), (1, "B.jpg"), (2, "c.jpg"), (2, "b.jpg"), (None, "a.jpg")], "list int, name string")
+    got = {(r.list, r.name_a, r.name_b): r.bits for r in report.listed_pairs(photos, lists, by="list").collect()}
+    assert got == {(1, "A.JPG", "B.JPG"): 2, (2, "B.JPG", "C.JPG"): None}
