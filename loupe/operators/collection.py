@@ -1,7 +1,8 @@
 """From folders to duplicate groups: listing, headers, content hashes of collisions, picture hashes.
 
 Each file's content is read as little as the result needs: headers from the first
-bytes, all bytes only of files whose size another file has, pixels once.
+bytes, all bytes only of files whose size another file has, pixels once.  A small
+file is opened once for all of that.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from loupe.functions.keys import path_key
 from loupe.operators.dedup import size_collisions
 from loupe.operators.positions import with_position
-from loupe.session import Scratch
+from loupe.session import Scratch, passing
 from loupe.sources import files
 
 
@@ -44,23 +45,36 @@ def index_folders(spark: SparkSession, roots: list[str], *, library: Column | st
         stages.append((stage, rows, time.monotonic() - began))
         began = time.monotonic()
 
-    found, counted = files.scan(spark, roots)
-    n, unsupported = counted.first()
-    over("unsupported", unsupported)
-    over("scanned", n)
-    group = (F.col(library) if isinstance(library, str) else library).cast("string")
-    placed = with_position(found.withColumn("library", group), [path_key("path"), "path"], "seq").drop("root_ordinal")
-    placed = size_collisions(placed)
-    # conditions do not spare a Python function its rows, so the others are kept from it
-    hashed = placed.filter("collides").withColumn("sha", files.content_hash("path"))
-    with_bytes = hashed.unionByName(placed.filter("NOT collides").withColumn("sha", F.lit(None).cast("string"))).drop("collides")
-    photos, seen = scratch.cut(with_bytes, "bytes", hashed=F.count("sha"))
+    with passing(spark):
+        found, counted = files.scan_contents(spark, roots)
+        n = counted["n_photos"]
+        over("unsupported", counted["n_unsupported"])
+        over("scanned", n)
+        group = (F.col(library) if isinstance(library, str) else library).cast("string")
+        placed = with_position(found.withColumn("library", group), [path_key("path"), "path"], "seq").drop("root_ordinal")
+        placed = size_collisions(placed)
+        known = F.when(F.col("collides"), F.col("known_sha")).cast("string").alias("sha")
+        columns = [c for c in placed.columns if c not in ("collides", "known_sha")]
+        if counted["n_read"] == n:
+            with_bytes = placed.select(*columns, known)
+        else:
+            # conditions do not spare a Python function its rows, so the others are kept from it
+            unread = F.col("collides") & F.col("known_sha").isNull()
+            hashed = placed.filter(unread).select(*columns, files.content_hash("path").alias("sha"))
+            with_bytes = hashed.unionByName(placed.filter(~unread).select(*columns, known))
+        photos, seen = scratch.cut(with_bytes, "bytes", hashed=F.count("sha"))
     over("content hashed", seen["hashed"])
-    if pictures:
-        dhash = files.image_hashes(spark, roots, photos.select("path", "turn"))
-        photos = photos.join(dhash, "path", "left")
-    else:
+    if not pictures:
         photos = photos.withColumn("dhash", F.lit(None).cast("long"))
-    photos, seen = scratch.cut(photos.withColumn("dhash", F.nullif("dhash", F.lit(0).cast("long"))).drop("turn"), "photos", decoded=F.count("dhash"))
+    elif counted["n_decoded"] == n:
+        photos = photos.withColumnRenamed("known_dhash", "dhash")
+    else:
+        # all that the image source decodes meets its row, but for rows that have their hash
+        others = photos.filter("NOT decoded")
+        dhash = files.image_hashes(spark, roots, others.select("path", "turn"))
+        photos = others.drop("known_dhash").join(dhash, "path", "left").unionByName(photos.filter("decoded").withColumnRenamed("known_dhash", "dhash"))
+    photos = photos.drop("turn", "decoded", "known_dhash").withColumn("dhash", F.nullif("dhash", F.lit(0).cast("long")))
+    photos, seen = scratch.cut(photos, "photos", decoded=F.count("dhash"))
+    scratch.drop("bytes")
     over("pictures hashed", seen["decoded"])
     return Indexed(photos, spark.createDataFrame(stages, "stage string, rows long, seconds double"))

@@ -152,6 +152,23 @@ def release() -> None:
 atexit.register(release)
 
 
+_PASSING = threading.local()
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables of the operators that this thread begins meanwhile are deleted at the end: nothing that is left may read them."""
+    outer, made = getattr(_PASSING, "roots", None), []
+    _PASSING.roots = made
+    try:
+        yield
+    finally:
+        _PASSING.roots = outer
+        for root in made:
+            _ROOTS.pop(root, None)
+            delete(spark, root)
+
+
 @dataclass
 class Scratch:
     """Tables of one run of an operator, below the shared folder.
@@ -170,6 +187,8 @@ class Scratch:
         ship_code(self.spark)
         self.root = f"{shared_dir(self.spark)}/{self.name}-{uuid.uuid4().hex}"
         _ROOTS[self.root] = self.spark
+        if (made := getattr(_PASSING, "roots", None)) is not None:
+            made.append(self.root)
 
     def cut(self, df: DataFrame, name: str, **metrics) -> tuple[DataFrame, dict]:
         """Write ``df``; return the written table and the metrics observed."""

@@ -187,3 +187,21 @@ def test_folders_to_groups(spark, tmp_path):
     found = dedup.detect(photos)
     assert {(r.group_id, r.classification, r.seq) for r in found.members.collect()} == {(1, "ExactOnly", 1), (1, "ExactOnly", 2)}
     assert collection.index_folders(spark, [str(tmp_path / "none")]).photos.count() == 0
+
+
+def test_small_files_need_no_image_source(spark, tmp_path, monkeypatch):
+    """The source lists all files on the driver and opens each once more."""
+    from pyspark.sql import functions as F
+
+    from loupe.operators import collection
+
+    base = np.tile(np.arange(180, 0, -20), (8, 1))
+    for name, x in (("1.png", base), ("2.png", base), ("3.png", base.T)):
+        (tmp_path / name).write_bytes(png(x))
+    whole = {r.path: r.dhash for r in files.image_hashes(spark, [str(tmp_path)]).collect()}
+    monkeypatch.setattr(files, "_decoded", None)
+    monkeypatch.setattr(files, "content_hash", None)
+    photos, _ = collection.index_folders(spark, [f"file://{tmp_path}"], library=F.lit("all"))
+    got = {r.path: r for r in photos.collect()}
+    assert {k: r.dhash or 0 for k, r in got.items()} == whole and len(whole) == 3
+    assert [got[k].sha for k in sorted(got)][0] == [got[k].sha for k in sorted(got)][1] is not None
