@@ -205,3 +205,21 @@ def test_small_files_need_no_image_source(spark, tmp_path, monkeypatch):
     got = {r.path: r for r in photos.collect()}
     assert {k: r.dhash or 0 for k, r in got.items()} == whole and len(whole) == 3
     assert [got[k].sha for k in sorted(got)][0] == [got[k].sha for k in sorted(got)][1] is not None
+
+
+def test_pictures_of_a_table_are_made_in_waves(spark, data_dir, monkeypatch):
+    from pathlib import Path
+
+    from loupe.plans import collection, common, registry
+
+    photos = common.now(spark, data_dir, "library", "dhash").filter("library IS NOT NULL AND dhash IS NOT NULL")
+    names = {str(r.seq) for r in photos.select("seq").collect()}
+    root, whole = "", sorted(tuple(r) for r in registry.queries()["S0_folders_to_groups"](spark, data_dir).collect())
+    for most, waves in ((10**9, 1), (300, 4)):
+        monkeypatch.setattr(collection, "WAVE_FILES", most)
+        seen = []
+        for root in collection._pictures(spark, data_dir, "waves"):
+            seen.append({p.stem for p in Path(root.removeprefix("file:")).rglob("*.png")})
+        assert len(seen) == waves and sum(map(len, seen)) == len(names) and set().union(*seen) == names and max(map(len, seen)) < 2 * len(names) / waves
+        assert not list(Path(root.removeprefix("file:")).rglob("*"))
+    assert whole == sorted(tuple(r) for r in registry.queries()["S0_folders_to_groups"](spark, data_dir).collect())
