@@ -630,12 +630,44 @@ def bitmaps(spark: SparkSession, roots: list[str], most: int | None = None, turn
     rgba holds four bytes a pixel, row by row, opaque where a picture has no alpha;
     null with width and height where a file cannot be decoded.  Pictures are resized
     where they are decoded, before they meet their orientation (turns, see
-    ``image_hashes``), so what is shuffled has the size asked for.
+    ``image_hashes``), so what is shuffled has the size asked for.  Small simple PNGs
+    are decoded by the tasks along the listing and written; only where there are other
+    files does the image source list the folders again, which the driver does.
     """
     ship_code(spark)
     schema = "path string, width int, height int, rgba binary"
     if not existing_roots(spark, roots):
         return spark.createDataFrame([], schema)
+    starts = tuple(_uri(root).rstrip("/") + "/" for root in roots)
+
+    def fitted(data: bytes, height: int, width: int, channels: int) -> tuple[int, int, bytes]:
+        x = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
+        colour = np.repeat(x, 3, axis=2) if channels == 1 else x[:, :, 2::-1]
+        alpha = x[:, :, 3:] if channels == 4 else np.full((*x.shape[:2], 1), 255, dtype=np.uint8)
+        x = np.concatenate([colour, alpha], axis=2)
+        if most and max(height, width) > most:
+            x = np.rint(resized(x.astype(np.float64), most)).astype(np.uint8)
+        return x.shape[1], x.shape[0], x.tobytes()
+
+    def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for uri, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                data = _head(uri)[1] if _is_shown(uri, starts) else b""
+                picture = simple_png(data) if len(data) == size else None
+                if picture is not None:
+                    out.append((uri, *fitted(*picture)))
+            columns = list(zip(*out)) or [[]] * 4
+            kinds = pa.string(), pa.int32(), pa.int32(), pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "width", "height", "rgba"])
+
+    listed, n = _listed(spark, roots)
+    maybe = listed.filter((supported_format("path") == "Png") & (F.col("file_size") <= HEADER_BYTES)).select("path", "file_size")
+    if len(roots) > 1:
+        maybe = maybe.distinct()
+    done, seen = Scratch(spark, "bitmaps").cut(maybe.mapInArrow(along, schema), "small", n=F.count(F.lit(1)))
+    if seen["n"] == n and turns is None:
+        return done  # nothing is read of the orientation of a PNG
     if turns is None:
         turns = with_metadata(classify(list_files(spark, roots)).filter("format IS NOT NULL")).select("path", "turn")
 
@@ -646,12 +678,7 @@ def bitmaps(spark: SparkSession, roots: list[str], most: int | None = None, turn
                 if r.height < 1 or r.width < 1:
                     out.append((_listed_path(r.origin), None, None, None))
                     continue
-                x = np.frombuffer(r.data, dtype=np.uint8).reshape(r.height, r.width, r.nChannels).astype(np.float64)
-                colour = np.repeat(x, 3, axis=2) if r.nChannels == 1 else x[:, :, 2::-1]
-                alpha = x[:, :, 3:] if r.nChannels == 4 else np.full((*x.shape[:2], 1), 255.0)
-                x = np.concatenate([colour, alpha], axis=2)
-                x = np.rint(resized(x, most) if most else x).astype(np.uint8)
-                out.append((_listed_path(r.origin), x.shape[1], x.shape[0], x.tobytes()))
+                out.append((_listed_path(r.origin), *fitted(r.data, r.height, r.width, r.nChannels)))
             yield pd.DataFrame(out, columns=["path", "width", "height", "rgba"]).astype({"width": "Int32", "height": "Int32"})
 
     def upright(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -666,7 +693,10 @@ def bitmaps(spark: SparkSession, roots: list[str], most: int | None = None, turn
                 out.append((r.path, x.shape[1], x.shape[0], np.ascontiguousarray(x).tobytes()))
             yield pd.DataFrame(out, columns=["path", "width", "height", "rgba"]).astype({"width": "Int32", "height": "Int32"})
 
-    found = _decoded(spark, roots).select("origin", "height", "width", "nChannels", "data").mapInPandas(small, schema)
+    found = done
+    if seen["n"] < n:
+        others = _decoded(spark, roots).select("origin", "height", "width", "nChannels", "data").mapInPandas(small, schema)
+        found = done.unionByName(others.join(done.select("path"), "path", "left_anti"))
     return found.join(turns.select("path", "turn"), "path", "left").mapInPandas(upright, schema)
 
 

@@ -189,6 +189,42 @@ def test_folders_to_groups(spark, tmp_path):
     assert collection.index_folders(spark, [str(tmp_path / "none")]).photos.count() == 0
 
 
+def image(pixels: np.ndarray, filters=None, extra: bytes = b"", cut: int = 0) -> bytes:
+    """An 8-bit PNG of rows x columns x 1, 3 or 4, with a filter of 0 to 2 for each row."""
+    h, w, n = pixels.shape
+    x, raw = pixels.astype(np.uint8), b""
+    for y in range(h):
+        way = filters[y % len(filters)] if filters else 0
+        before = np.vstack([np.zeros((1, n), np.uint8), x[y, :-1]]) if way == 1 else x[y - 1] if way == 2 and y else np.zeros((w, n), np.uint8)
+        raw += bytes([way]) + (x[y] - before).tobytes()
+
+    def chunk(name, data):
+        return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+
+    head = struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2, 4: 6}[n], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + extra + chunk(b"IDAT", zlib.compress(raw)[: -cut or None]) + chunk(b"IEND", b"")
+
+
+def test_small_pictures_are_decoded_as_by_the_image_source(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    gamma = struct.pack(">I", 4) + b"gAMA" + struct.pack(">I", 45455) + struct.pack(">I", zlib.crc32(b"gAMA" + struct.pack(">I", 45455)))
+    made = {f"{n}-{k}.png": image(rng.integers(0, 256, (11, 13, n)), f) for n in (1, 3, 4) for k, f in enumerate((None, [1], [2], [0, 1, 2]))}
+    made |= {"gamma.png": image(rng.integers(0, 256, (5, 6, 3)), extra=gamma), "cut.png": image(rng.integers(0, 256, (5, 6, 3)), cut=9), "x.png": b"", "n.txt": b"x"}
+    made |= {"_hidden.png": made["1-0.png"], ".d/y.png": made["1-0.png"], "PotentialDuplicates/z.png": made["3-1.png"], "name.jpg": made["3-2.png"], "a%20b +.png": made["3-3.png"]}
+    for name, content in made.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    assert all(files.simple_png(made[name]) for name in made if name[1] == "-") and not any(files.simple_png(made[x]) for x in ("gamma.png", "cut.png", "x.png"))
+
+    def found(most):
+        return sorted((r.path, r.width, r.height, r.rgba) for r in files.bitmaps(spark, [str(tmp_path)], most).collect())
+
+    here = found(None), found(7)
+    assert not any("hidden" in r[0] or "/.d/" in r[0] for r in here[0])
+    monkeypatch.setattr(files, "HEADER_BYTES", -1)  # none is small
+    assert (found(None), found(7)) == here
+
+
 def test_small_files_need_no_image_source(spark, tmp_path, monkeypatch):
     """The source lists all files on the driver and opens each once more."""
     from pyspark.sql import functions as F
@@ -207,6 +243,12 @@ def test_small_files_need_no_image_source(spark, tmp_path, monkeypatch):
     assert [got[k].sha for k in sorted(got)][0] == [got[k].sha for k in sorted(got)][1] is not None
 
 
+def test_bitmaps_of_small_files_need_no_image_source(spark, tmp_path, monkeypatch):
+    (tmp_path / "1.png").write_bytes(png(np.zeros((3, 4))))
+    monkeypatch.setattr(files, "_decoded", None)
+    assert [(r.width, r.height, len(r.rgba)) for r in files.bitmaps(spark, [str(tmp_path)]).collect()] == [(4, 3, 48)]
+
+
 def test_pictures_of_a_table_are_made_in_waves(spark, data_dir, monkeypatch):
     from pathlib import Path
 
