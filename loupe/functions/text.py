@@ -18,7 +18,7 @@ FORBIDDEN = "".join(map(chr, range(32))) + '<>:"/\\|?*'
 
 def extension(path: Column | str) -> Column:
     """Lower-case extension with its dot, or an empty text."""
-    return F.lower(F.regexp_extract(_c(path), r"(\.[^./\\]+)$", 1))
+    return F.lower(F.regexp_extract(F.substring_index(_c(path), "/", -1), r"(\.[^./\\]+)$", 1))
 
 
 def file_name(path: Column | str) -> Column:
@@ -59,7 +59,8 @@ def image_not_supported(path: Column | str) -> Column:
 def set_aside(path: Column | str) -> Column:
     """Whether a folder above the file (not the file itself) is the set-aside folder."""
     parts = F.split(_c(path), r"[/\\]")
-    return F.exists(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.upper(p) == ASIDE.upper())
+    maybe = F.upper(_c(path)).contains(ASIDE.upper())  # spares most paths the split
+    return maybe & F.exists(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.upper(p) == ASIDE.upper())
 
 
 def duration_text(seconds: Column | str) -> Column:

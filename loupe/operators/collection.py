@@ -8,6 +8,7 @@ file is opened once for all of that.
 from __future__ import annotations
 
 import time
+from collections.abc import Iterable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,7 +54,7 @@ def index_folders(spark: SparkSession, roots: list[str], *, library: Column | st
         group = (F.col(library) if isinstance(library, str) else library).cast("string")
         placed = with_position(found.withColumn("library", group), [path_key("path"), "path"], "seq").drop("root_ordinal")
         placed = size_collisions(placed)
-        known = F.when(F.col("collides"), F.col("known_sha")).cast("string").alias("sha")
+        known = F.when(F.col("collides"), F.hex("known_sha")).alias("sha")
         columns = [c for c in placed.columns if c not in ("collides", "known_sha")]
         if counted["n_read"] == n:
             with_bytes = placed.select(*columns, known)
@@ -66,15 +67,44 @@ def index_folders(spark: SparkSession, roots: list[str], *, library: Column | st
     over("content hashed", seen["hashed"])
     if not pictures:
         photos = photos.withColumn("dhash", F.lit(None).cast("long"))
-    elif counted["n_decoded"] == n:
-        photos = photos.withColumnRenamed("known_dhash", "dhash")
     else:
-        # all that the image source decodes meets its row, but for rows that have their hash
-        others = photos.filter("NOT decoded")
-        dhash = files.image_hashes(spark, roots, others.select("path", "turn"))
-        photos = others.drop("known_dhash").join(dhash, "path", "left").unionByName(photos.filter("decoded").withColumnRenamed("known_dhash", "dhash"))
-    photos = photos.drop("turn", "decoded", "known_dhash").withColumn("dhash", F.nullif("dhash", F.lit(0).cast("long")))
+        photos = photos if counted["n_decoded"] == n else _with_pictures(spark, roots, photos)
+        photos = photos.withColumnRenamed("known_dhash", "dhash")
+    photos = photos.drop("turn", "decoded", "known_dhash").withColumn("dhash", _usable("dhash"))
     photos, seen = scratch.cut(photos, "photos", decoded=F.count("dhash"))
     scratch.drop("bytes")
     over("pictures hashed", seen["decoded"])
     return Indexed(photos, spark.createDataFrame(stages, "stage string, rows long, seconds double"))
+
+
+def index_waves(spark: SparkSession, waves: Iterable[list[str]]) -> DataFrame:
+    """path, file_size, width, height, capture_time, dhash and sha (32 bytes) of photos whose files come in waves of folders.
+
+    What is known of a wave is written before the next is asked for, so its files may
+    be gone then.  Contents are hashed of all files, as one of another wave may have
+    the same size: of small ones along their header, so that these are opened once.
+    """
+    scratch = Scratch(spark, "waves")
+    for k, roots in enumerate(waves):
+        with passing(spark):
+            found, counted = files.scan_contents(spark, roots, scratch, f"scanned-{k}")
+            if not counted["n_read"] == counted["n_decoded"] == counted["n_photos"]:
+                unread = found.filter("known_sha IS NULL").withColumn("known_sha", F.unhex(files.content_hash("path")))
+                found = _with_pictures(spark, roots, found.filter("known_sha IS NOT NULL").unionByName(unread))
+                scratch.cut(found.withColumn("usable", F.lit(True)), f"completed-{k}")
+                scratch.drop(f"scanned-{k}")
+    # one table, so that the plan does not grow with the waves
+    columns = "path string, file_size long, width int, height int, capture_time timestamp, known_dhash long, known_sha binary, usable boolean"
+    whole = spark.read.schema(columns).parquet(*scratch.tables.values()).filter("usable").drop("usable")
+    return whole.withColumn("known_dhash", _usable("known_dhash")).withColumnsRenamed({"known_dhash": "dhash", "known_sha": "sha"})
+
+
+def _usable(dhash: str) -> Column:
+    return F.nullif(dhash, F.lit(0).cast("long"))
+
+
+def _with_pictures(spark: SparkSession, roots: list[str], photos: DataFrame) -> DataFrame:
+    """``known_dhash`` of all: what the image source decodes meets its row, but for rows that have their hash."""
+    others = photos.filter("NOT decoded")
+    dhash = files.image_hashes(spark, roots, others.select("path", "turn")).withColumnRenamed("dhash", "known_dhash")
+    return others.drop("known_dhash").join(dhash, "path", "left").unionByName(photos.filter("decoded"))

@@ -190,15 +190,15 @@ class Scratch:
         if (made := getattr(_PASSING, "roots", None)) is not None:
             made.append(self.root)
 
-    def cut(self, df: DataFrame, name: str, **metrics) -> tuple[DataFrame, dict]:
-        """Write ``df``; return the written table and the metrics observed."""
+    def cut(self, df: DataFrame, name: str, *, by: str | None = None, **metrics) -> tuple[DataFrame, dict]:
+        """Write ``df``, in a folder for each value of the column ``by`` if given; return the written table and the metrics observed."""
         at = f"{self.root}/{name}"
         schema = df.schema
         if metrics:
             seen = Observation()
             df = df.observe(seen, *(F.coalesce(c, F.lit(0)).cast("long").alias(k) for k, c in metrics.items()))
         with _clean_shuffles(self.spark):
-            df.write.mode("overwrite").parquet(at)
+            df.write.mode("overwrite").parquet(at, partitionBy=by)
         self.tables[name] = at
         return self.spark.read.schema(schema).parquet(at), (seen.get if metrics else {})
 

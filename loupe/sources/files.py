@@ -15,7 +15,7 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache, partial, reduce
 from urllib.parse import unquote
 
 import numpy as np
@@ -23,13 +23,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from loupe.functions.text import image_not_supported, set_aside, supported_format
-from loupe.session import Scratch, _path, ship_code
+from loupe.session import Scratch, _clean_shuffles, _path, passing, ship_code
 
 LISTED = "path string, file_size long, modified timestamp, root_ordinal int"
-_ENTRY = "path string, is_folder boolean, file_size long, modified timestamp, root_ordinal int"
+_ENTRY = "path string, is_folder boolean, file_size long, modified timestamp, root_ordinal int, twin boolean"
 #: Bytes read of a file for its header at first; doubled while the header goes on.
 HEADER_BYTES = 64 * 1024
 #: Bytes of a file held at once while its content is hashed.
@@ -71,7 +71,10 @@ def existing_roots(spark: SparkSession, roots: list[str]) -> list[tuple[int, str
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What lies directly in each folder (path, root_ordinal); a folder that cannot be listed has nothing."""
+    """What lies directly in each folder (path, root_ordinal); a folder that cannot be listed has nothing.
+
+    twin: whether another entry of the folder may have the same path, case aside.
+    """
     from pyarrow import fs
 
     for batch in batches:
@@ -86,28 +89,29 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if rows:
                 paths, folders, sizes, times = zip(*rows)
                 times = [None if t is None else t // 1000 for t in times]
+                twin = not all(map(str.isascii, paths)) or len({p.upper() for p in paths}) < len(paths)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(paths), pa.array(folders), pa.array(sizes, pa.int64()), pa.array(times, pa.timestamp("us", "UTC")),
-                     pa.array([ordinal] * len(rows), pa.int32())],
-                    ["path", "is_folder", "file_size", "modified", "root_ordinal"],
+                     pa.array([ordinal] * len(rows), pa.int32()), pa.array([twin] * len(rows))],
+                    ["path", "is_folder", "file_size", "modified", "root_ordinal", "twin"],
                 )
 
 
-def _listed(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, int]:
-    """(all files below the roots, how many); those below two roots are there twice."""
+def _listed(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, int, bool]:
+    """(all files below the roots, how many, whether a path may be there twice, case aside); those below two roots are."""
     ship_code(spark)
     scratch = Scratch(spark, "listing")
     found = [(ordinal, _uri(root)) for ordinal, root in existing_roots(spark, roots)]
     level = spark.createDataFrame([(root, ordinal) for ordinal, root in found], "path string, root_ordinal int")
     files, depth, n_files = [], 0, 0
-    n = len(found)
+    n, twins = len(found), len(found) > 1
     while n:
         spread = level.repartition(min(n, spark.sparkContext.defaultParallelism * 4))
-        entries, seen = scratch.cut(spread.mapInArrow(_entries, _ENTRY), f"level-{depth}", folders=F.count_if("is_folder"), files=F.count_if(~F.col("is_folder")))
+        entries, seen = scratch.cut(spread.mapInArrow(_entries, _ENTRY), f"level-{depth}", folders=F.count_if("is_folder"), files=F.count_if(~F.col("is_folder")), twins=F.count_if("twin"))
         files.append(entries.filter("NOT is_folder").select("path", "file_size", "modified", "root_ordinal"))
         level, n, depth = entries.filter("is_folder").select("path", "root_ordinal"), seen["folders"], depth + 1
-        n_files += seen["files"]
-    return (reduce(DataFrame.unionByName, files) if files else spark.createDataFrame([], LISTED)), n_files
+        n_files, twins = n_files + seen["files"], twins or seen["twins"] > 0
+    return (reduce(DataFrame.unionByName, files) if files else spark.createDataFrame([], LISTED)), n_files, twins
 
 
 def list_files(spark: SparkSession, roots: list[str]) -> DataFrame:
@@ -119,10 +123,12 @@ def list_files(spark: SparkSession, roots: list[str]) -> DataFrame:
     Folders are listed level by level, each level by all tasks; links to folders that
     lead back to one above end with the depth of the file system's paths.
     """
-    files, n = _listed(spark, roots)
+    files, n, twins = _listed(spark, roots)
     # paths are few bytes, but each is a file to open: a number that is given is not coalesced to one task
     tasks = min(max(1, n), max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
-    return first_by_path(files.filter(~set_aside("path")).repartition(tasks, F.upper("path")), "root_ordinal")
+    files = files.filter(~set_aside("path"))
+    # below one root names that differ in each folder make paths that differ
+    return first_by_path(files.repartition(tasks, F.upper("path")), "root_ordinal") if twins else files.repartition(tasks, "path")
 
 
 def write_files(rows: DataFrame) -> DataFrame:
@@ -169,19 +175,20 @@ def rewrite_files(rows: DataFrame, content: Callable[[pa.RecordBatch], list[byte
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        old: dict[str, dict[str, None]] = {}
+        old: dict[str, tuple] = {}
         for batch in batches:
             folders, names = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("folder", "name"))
             for folder, name, data in zip(folders, names, content(batch)):
-                system, into = opened(folder)
-                local = isinstance(system, fs.LocalFileSystem)
                 if folder not in old:
+                    system, into = opened(folder)
+                    local = isinstance(system, fs.LocalFileSystem)
                     system.create_dir(into, recursive=True)
                     there = os.listdir(into) if local else [i.base_name for i in system.get_file_info(fs.FileSelector(into))]
-                    old[folder] = dict.fromkeys(there)
+                    old[folder] = system, into, local, dict.fromkeys(there)
                 if name is None:
                     continue
-                left, at = old[folder], f"{into}/{name}"
+                system, into, local, left = old[folder]
+                at = f"{into}/{name}"
                 if not local:
                     left.pop(name, None)
                     with system.open_output_stream(at, compression=None) as file:
@@ -196,17 +203,18 @@ def rewrite_files(rows: DataFrame, content: Callable[[pa.RecordBatch], list[byte
                     done = 0
                     while done < len(data):
                         done += os.write(file, data[done:])
-                    os.ftruncate(file, done)
+                    if os.fstat(file).st_size > done:
+                        os.ftruncate(file, done)
                 finally:
                     os.close(file)
-        for folder, left in old.items():
-            system, into = opened(folder)
+        for system, into, _, left in old.values():
             for name in left:
                 system.delete_file(f"{into}/{name}")
         yield from ()
 
     spread = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "folder")
-    spread.mapInArrow(rewrite, "folder string").write.format("noop").mode("overwrite").save()
+    with _clean_shuffles(rows.sparkSession):
+        spread.mapInArrow(rewrite, "folder string").write.format("noop").mode("overwrite").save()
 
 
 def first_by_path(files: DataFrame, *order: str) -> DataFrame:
@@ -324,19 +332,37 @@ def header(content: pd.Series) -> pd.DataFrame:
     return _header_frame([read_header(bytes(c) if c is not None else None) for c in content])
 
 
+def _read_local(file: int, wanted: int) -> bytes:
+    """So many bytes of an open local file, fewer only at its end."""
+    data = os.read(file, wanted)
+    while len(data) < wanted and (more := os.read(file, wanted - len(data))):
+        data += more
+    return data
+
+
+def _head_by(read: Callable[[int], bytes]) -> tuple[tuple, bytes]:
+    data, wanted = b"", HEADER_BYTES
+    while True:
+        more = read(wanted)
+        data += more
+        *found, short = _parsed(data)
+        if not short or len(more) < wanted:
+            return tuple(found), data
+        wanted = len(data)
+
+
 def _head(uri: str) -> tuple[tuple, bytes]:
     """(``read_header`` of a file, what was read for it)."""
     try:
+        if uri.startswith("file:") or "://" not in uri:  # a local file costs a third of the time without pyarrow's stream
+            file = os.open("/" + uri[5:].lstrip("/") if uri.startswith("file:") else uri, os.O_RDONLY)
+            try:
+                return _head_by(partial(_read_local, file))
+            finally:
+                os.close(file)
         system, at = opened(uri)
         with system.open_input_stream(at, compression=None) as file:
-            data, wanted = b"", HEADER_BYTES
-            while True:
-                more = file.read(wanted)
-                data += more
-                *found, short = _parsed(data)
-                if not short or len(more) < wanted:
-                    return tuple(found), data
-                wanted = len(data)
+            return _head_by(file.read)
     except OSError:
         return (None, None, None, 1), b""
 
@@ -404,45 +430,47 @@ def _with_header(files: DataFrame, *more: str) -> DataFrame:
     return files.withColumns(parts | {"capture_time": F.coalesce(taken, F.col("modified"))}).drop("__h")
 
 
-HEAD = StructType([*HEADER, StructField("known_sha", StringType()), StructField("known_dhash", LongType()), StructField("decoded", BooleanType())])
+HEAD = StructType([*HEADER, StructField("known_sha", BinaryType()), StructField("known_dhash", LongType()), StructField("decoded", BooleanType())])
+_HEAD_KINDS = pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.bool_()
 
 
 def _head_of(roots: list[str]):
     """header_of, and of a file that was read whole by that its content hash and, of a simple picture, its perceptual hash."""
     starts = tuple(root.rstrip("/") + "/" for root in roots)
 
-    @F.pandas_udf(HEAD)
-    def head(path: pd.Series, file_size: pd.Series) -> pd.DataFrame:
-        rows, shas, hashes, decoded = [], [], [], []
-        for uri, size in zip(path, file_size):
+    @F.arrow_udf(HEAD)
+    def head(path: pa.Array, file_size: pa.Array) -> pa.Array:
+        rows = []
+        for uri, size in zip(path.to_pylist(), file_size.to_pylist()):
             found, data = _head(uri)
             whole = 0 < len(data) == size
             picture = simple_png(data) if whole and found[3] == 1 and _is_shown(uri, starts) else None
-            rows.append(found)
-            shas.append(hashlib.sha256(data).hexdigest().upper() if whole else None)
-            hashes.append(None if picture is None else image_hash(*picture))
-            decoded.append(picture is not None)
-        out = _header_frame(rows)
-        out["known_sha"], out["known_dhash"], out["decoded"] = pd.Series(shas, dtype=object), pd.Series(hashes, dtype="Int64"), decoded
-        return out
+            sha = hashlib.sha256(data).digest() if whole else None
+            rows.append((*found, sha, None if picture is None else image_hash(*picture), picture is not None))
+        columns = zip(*rows) if rows else [[]] * len(_HEAD_KINDS)
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, _HEAD_KINDS)], HEAD.names)
 
     return head
 
 
-def scan_contents(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, dict]:
+def scan_contents(spark: SparkSession, roots: list[str], scratch: Scratch | None = None, name: str = "photos") -> tuple[DataFrame, dict]:
     """(photos of ``scan``, counts), with what else is known of files that the header's bytes hold whole.
 
-    known_sha: the content hash, null of other files; decoded: whether known_dhash is
-    the perceptual hash.  Counts: n_photos, n_unsupported, n_read (known_sha), n_decoded.
+    known_sha: the 32 bytes of the content hash, null of other files; decoded: whether
+    known_dhash is the perceptual hash.  Counts: n_photos, n_unsupported, n_read
+    (known_sha), n_decoded.  scratch: where they are written as ``name``, with the
+    files that are not ``usable``.
     """
-    files = classify(list_files(spark, roots)).filter(F.col("format").isNotNull() | F.col("unsupported_image"))
-    known = files.withColumn("__h", _head_of([_uri(root) for root in roots])("path", "file_size"))
-    known = _with_header(known, "known_sha", "known_dhash", "decoded")
-    usable = F.col("format").isNotNull() & F.col("width").isNotNull() & F.col("height").isNotNull()
-    known, seen = Scratch(spark, "scan").cut(
-        known.withColumn("usable", usable), "photos", n_photos=F.count_if("usable"), n_unsupported=F.count_if(~F.col("usable")),
-        n_read=F.count_if(F.col("usable") & F.col("known_sha").isNotNull()), n_decoded=F.count_if(F.col("usable") & F.col("decoded")),
-    )
+    scratch = scratch or Scratch(spark, "scan")
+    with passing(spark):
+        files = classify(list_files(spark, roots)).filter(F.col("format").isNotNull() | F.col("unsupported_image"))
+        known = files.withColumn("__h", _head_of([_uri(root) for root in roots])("path", "file_size"))
+        known = _with_header(known, "known_sha", "known_dhash", "decoded")
+        usable = F.col("format").isNotNull() & F.col("width").isNotNull() & F.col("height").isNotNull()
+        known, seen = scratch.cut(
+            known.withColumn("usable", usable), name, n_photos=F.count_if("usable"), n_unsupported=F.count_if(~F.col("usable")),
+            n_read=F.count_if(F.col("usable") & F.col("known_sha").isNotNull()), n_decoded=F.count_if(F.col("usable") & F.col("decoded")),
+        )
     return known.filter("usable").select(*SCANNED, "known_sha", "known_dhash", "decoded"), seen
 
 
@@ -484,7 +512,8 @@ def _weights(n: int, cells: int) -> np.ndarray:
 
 def shrink(gray: np.ndarray, width: int = GRID_WIDTH, height: int = GRID_HEIGHT) -> np.ndarray:
     """Mean brightness of a width x height grid of equal cells, aspect aside."""
-
+    if gray.shape == (height, width):
+        return gray
     return _weights(gray.shape[0], height) @ gray @ _weights(gray.shape[1], width).T
 
 
@@ -550,7 +579,7 @@ def simple_png(data: bytes) -> tuple[bytes, int, int, int] | None:
         return None
     rows = np.frombuffer(raw, dtype=np.uint8).reshape(height, line)
     filters, pixels = rows[:, 0], rows[:, 1:]
-    if filters.any():
+    if raw[::line].strip(b"\0"):
         if (filters > 2).any():
             return None
         pixels = pixels.copy()
@@ -661,7 +690,7 @@ def bitmaps(spark: SparkSession, roots: list[str], most: int | None = None, turn
             kinds = pa.string(), pa.int32(), pa.int32(), pa.binary()
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "width", "height", "rgba"])
 
-    listed, n = _listed(spark, roots)
+    listed, n, _ = _listed(spark, roots)
     maybe = listed.filter((supported_format("path") == "Png") & (F.col("file_size") <= HEADER_BYTES)).select("path", "file_size")
     if len(roots) > 1:
         maybe = maybe.distinct()

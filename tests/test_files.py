@@ -265,3 +265,54 @@ def test_pictures_of_a_table_are_made_in_waves(spark, data_dir, monkeypatch):
         assert len(seen) == waves and sum(map(len, seen)) == len(names) and set().union(*seen) == names and max(map(len, seen)) < 2 * len(names) / waves
         assert not list(Path(root.removeprefix("file:")).rglob("*"))
     assert whole == sorted(tuple(r) for r in registry.queries()["S0_folders_to_groups"](spark, data_dir).collect())
+
+
+def test_waves_have_equal_bytes_of_other_waves(spark, tmp_path):
+    """Files that are not read whole for their header get their hashes while they are there."""
+    import hashlib
+    import shutil
+
+    from loupe.operators import collection
+
+    rng = np.random.default_rng(5)
+    small, large = png(rng.integers(0, 256, (8, 9))), png(rng.integers(0, 256, (200, 400)))
+    assert len(large) > files.HEADER_BYTES
+    flat = png(np.full((8, 9), 7))
+
+    def waves():
+        for made in ({"a/1.png": small, "a/2.png": large}, {"b/3.png": small, "b/flat.png": flat}, {"a/4.png": large, "a/x.txt": b"x"}):
+            shutil.rmtree(tmp_path / "files", ignore_errors=True)
+            for name, content in made.items():
+                (tmp_path / "files" / name).parent.mkdir(parents=True, exist_ok=True)
+                (tmp_path / "files" / name).write_bytes(content)
+            yield [str(tmp_path / "files")]
+        shutil.rmtree(tmp_path / "files")
+
+    got = {r.path.rsplit("/", 1)[1]: r for r in collection.index_waves(spark, waves()).collect()}
+    assert set(got) == {"1.png", "2.png", "3.png", "4.png", "flat.png"} and got["flat.png"].dhash is None
+    assert [bytes(got[n].sha) for n in ("1.png", "2.png", "3.png", "4.png")] == [hashlib.sha256(x).digest() for x in (small, large, small, large)]
+    assert got["1.png"].dhash == got["3.png"].dhash == files.image_hash(*files.simple_png(small)) and got["2.png"].dhash == got["4.png"].dhash is not None
+
+
+def test_a_path_is_listed_once_case_aside(spark, tmp_path):
+    names = ("a/x.png", "a/X.png", "A/x.png", "b/y.png", "b/ß.png", "b/SS.png")
+    for name in names:
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"1")
+    got = sorted(r.path[len(f"file:{tmp_path}/") :] for r in files.list_files(spark, [str(tmp_path)]).collect())
+    assert got == ["A/x.png", "b/SS.png", "b/y.png"]
+    plain = files.list_files(spark, [str(tmp_path / "A")])
+    assert [r.path for r in plain.collect()] == [f"file:{tmp_path}/A/x.png"]
+    assert "Window" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    twice = files.list_files(spark, [str(tmp_path / "b"), str(tmp_path)])
+    assert {(r.path[len(f"file:{tmp_path}/") :], r.root_ordinal) for r in twice.collect()} == {("A/x.png", 1), ("b/SS.png", 0), ("b/y.png", 0)}
+
+
+def test_groups_of_a_table_need_no_numbering_of_each_wave(spark, data_dir, monkeypatch):
+    """Photos are named by their own numbers: what numbers and counts sizes in every wave is thrown away."""
+    from loupe.operators import collection
+    from loupe.plans import registry
+
+    monkeypatch.setattr(collection, "with_position", None)
+    monkeypatch.setattr(collection, "size_collisions", None)
+    assert registry.queries()["S0_folders_to_groups"](spark, data_dir).count() > 0
