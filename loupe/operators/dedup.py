@@ -11,7 +11,7 @@ from loupe.functions.keys import NEAR_BITS, area, path_key
 from loupe.operators.edges import exact_classes, look_links
 from loupe.operators.graph import components
 from loupe.operators.positions import with_position
-from loupe.session import Scratch, follow
+from loupe.session import Scratch, follow, passing
 
 EXACT, VISUAL = "ExactOnly", "HasVisualComponent"
 
@@ -88,7 +88,8 @@ def detect(photos: DataFrame, *, group: str = "library", distance: int = NEAR_BI
     scratch = Scratch(photos.sparkSession, "detect")
     needed = (group, "seq", "path", "file_size", "width", "height", "capture_time", "dhash", "sha")
     photos, _ = scratch.cut(photos.filter(F.col(group).isNotNull()).select(*needed), "photos")
-    looks, _ = scratch.cut(look_links(photos, group=group, distance=distance), "looks")
+    with passing(photos.sparkSession):
+        looks, _ = scratch.cut(look_links(photos, group=group, distance=distance), "looks")
     exact = exact_classes(photos, group=group).filter("seq != leader").select(F.col("leader").alias("u"), F.col("seq").alias("v"))
     label, counted = scratch.cut(components(looks.select("u", "v").unionByName(exact), "u", "v"), "label", n=F.count(F.lit(1)))
     n = counted["n"]

@@ -210,10 +210,13 @@ def look_links(photos: DataFrame, *, group: str = "library", distance: int = NEA
     hashed = photos.filter(F.col(group).isNotNull() & F.col("dhash").isNotNull())
     hashed, seen = scratch.cut(hashed.select(F.col(group).alias("grp"), F.col("dhash").alias("h"), "seq", "sha"), "hashed", n=F.count(F.lit(1)))
     leaders = hashed.groupBy("grp", "h").agg(F.min(F.struct("seq", "sha")).alias("first"))
+    # few pairs of many rows, whose shuffle files go before the joins below; rows of an aggregation are sorted faster than those of a table
+    near = _near_apart(leaders.select("grp", F.col("first.seq").alias("id"), "h"), distance, _shared(hashed)).select("id_a", "id_b")
+    near, _ = scratch.cut(near, "near")
+    leaders, _ = scratch.cut(leaders, "leaders")
     copies = follow(hashed, leaders, ["grp", "h"], seen["n"]).filter("seq != first.seq").select(
         F.col("first.seq").alias("u"), F.col("seq").alias("v"), ~F.coalesce(F.col("first.sha") == F.col("sha"), F.lit(False))
     )
-    near = _near_apart(leaders.select("grp", F.col("first.seq").alias("id"), "h"), distance, _shared(hashed)).select("id_a", "id_b")
     shas = leaders.select("first.seq", "first.sha")
     near = near.join(shas.toDF("id_a", "sha_a"), "id_a").join(shas.toDF("id_b", "sha_b"), "id_b")
     near = near.select(F.col("id_a").alias("u"), F.col("id_b").alias("v"), ~F.coalesce(F.col("sha_a") == F.col("sha_b"), F.lit(False)))

@@ -32,6 +32,8 @@ LISTED = "path string, file_size long, modified timestamp, root_ordinal int"
 _ENTRY = "path string, is_folder boolean, file_size long, modified timestamp, root_ordinal int, twin boolean"
 #: Bytes read of a file for its header at first; doubled while the header goes on.
 HEADER_BYTES = 64 * 1024
+#: Entries of folders that a task sends on at once, at least.
+ENTRIES = 5_000
 #: Bytes of a file held at once while its content is hashed.
 PIECE_BYTES = 1 << 20
 #: Pixels of the largest picture that is decoded from the bytes read for its header.
@@ -77,6 +79,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     from pyarrow import fs
 
+    made, n = [], 0
     for batch in batches:
         for uri, ordinal in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             try:
@@ -90,11 +93,17 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 paths, folders, sizes, times = zip(*rows)
                 times = [None if t is None else t // 1000 for t in times]
                 twin = not all(map(str.isascii, paths)) or len({p.upper() for p in paths}) < len(paths)
-                yield pa.RecordBatch.from_arrays(
+                made.append(pa.RecordBatch.from_arrays(
                     [pa.array(paths), pa.array(folders), pa.array(sizes, pa.int64()), pa.array(times, pa.timestamp("us", "UTC")),
                      pa.array([ordinal] * len(rows), pa.int32()), pa.array([twin] * len(rows))],
                     ["path", "is_folder", "file_size", "modified", "root_ordinal", "twin"],
-                )
+                ))
+                n += len(rows)
+                if n >= ENTRIES:  # small folders share a batch
+                    yield pa.concat_batches(made)
+                    made, n = [], 0
+    if made:
+        yield pa.concat_batches(made)
 
 
 def _listed(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, int, bool]:

@@ -156,3 +156,15 @@ def test_a_hot_hash_and_hot_bytes(spark):
     assert members["ExactOnly", 1] == set(range(1, 400, 2))
     assert members["HasVisualComponent", 1] == {500, *range(2, 400, 2), best}
     assert dedup.size_collisions(spark.createDataFrame(rows, NOW)).filter("collides").count() == 400
+
+
+def test_detection_leaves_no_tables_of_its_ties(spark, data_dir, tmp_path, monkeypatch):
+    """They would lie beside the tables that groups are made of."""
+    from loupe import session
+    from loupe.operators import dedup
+    from loupe.plans.common import now
+
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    assert dedup.detect(now(spark, data_dir)).members.count() > 0
+    left = {p.name.split("-")[0] for p in tmp_path.iterdir()}
+    assert "detect" in left and "looks" not in left
